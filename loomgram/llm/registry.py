@@ -1,6 +1,14 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from loomgram.llm import simhash
+from loomgram.llm import language, lattice, packing, quality, sharding, simhash, suffixes
 
-QUERIES = {"op5_simhash": simhash.op5_simhash}
+QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
+    "op3_language": language.op3_language,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_lattice": lattice.op6_lattice,
+    "op7_suffixes": suffixes.op7_suffixes,
+    "op8_quality": quality.op8_quality,
+    "op9_packing": packing.op9_packing,
+}
 ORACLES: dict[str, str] = {}
