@@ -147,6 +147,16 @@ def expected_counts(pieces: Pieces, column: pa.Array, times: np.ndarray) -> np.n
     return out
 
 
+def _whole_word_share(priced: DataFrame, n: int) -> float:
+    """Weight of the edge that spans a whole word: of 99 candidates the most likely one when each training token is left
+    out of the counts in turn, found in one aggregation."""
+    grid = [k / 100 for k in range(1, 100)]
+    left = (F.col("c") - 1) / float(max(n - 1, 1))
+    sums = [F.sum(F.col("c") * F.log(F.lit(x) * left + F.lit(1 - x) * F.greatest(F.exp("log_p"), F.lit(1e-300)))).alias(f"x{k}") for k, x in enumerate(grid)]
+    row = priced.where("c > 0").agg(*sums).first()
+    return grid[int(np.argmax([-np.inf if v is None else v for v in row]))]
+
+
 _SLICES = "slice long, words array<string>, trained array<long>, doc_ids array<{id}>, held array<boolean>, sizes array<int>, codes array<int>"
 
 
@@ -179,7 +189,9 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
 
     Tokens are the words of the text with A-Z lower-cased, then one end. base_score is the add-one unigram word
     model, score the lattice model; both are log10 probabilities learnt from all rows that aren't held out. score is
-    the sum over words of the marginal over all segmentations, and the end. Null and empty texts have the end alone.
+    the sum over words of the marginal over all segmentations, and the end. The pieces' weights start from the scores
+    that the vocabulary has and are estimated anew, by forward-backward, on the distinct training words; the edge
+    that spans a whole word weighs what the training words say, in a share that leaving-one-out finds. Null and empty texts have the end alone.
 
     Words are numbered slice by slice where they are read, so that a slice sends each of its words once to where the
     corpus counts it, and gets one count and one probability back; no word's occurrences meet in one task. Only the
@@ -212,7 +224,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             pieces, total = pieces_of(now), 0
             for b in batches:
-                total = total + expected_counts(pieces, b.column("word"), b.column("c").to_numpy().astype(float))
+                total = total + expected_counts(pieces, b.column("word"), np.ones(b.num_rows))
             if isinstance(total, np.ndarray):
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "x"])
@@ -220,8 +232,8 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
         got = known.mapInArrow(expect, "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).toPandas()
         use = np.full(len(weight), SMOOTH)
         use[got["piece"].to_numpy()] += got["x"].to_numpy()
-        use[-1] += ends
-        weight = np.log(use / use.sum())
+        use[-1] = 0  # an end is a token of its own, see below
+        weight = np.log(np.maximum(use / use.sum(), 1e-300))
     final = spark.sparkContext.broadcast(weight)
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +243,11 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
             yield b.append_column("log_p", pa.array(log_probability(pieces, b.column("word"))))
 
     priced = keep(counts.mapInArrow(marginal, "word string, c long, log_p double"))
-    back = entries.select("slice", "code", F.col("x.words").alias("word")).join(priced, "word").select("slice", "code", "c", "log_p")
+    back = entries.select("slice", "code", F.col("x.words").alias("word")).join(priced, "word").select(F.col("slice").alias("of"), "code", "c", "log_p")
+    share = _whole_word_share(priced, n) if n else 0.0
+    whole = np.log(share / n) if n and share else -np.inf
     unit, end_unit = float(np.log10(n + v + 1)), float(np.log10(ends + 1) - np.log10(n + v + 1))
-    end_p, some = float(weight[-1]), int(ends > 0)
+    end_p, some = float(whole + np.log(ends)) if ends else float(np.log(0.5)), int(ends > 0)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -242,6 +256,8 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
         count, log_p = np.zeros(len(code), np.int64), np.zeros(len(code))
         if len(code):
             count[code], log_p[code] = right.column("c").to_numpy(), right.column("log_p").to_numpy()
+        with np.errstate(divide="ignore"):
+            price = np.logaddexp(np.log(count) + whole, log_p + np.log1p(-share))
         for k in range(left.num_rows):
             cell = lambda c, k=k: left.column(c)[k].values
             size = cell("sizes").to_numpy().astype(np.int64)
@@ -249,7 +265,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
             codes = cell("codes").to_numpy()
             total = lambda x: np.diff(np.r_[0, np.cumsum(x)][to])
             base = total(np.log10(count[codes] + 1) - unit) + end_unit
-            lattice = (total(log_p[codes]) + end_p) / np.log(10)
+            lattice = (total(price[codes]) + end_p) / np.log(10)
             known_ = total((count[codes] > 0).astype(np.int64)) + some
             cols = [cell("doc_ids"), cell("held"), pa.array(size + 1), pa.array(known_), pa.array(np.full(len(size), n)), pa.array(base), pa.array(lattice)]
             out.append(pa.Table.from_arrays(cols, names))
@@ -259,7 +275,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
         T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
-    return parts.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(add_up, schema)
+    return parts.groupBy("slice").cogroup(back.groupBy("of")).applyInArrow(add_up, schema)
 
 
 def op6_lattice(spark, sf_dir: str) -> DataFrame:
