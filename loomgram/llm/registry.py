@@ -1,14 +1,16 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from loomgram.llm import language, lattice, packing, quality, sharding, simhash, suffixes
+from loomgram.llm import decontaminate, language, lattice, packing, quality, sharding, simhash, suffixes, topk
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op3_language": language.op3_language,
+    "op4_topk": topk.op4_topk,
     "op5_simhash": simhash.op5_simhash,
     "op6_lattice": lattice.op6_lattice,
     "op7_suffixes": suffixes.op7_suffixes,
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE}
