@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     return spans.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
 
 
-def _cut(schema: pa.Schema | None = None):
+def _cut():
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             kept, removed, runs_ = [], [], []
@@ -353,7 +353,8 @@ def _cut(schema: pa.Schema | None = None):
                 kept.append(b"".join(out)), removed.append(n), runs_.append(k)
             i = b.schema.get_field_index("spans")
             b = b.remove_column(i)
-            for name, values in (("kept", pa.array(kept, pa.binary())), ("n_removed", pa.array(removed, pa.int64())), ("n_spans", pa.array(runs_, pa.int64()))):
+            whole = [x.decode(errors="ignore") for x in kept]
+            for name, values in (("kept", pa.array(kept, pa.binary())), ("kept_text", pa.array(whole, pa.string())), ("n_removed", pa.array(removed, pa.int64())), ("n_spans", pa.array(runs_, pa.int64()))):
                 b = b.append_column(name, values)
             yield b
 
@@ -361,7 +362,7 @@ def _cut(schema: pa.Schema | None = None):
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
-    """docs plus kept (the text's bytes that stay, binary), n_removed and n_spans (maximal runs that went).
+    """docs plus kept (the text's bytes that stay, binary), kept_text (the same without cut characters), n_removed and n_spans (maximal runs that went).
 
     A byte goes if a string of min_bytes over it also starts anywhere else in docs, the same text included. All
     occurrences go. Null texts are empty and stay null in text; texts under min_bytes stay whole. Of copies of a
@@ -375,9 +376,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high")))
     found = spans.join(copies, "name", "full").select("name", F.when(F.col("n").isNotNull(), whole).otherwise(F.col("spans")).alias("spans"))
     found = keep(found)
-    clean = docs.drop("kept", "n_removed", "n_spans", "spans")
+    clean = docs.drop("kept", "kept_text", "n_removed", "n_spans", "spans")
     met = clean.withColumn("__name", name).join(found.withColumnRenamed("name", "__name"), "__name", "left").drop("__name")
-    new = [T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
+    new = [T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
     return met.select(*clean.columns, "spans").mapInArrow(_cut(), T.StructType([*clean.schema.fields, *new]))
 
 
