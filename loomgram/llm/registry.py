@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from loomgram.llm import decontaminate, language, lattice, packing, quality, sharding, simhash, suffixes, topk
+from loomgram.llm import decontaminate, html, language, lattice, packing, quality, sharding, simhash, suffixes, topk
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_suffixes": suffixes.op7_suffixes,
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
+    "op10_html": html.op10_html,
 }
 ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE}
