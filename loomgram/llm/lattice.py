@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgram.llm.text import LOWER, prefix_sums, slices, span_hash, text_bytes, words
+from loomgram.llm.text import LOWER, powers, prefix_sums, slices, text_bytes, words
 from loomgram.tables import keep
 
 #: Bytes of text whose words are numbered together.
-SLICE = 4 << 20
+SLICE = 16 << 20
 #: Rounds in which the pieces' weights are estimated anew from the training words.
 ROUNDS = 2
 #: Added to the expected count of each piece.
@@ -27,34 +28,33 @@ _CHUNK = 4096
 class Pieces:
     """A unigram vocabulary of byte strings with log probabilities; a space stands for the start of a word.
 
-    Every single byte is a piece, so that all words have a segmentation. The last weight is the end of a text.
+    Every single byte is a piece, so that all words have a segmentation.
     """
 
     def __init__(self, pieces: list[bytes], weight: np.ndarray):
         self.weight = weight
         size = np.array([len(p) for p in pieces])
         end = np.cumsum(size)
-        h = span_hash(prefix_sums(np.frombuffer(b"".join(pieces), np.uint8)), end - size, end)
+        sums = prefix_sums(np.frombuffer(b"".join(pieces), np.uint8))
+        h = raw_hash(sums, end - size, end)
         self.longest = int(size.max())
-        #: Open hashing: 2**21 slots; a piece whose slot is taken goes to the next free one.
-        self.slots = np.full((1 << 21) + 64, -1, np.int32)
-        self.key = np.zeros((1 << 21) + 64, np.uint64)
-        self.reach = 1
-        for i, x in enumerate(h.tolist()):
-            at = x >> 43
-            step = 0
-            while self.slots[at + step] >= 0:
-                step += 1
-            self.slots[at + step], self.key[at + step] = i, x
-            self.reach = max(self.reach, step + 1)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The piece of each hash, or -1."""
-        at = (h >> np.uint64(43)).astype(np.int64)
-        out = np.where(self.key[at] == h, self.slots[at], -1)
-        for step in range(1, self.reach):
-            out = np.where(self.key[at + step] == h, self.slots[at + step], out)
-        return out
+        order = np.argsort(h)
+        self.key, self.piece = h[order], order
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[h >> np.uint64(44)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows whose hash is a piece's, that piece); few rows get past the first look-up."""
+        rows = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.key, h[rows]), len(self.key) - 1)
+        ok = self.key[at] == h[rows]
+        return rows[ok], self.piece[at[ok]]
+
+
+def raw_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of spans, not mixed."""
+    _, inverse = powers(len(sums))
+    return (sums[end] - sums[start]) * inverse[start]
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -93,19 +93,19 @@ def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, np.hstack([np.full((len(at), 1), 32, np.uint8), data[off[at][:, None] + np.arange(n)]])
 
 
-def _spans(pieces: Pieces, m: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
-    """For each end, (length, piece of each row or -1) of the spans that end there and are a piece in some row."""
+def _spans(pieces: Pieces, m: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each end, (length, rows, pieces) of the spans that end there and are a piece."""
     rows, n = m.shape
     sums = prefix_sums(m.ravel())
     base = np.arange(rows) * n
-    out: list[list[tuple[int, np.ndarray]]] = [[]]
+    out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[]]
     for j in range(1, n + 1):
-        row = []
+        found = []
         for size in range(1, min(j, pieces.longest) + 1):
-            got = pieces.find(span_hash(sums, base + j - size, base + j))
-            if (got >= 0).any():
-                row.append((size, got))
-        out.append(row)
+            at, got = pieces.find(raw_hash(sums, base + j - size, base + j))
+            if len(at):
+                found.append((size, at, got))
+        out.append(found)
     return out
 
 
@@ -113,10 +113,9 @@ def _forward(pieces: Pieces, m: np.ndarray, spans: list) -> np.ndarray:
     """alpha[j]: log probability of the first j bytes over all segmentations."""
     alpha = np.full((m.shape[1] + 1, len(m)), -np.inf)
     alpha[0] = 0
-    w = np.r_[pieces.weight, -np.inf]
     for j in range(1, len(alpha)):
-        for size, got in spans[j]:
-            alpha[j] = np.logaddexp(alpha[j], alpha[j - size] + w[np.where(got < 0, len(w) - 1, got)])
+        for size, at, got in spans[j]:
+            alpha[j, at] = np.logaddexp(alpha[j, at], alpha[j - size, at] + pieces.weight[got])
     return alpha
 
 
@@ -131,19 +130,16 @@ def log_probability(pieces: Pieces, column: pa.Array) -> np.ndarray:
 def expected_counts(pieces: Pieces, column: pa.Array, times: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words, weighted by times (forward-backward)."""
     out = np.zeros(len(pieces.weight))
-    w = np.r_[pieces.weight, -np.inf]
-    for at, m in _matrix(column):
+    for rows, m in _matrix(column):
         spans = _spans(pieces, m)
         alpha = _forward(pieces, m, spans)
         beta = np.full_like(alpha, -np.inf)
         beta[-1] = 0
         for j in range(len(alpha) - 1, 0, -1):
-            for size, got in spans[j]:
-                use = w[np.where(got < 0, len(w) - 1, got)] + beta[j]
-                beta[j - size] = np.logaddexp(beta[j - size], use)
-                share = np.exp(use + alpha[j - size] - alpha[-1]) * times[at]
-                ok = got >= 0
-                out += np.bincount(got[ok], share[ok], minlength=len(out))
+            for size, at, got in spans[j]:
+                use = pieces.weight[got] + beta[j, at]
+                beta[j - size, at] = np.logaddexp(beta[j - size, at], use)
+                out += np.bincount(got, np.exp(use + alpha[j - size, at] - alpha[-1, at]) * times[rows[at]], minlength=len(out))
     return out
 
 
@@ -157,7 +153,7 @@ def _whole_word_share(priced: DataFrame, n: int) -> float:
     return grid[int(np.argmax([-np.inf if v is None else v for v in row]))]
 
 
-_SLICES = "slice long, words array<string>, trained array<long>, doc_ids array<{id}>, held array<boolean>, sizes array<int>, codes array<int>"
+_SLICES = "slice long, words array<string>, trained array<long>, doc_ids array<{id}>, held array<boolean>, sizes array<int>, codes binary"
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +169,15 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(to), pa.py_buffer(LOWER[data[inside]]))
         coded = text.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        rank = np.argsort(np.argsort(-np.bincount(code), kind="stable"), kind="stable").astype(np.int32)  # frequent words get small numbers
+        dictionary = coded.dictionary.take(pa.array(np.argsort(rank)))
+        code = rank[code]
         held = b.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        trained = np.bincount(code[~held[row]], minlength=len(coded.dictionary))
+        trained = np.bincount(code[~held[row]], minlength=len(dictionary))
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
         cols = [
-            pa.array([part << 32 | k], pa.int64()), one(coded.dictionary.cast(pa.string()), pa.string()), one(trained, pa.int64()), one(b.column("doc_id"), b.column("doc_id").type),
-            one(held, pa.bool_()), one(np.bincount(row, minlength=b.num_rows).astype(np.int32), pa.int32()), one(code, pa.int32()),
+            pa.array([part << 32 | k], pa.int64()), one(dictionary.cast(pa.string()), pa.string()), one(trained, pa.int64()), one(b.column("doc_id"), b.column("doc_id").type),
+            one(held, pa.bool_()), one(np.bincount(row, minlength=b.num_rows).astype(np.int32), pa.int32()), pa.array([zstandard.compress(code.tobytes(), 1)], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(cols, ["slice", "words", "trained", "doc_ids", "held", "sizes", "codes"])
         k += 1
@@ -262,7 +261,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
             cell = lambda c, k=k: left.column(c)[k].values
             size = cell("sizes").to_numpy().astype(np.int64)
             to = np.r_[0, np.cumsum(size)]
-            codes = cell("codes").to_numpy()
+            codes = np.frombuffer(zstandard.decompress(left.column("codes")[k].as_py()), np.int32)
             total = lambda x: np.diff(np.r_[0, np.cumsum(x)][to])
             base = total(np.log10(count[codes] + 1) - unit) + end_unit
             lattice = (total(price[codes]) + end_p) / np.log(10)
@@ -275,7 +274,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
         T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
-    return parts.groupBy("slice").cogroup(back.groupBy("of")).applyInArrow(add_up, schema)
+    return parts.drop("words", "trained").groupBy("slice").cogroup(back.groupBy("of")).applyInArrow(add_up, schema)
 
 
 def op6_lattice(spark, sf_dir: str) -> DataFrame:
