@@ -22,7 +22,7 @@ def roots(features: DataFrame) -> DataFrame:
     """
     known = features.where("id is not null").select("gid", "id", "parent").dropDuplicates(["gid", "id"])
     up = known.select("gid", F.col("id").alias("parent"), F.lit(True).alias("there"))
-    links = known.join(up, ["gid", "parent"], "left").select("gid", "id", F.when("there", F.col("parent")).otherwise(F.col("id")).alias("root"))
+    links = known.join(up, ["gid", "parent"], "left").select("gid", "id", F.when(F.col("there"), F.col("parent")).otherwise(F.col("id")).alias("root"))
     links = keep(links)
     while True:
         next_ = links.select("gid", F.col("id").alias("root"), F.col("root").alias("further"))
