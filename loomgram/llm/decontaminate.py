@@ -13,6 +13,9 @@ SHINGLE = 5
 RADIUS = 19
 #: Shingles of the benchmark up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_SHINGLES = 1_000_000
+#: Documents with a shared shingle up to which their ids are broadcast, to read their texts again; beyond it texts are
+#: shuffled to meet their windows.
+BROADCAST_IDS = 1_000_000
 _LANE = 0x0001000100010001
 
 
@@ -110,6 +113,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> Da
 
     # the fingerprints of those windows, where the text is
     cut = None
+    ids = starts.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     for s in sizes:
         own = texts.join(starts.where(F.col("s") == s).drop("s"), "doc_id").select("doc_id", F.explode(cut_windows(s)).alias("x"))
         cut = own if cut is None else cut.union(own)
@@ -120,7 +126,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> Da
     masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(0xFFFF).cast("long")), lambda m: F.bit_count(m) <= RADIUS // 4)
     item_blocks = items.select("item_id", "n", "fp", F.posexplode(_blocks(F.col("fp"))).alias("k", "v"))
     item_blocks = item_blocks.select("item_id", "n", "fp", "k", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    near = cut.select("doc_id", "n", "start", "window_fp", F.posexplode(_blocks(F.col("window_fp"))).alias("k", "v")).join(item_blocks, ["n", "k", "v"])
+    near = cut.select("doc_id", "n", "start", "window_fp", F.posexplode(_blocks(F.col("window_fp"))).alias("k", "v")).join(item_blocks.hint("shuffle_merge"), ["n", "k", "v"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))) <= RADIUS).select("doc_id", "n", "start", "window_fp", "item_id").distinct()
     both = near.join(cut, ["doc_id", "n", "start", "window_fp"]).join(items.select("item_id", "hashes"), "item_id")
     both = both.withColumn("similarity", similarity(F.col("window_hashes"), F.col("hashes"))).where(F.col("similarity") >= at_least)
