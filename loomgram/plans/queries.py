@@ -619,3 +619,80 @@ def _(ix):
 def _(ix):
     met = cluster.density_clusters(_points(ix), 0.01).join(table(ix.spark, ix.sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("gid")), "id")
     return cluster.cluster_sizes(met, 100_000).select("gid", long("cluster"), long("bases"))
+
+
+# gaps, liftover and combinations
+
+
+@query("j7_invalid_runs", "seqs", """SELECT gid, chr, min(p) AS start, max(p) + 1 AS "end" FROM (SELECT gid, chr, p, p - row_number() OVER (PARTITION BY gid, chr ORDER BY p) AS g FROM seqs, unnest(range(0, length(seq))) AS u(p) WHERE substr(seq, CAST(p + 1 AS INT), 1) = 'N') GROUP BY gid, chr, g HAVING count(*) >= 2""")
+def _(ix):
+    return intervals.n_runs(ix.seqs, "N", 2, 1 << 12).select("gid", "chr", long("start"), long("end"))
+
+
+@query("w6_merged_over_gaps", "numbered", f"""SELECT accession, chr, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(CASE WHEN start - prev - 1 = {2 * HOUR} AND gap THEN 0 ELSE 1 END) OVER (PARTITION BY accession, chr ORDER BY start) AS g FROM
+    (SELECT i.*, EXISTS (SELECT 1 FROM bed b WHERE b.value < 100 AND b.accession = i.accession AND b.chr = i.chr AND b.start >= prev AND b.start + 1 <= i.start) AS gap FROM
+    (SELECT *, lag("end") OVER (PARTITION BY accession, chr ORDER BY start) AS prev FROM (SELECT accession, chr, min(bin) AS start, max(bin) + {HOUR - 1} AS "end" FROM numbered WHERE flag = 1 GROUP BY accession, chr, run)) i)) GROUP BY accession, chr, g""")
+def _(ix):
+    own = intervals.merge_bins(ix.dense.where("flag = 1").select(*SERIES, F.col("bin").alias("start")), SERIES, HOUR)
+    gaps = ix.bed.where("value < 100").select(*SERIES, F.col("start").alias("g_start"), (F.col("start") + 1).alias("g_end"))
+    return intervals.merge_over_gaps(own, gaps, SERIES, HOUR)
+
+
+def _alignments(ix: Index) -> DataFrame:
+    """One alignment a chromosome: a third matches, 10 bases are missing, a third, 5 extra bases, the rest; every other one on the minus strand."""
+    n = F.length("seq")
+    third = F.floor(n / 3).cast("int")
+    cigar = F.concat(third, F.lit("M10D"), third, F.lit("M5I"), n - 2 * third - 5, F.lit("M"))
+    rows = ix.seqs.where(n >= 60).select(F.col("chr").alias("query"), (F.col("chr") + 1000).alias("target"), F.when(F.col("chr") % 2 == 0, "+").otherwise("-").alias("strand"), n.alias("q_end"), cigar.alias("cigar"))
+    return rows.select("query", "target", "strand", F.lit(0).alias("q_start"), "q_end", F.lit(100).alias("t_start"), "cigar")
+
+
+@query("j8_liftover", "genes", """, l AS (SELECT chr, length(seq) AS n, length(seq) // 3 AS t FROM seqs WHERE length(seq) >= 60), x AS (SELECT chr, n, t, unnest([{'a': 0, 'b': t, 's': 100}, {'a': t, 'b': 2 * t, 's': 110 + t}, {'a': 2 * t + 5, 'b': n, 's': 110 + 2 * t}]) AS k FROM l),
+    b AS (SELECT chr, CASE WHEN chr % 2 = 0 THEN k.a ELSE n - k.b END AS qs, CASE WHEN chr % 2 = 0 THEN k.b ELSE n - k.a END AS qe, k.s AS ts, k.s + k.b - k.a AS te FROM x),
+    m AS (SELECT g.chr AS query, g.start, g."end", name, greatest(start, qs) AS lo, least("end", qe) AS hi, b.* FROM genes g JOIN b ON g.chr = b.chr AND start < qe AND "end" > qs)
+    SELECT query, name, start, "end", query + 1000 AS target, CAST(min(CASE WHEN query % 2 = 0 THEN ts + lo - qs ELSE te - (hi - qs) END) AS BIGINT) AS new_start, CAST(max(CASE WHEN query % 2 = 0 THEN ts + hi - qs ELSE te - (lo - qs) END) AS BIGINT) AS new_end FROM m GROUP BY ALL""")
+def _(ix):
+    rows = ix.genes.select(F.col("chr").alias("query"), "name", "start", "end")
+    return intervals.liftover(rows, intervals.alignment_blocks(_alignments(ix))).select("query", "name", "start", "end", "target", long("new_start"), long("new_end"))
+
+
+@query("u3_merged_calls", "fsim grps", f""", g AS (SELECT s.gid, chr, start, max(sim) FILTER (o.grp = 'WT') AS a, max(sim) FILTER (o.grp = 'WTB') AS b, avg(sim) FILTER (o.grp = 'REF') AS ref FROM fsim s JOIN grps o ON o.gid = other GROUP BY ALL)
+    SELECT gid AS accession, chr, start, t / 100.0::DOUBLE AS threshold FROM g, unnest(range(0, 72, 4)) AS u(t) WHERE ref < 0.95 AND greatest(a, b) >= ref + t / 100.0::DOUBLE""")
+def _(ix):
+    sim = similarity.filtered_similarity(ix.bits, GENOMES, BIN, F.lit(31).cast("long"))
+    one, two = (introgress.three_way(similarity.group_similarity(sim, ix.groups, g), g, introgress.THREE_WAY) for g in ("WT", "WTB"))
+    return introgress.merged(one.union(two)).where("flag = 1").select("accession", "chr", "start", "threshold")
+
+
+@query("i9_prepared_truth", "truth", f"""SELECT accession, chr, bin, CASE WHEN value < 0.25 THEN 0 ELSE 1 END AS truth FROM truth""")
+def _(ix):
+    return scoring.truth_flags(ix.truth, 0.25)
+
+
+@query("a24_chromosome_curve", "sweep", f"""SELECT threshold, chr, tp, tn, fp, fn, {s6('tp / nullif(tp + fp, 0)::DOUBLE')} AS "precision", {s6('tp / nullif(tp + fn, 0)::DOUBLE')} AS recall FROM
+    (SELECT threshold, chr, count(*) FILTER (flag = 1 AND truth = 1) AS tp, count(*) FILTER (flag = 0 AND truth = 0) AS tn, count(*) FILTER (flag = 1 AND truth = 0) AS fp, count(*) FILTER (flag = 0 AND truth = 1) AS fn FROM sweep GROUP BY ALL)""")
+def _(ix):
+    out = scoring.metrics(_swept(ix, "chr"))
+    return out.select("threshold", "chr", "tp", "tn", "fp", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query("j11_symmetric_matrix", "sets others", f""", m AS (SELECT mask, count(*) AS n FROM sets GROUP BY mask), p AS (SELECT a.other AS a, b.other AS b, sum(n * ((mask >> a.other) & (mask >> b.other) & 1)) AS x, sum(n * (((mask >> a.other) | (mask >> b.other)) & 1)) AS y FROM m, others a, others b GROUP BY ALL)
+    SELECT a, b, {s6("CASE WHEN a = b THEN 1 ELSE coalesce(x / nullif(y, 0)::DOUBLE, 0) END")} AS shared FROM p""")
+def _(ix):
+    rows = distance.symmetric(distance.jaccard(ix.sets, GENOMES, K).select("a", "b", (1 - F.col("jaccard")).alias("far")), "far")
+    return rows.select("a", "b", r6(1 - F.col("far")).alias("shared"))
+
+
+@query("o2_genomes_by_sharing", "bits", f"SELECT gid, CAST(row_number() OVER (ORDER BY a DESC, gid) AS INT) AS place FROM (SELECT gid, round_even(avg(bit_count(mask)) * 1e6, 0) AS a FROM bits GROUP BY gid) ORDER BY place LIMIT 10")
+def _(ix):
+    from pyspark.sql import Window
+
+    rows = summary.pan_average(summary.pan_totals(ix.bits).where("chr is null"), ["gid"])
+    order = Window.orderBy(F.desc(F.rint(F.col("average") * 1e6)), "gid")
+    return rows.select("gid", F.row_number().over(order).alias("place")).orderBy("place").limit(10)
+
+
+@query("u4_present_types", "feats", "SELECT type FROM feats WHERE type IN ('gene', 'exon', 'CDS') GROUP BY type")
+def _(ix):
+    asked = ix.spark.createDataFrame([("gene",), ("exon",), ("CDS",)], "type string")
+    return ix.features.select("type").intersect(asked)
