@@ -163,7 +163,7 @@ def best_two_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
             b = below[room - a]
             b = np.where((b == a) & (count[a] < 2), below[np.maximum(a - 1, 0)], b)
             total = np.where(b > 0, a + b, 0)
-            k = int(np.argmax(total)) if len(total) else 0
+            k = len(total) - 1 - int(np.argmax(total[::-1])) if len(total) else 0  # of equal sums the one of like sizes
             if not len(total) or total[k] <= small:
                 break
             x, y = int(a[k]), int(b[k])

@@ -280,10 +280,10 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each class of near_duplicates(): the one of smallest doc_id, then smallest text_key."""
     classes = near_duplicates(docs, **how)
     best = classes.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "text_key")).alias("b"))
-    best = best.select(F.col("b.doc_id").alias("keep_id"), F.col("b.text_key").alias("keep_key"))
-    columns = docs.columns
-    met = docs.withColumn("__key", F.xxhash64("text")).join(best, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key")))
-    return met.dropDuplicates(["keep_id", "keep_key"]).select(*columns)
+    best = best.select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    met = own.join(best, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
+    return met.dropDuplicates(["id", "key"]).select("row.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
