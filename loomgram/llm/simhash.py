@@ -236,12 +236,13 @@ def linked(keys: DataFrame, width: int, radius: int) -> DataFrame:
     return dealt.mapInArrow(_compare(width, radius), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 256, radius: int | None = None, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 512, radius: int | None = None, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_key, fp, component_id of every row of docs (doc_id, text; other columns are ignored).
 
     Texts are linked if their fingerprints (width bits over word shingles, repeats included) differ in radius bits at
-    most; component_id is the smallest doc_id reachable over links. Without radius it is the one that similarity
-    (Jaccard of the shingles, as cosine 2s / (1 + s)) gives on average for width bits.
+    most; component_id is the smallest doc_id reachable over links. Without radius it is one standard deviation over the
+    mean that similarity (Jaccard of the shingles, as cosine 2s / (1 + s)) gives for width bits: with 512 bits 84 % of
+    pairs at 0.8 are linked, over 99 % at 0.85, 9 % at 0.7 and none that have little in common.
 
     With width 64 and a radius under 8 the search is complete: fingerprints are dealt to buckets by each of
     radius + 1 blocks of bits, of which near ones share one. Otherwise by BANDS pairs of min-hashed shingles, one
@@ -252,7 +253,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 256, radius:
     """
     exact = radius is not None and radius < 8 and width == 64
     if radius is None:
-        radius = int(np.ceil(width * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+        p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+        radius = int(np.ceil(width * p + np.sqrt(width * p * (1 - p))))
     rows = keep(digest(docs, shingle, width, bands=not exact))
     same = rows.groupBy("fp", *[] if exact else ["bands"]).agg(F.min("doc_id").alias("low"))
     if exact:
