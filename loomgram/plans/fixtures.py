@@ -41,7 +41,8 @@ class Index:
     @cached_property
     def bits(self) -> DataFrame:
         out = kmers.anchor(self.pos, self.sets)
-        return keep(out.repartitionByRange("gid", "chr", "pos").sortWithinPartitions("gid", "chr", "pos"))
+        # by hash, as a range would compute the join once more for its sample; row groups still follow genome and place
+        return keep(out.repartition("gid", "chr", F.shiftright("pos", 20)).sortWithinPartitions("gid", "chr", "pos"))
 
     @property
     def chrs(self) -> DataFrame:
