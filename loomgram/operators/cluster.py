@@ -51,13 +51,14 @@ def density_clusters(points: DataFrame, eps: float, x: str = "x", y: str = "y")
 
 
 def tree(distances: DataFrame, keys: list[str], method: str = "ward") -> DataFrame:
-    """keys, step, left, right, height, size: merges of an agglomerative tree for each key (a, b, dist of all pairs).
+    """keys, step, left, right, height, size, members: merges of an agglomerative tree for each key (a, b, dist of all pairs).
 
     Lance-Williams updates (ward, average or complete) in one task for each key: a key holds a number of genomes, not
-    of positions. Leaves are 0..n-1 in the order of their ids, merges n and on; ties go to the smaller pair.
+    of positions. Leaves are 0..n-1 in the order of their ids, merges n and on; ties go to the smaller pair. members are
+    the ids of the leaves under a merge.
     """
     kinds = {f.name: f.dataType for f in distances.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + ", step int, left int, right int, height double, size int"
+    schema = ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + ", step int, left int, right int, height double, size int, members array<int>"
 
     def grow(t: pa.Table) -> pa.Table:
         a, b, d = (t.column(c).to_numpy() for c in ("a", "b", "dist"))
@@ -68,6 +69,7 @@ def tree(distances: DataFrame, keys: list[str], method: str = "ward") -> DataFra
         m[i, j] = m[j, i] = d
         np.fill_diagonal(m, np.inf)
         size, live, out = np.r_[np.ones(n), np.zeros(n)], list(range(n)), []
+        under = [[int(x)] for x in ids]
         for step in range(n - 1):
             sub = m[np.ix_(live, live)]
             p, q = divmod(int(np.argmin(sub)), len(live))
@@ -86,15 +88,25 @@ def tree(distances: DataFrame, keys: list[str], method: str = "ward") -> DataFra
                     m[new, z] = m[z, new] = w
             size[new] = size[x] + size[y]
             live = [z for z in live if z not in (x, y)] + [new]
-            out.append((step, x, y, float(h), int(size[new])))
+            under.append(sorted(under[x] + under[y]))
+            out.append((step, x, y, float(h), int(size[new]), under[new]))
         cols = [pa.array([t.column(k)[0].as_py()] * len(out), t.schema.field(k).type) for k in keys]
-        kind = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
-        cols += [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kind)]
-        return pa.Table.from_arrays(cols, [*keys, "step", "left", "right", "height", "size"])
+        kind = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.int32()))
+        cols += [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kind)]
+        return pa.Table.from_arrays(cols, [*keys, "step", "left", "right", "height", "size", "members"])
 
     return distances.groupBy(*keys).applyInArrow(grow, schema)
 
 
+def dominant(trees: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, step, other, value: the leaf of largest value under each merge; values has keys, other, value. Ties go to
+    the smaller leaf; a merge whose leaves have no value has nulls."""
+    rows = trees.select(*keys, "step", F.explode("members").alias("other")).join(values, [*keys, "other"], "left")
+    best = F.max_by(F.struct("other", "value"), F.struct("value", -F.col("other")))
+    best = rows.where("value is not null").groupBy(*keys, "step").agg(best.alias("b")).select(*keys, "step", "b.other", "b.value")
+    return trees.select(*keys, "step").join(best, [*keys, "step"], "left")
+
+
 def cluster_sizes(clusters: DataFrame, bin_size: int) -> DataFrame:
     return clusters.groupBy("gid", "cluster").agg((F.count(F.lit(1)) * bin_size).alias("bases"))
 

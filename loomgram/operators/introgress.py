@@ -37,6 +37,13 @@ def three_way(grouped: DataFrame, compare: str, hundredths: list[int]) -> DataFr
     return rows.select(F.col("gid").alias("accession"), "chr", "start", "threshold", intervals.flag(hit).alias("flag"), F.lit(compare).alias("intro_type"))
 
 
+def two_way(sim: DataFrame, grouped: DataFrame, ref: int, own: list[int], hundredths: list[int]) -> DataFrame:
+    """Two-way calls of each accession in one view: its own coordinates if it is listed in own, else the reference's."""
+    there = two_way_reference(sim, ref, hundredths).where(~F.col("accession").isin(own))
+    here = two_way_own(grouped.where(F.col("gid").isin(own)), hundredths)
+    return there.union(here)
+
+
 def merged(calls: DataFrame) -> DataFrame:
     """A bin is introgressed if any compared group says so."""
     rows = calls.groupBy("accession", "chr", "start", "threshold").agg(F.max("flag").alias("flag"))

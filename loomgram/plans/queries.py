@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgram.functions import columns
 from loomgram.operators import bitmap, cluster, distance, genes, introgress, intervals, kmers, scoring, similarity, summary
 from loomgram.plans.fixtures import BASES, BIN, GENOMES, HOUR, K, LETTERS, SPAN, Index, index
-from loomgram.tables import table
+from loomgram.sources import readers
+from loomgram.tables import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -605,13 +606,13 @@ def _(ix):
 @query("t4_genome_trees")
 def _(ix):
     rows = summary.mask_counts(bitmap.low_resolution(ix.bits, 20), "gid")
-    return cluster.tree(distance.column_distance(rows, ["gid"], GENOMES), ["gid"])
+    return cluster.tree(distance.column_distance(rows, ["gid"], GENOMES), ["gid"]).drop("members")
 
 
 @query("t5_distance_tree")
 def _(ix):
     matrix = distance.symmetric(distance.jaccard(ix.sets, GENOMES, K))
-    return cluster.tree(distance.row_distance(matrix).withColumn("anchor", F.lit("all")), ["anchor"], "average")
+    return cluster.tree(distance.row_distance(matrix).withColumn("anchor", F.lit("all")), ["anchor"], "average").drop("members")
 
 
 @query("a25_cluster_bases", "", """WITH RECURSIVE p AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01::DOUBLE * 0.01::DOUBLE),
@@ -685,8 +686,6 @@ def _(ix):
 
 @query("o2_genomes_by_sharing", "bits", f"SELECT gid, CAST(row_number() OVER (ORDER BY a DESC, gid) AS INT) AS place FROM (SELECT gid, round_even(avg(bit_count(mask)) * 1e6, 0) AS a FROM bits GROUP BY gid) ORDER BY place LIMIT 10")
 def _(ix):
-    from pyspark.sql import Window
-
     rows = summary.pan_average(summary.pan_totals(ix.bits).where("chr is null"), ["gid"])
     order = Window.orderBy(F.desc(F.rint(F.col("average") * 1e6)), "gid")
     return rows.select("gid", F.row_number().over(order).alias("place")).orderBy("place").limit(10)
@@ -696,3 +695,81 @@ def _(ix):
 def _(ix):
     asked = ix.spark.createDataFrame([("gene",), ("exon",), ("CDS",)], "type string")
     return ix.features.select("type").intersect(asked)
+
+
+# reports and orders
+
+
+@query("i6_chosen_views", "fsim grouped", """SELECT other AS accession, 'REF' AS intro_type, t / 100.0::DOUBLE AS threshold, count(*) FILTER (sim < t / 100.0::DOUBLE) AS hits FROM fsim, unnest(range(10, 100, 5)) AS u(t) WHERE gid = 0 AND other <> 0 AND other NOT IN (3, 9, 15) GROUP BY ALL
+    UNION ALL SELECT gid, 'REFA', t / 100.0::DOUBLE, count(*) FILTER (ref_max < t / 100.0::DOUBLE) FROM grouped, unnest(range(10, 100, 5)) AS u(t) WHERE gid IN (3, 9, 15) GROUP BY ALL""")
+def _(ix):
+    sim = similarity.filtered_similarity(ix.bits, GENOMES, BIN, F.lit(31).cast("long"))
+    calls = introgress.two_way(sim, similarity.group_similarity(sim, ix.groups, "WT"), 0, [3, 9, 15], introgress.TWO_WAY)
+    return calls.groupBy("accession", "intro_type", "threshold").agg(F.sum("flag").alias("hits"))
+
+
+@query("i11_similarity_report", "fsim", f""", m AS (SELECT *, avg(sim) OVER w AS m, stddev_samp(sim) OVER w AS s FROM fsim WINDOW w AS (PARTITION BY gid, other)), t AS (SELECT gid, other, avg(sim) FILTER (sim >= m - 3 * s AND sim <= m + 3 * s) AS mean FROM m GROUP BY ALL),
+    g AS (SELECT gid, max(mean) AS goal FROM t WHERE mean <> 1 GROUP BY gid), x AS (SELECT *, round_even(sim * 100, 0) / 100 AS x FROM fsim), y AS (SELECT x.gid, chr, start, x.other, CASE WHEN x <= 0.98::DOUBLE THEN x + goal - mean ELSE x END AS y FROM x LEFT JOIN t ON t.gid = x.gid AND t.other = x.other LEFT JOIN g ON g.gid = x.gid)
+    SELECT gid, chr, start, other, {s6("CASE WHEN y IS NOT NULL THEN greatest(0, least(1, y)) END")} AS sim FROM y""")
+def _(ix):
+    sim = similarity.filtered_similarity(ix.bits, GENOMES, BIN, F.lit(31).cast("long"))
+    return introgress.preprocess(sim, trim=3.0).withColumn("sim", r6("sim"))
+
+
+@query("i12_prediction_matrix", "series", "SELECT accession, count(*) AS bins, CAST(sum(flag) AS BIGINT) AS ones FROM series GROUP BY accession")
+def _(ix):
+    return ix.dense.groupBy("accession").agg(F.count(F.lit(1)).alias("bins"), F.sum("flag").alias("ones"))
+
+
+@query("a29_dominant_genomes")
+def _(ix):
+    rows = summary.mask_counts(bitmap.low_resolution(ix.bits, 20), "gid")
+    trees = cluster.tree(distance.column_distance(rows, ["gid"], GENOMES), ["gid"])
+    return cluster.dominant(trees, summary.pair_totals(ix.bits, GENOMES).select("gid", "other", F.col("n").alias("value")), ["gid"])
+
+
+@query("t7_cluster_track", "", """WITH RECURSIVE p AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01::DOUBLE * 0.01::DOUBLE),
+    r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS id, dense_rank() OVER (ORDER BY m) - 1 AS cluster FROM (SELECT a, min(b) AS m FROM r GROUP BY a)) SELECT 0 AS gid, label AS chr, id * 100000 AS start, id * 100000 + 99999 AS "end", cluster FROM c JOIN p USING (id)""")
+def _(ix):
+    rows = table(ix.spark, ix.sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("gid"), F.col("label").alias("chr"), (F.col("vec_id") * 100_000).alias("start"))
+    return cluster.cluster_track(cluster.density_clusters(_points(ix), 0.01).select("id", long("cluster")).join(rows, "id"), 100_000)
+
+
+@query("o1_sorted_features", "feats", 'SELECT gid, chr, start, "end", type, id FROM feats ORDER BY gid, chr, start')
+def _(ix):
+    return ix.named.select("gid", "chr", "start", "end", "type", "id").orderBy("gid", "chr", "start")
+
+
+@query("o4_group_order", "grps", "SELECT gid, grp, row_number() OVER (ORDER BY list_position(['REF', 'WT', 'WTB', 'OFFSPRING'], grp), gid) AS place FROM grps")
+def _(ix):
+    rows = ix.groups.withColumn("p", F.array_position(F.array(*map(F.lit, ("REF", "WT", "WTB", "OFFSPRING"))), F.col("grp")))
+    return rows.select("gid", "grp", F.row_number().over(Window.orderBy("p", "gid")).cast("long").alias("place")).orderBy("place")
+
+
+@query("o5_first_chromosomes", "chrs", "SELECT gid, chr, size FROM chrs WHERE id < 50")
+def _(ix):
+    return ix.chrs.where("id < 50").select("gid", "chr", "size")
+
+
+# files, written from the tables and read again
+
+
+@query("s1_fasta_scan", "seqs", "SELECT CAST(chr AS VARCHAR) AS chr, length(seq) AS size, md5(seq) AS digest FROM seqs WHERE seq IS NOT NULL")
+def _(ix):
+    path = scratch(ix.spark)
+    ix.seqs.where("seq is not null").select(F.concat(F.lit(">"), "chr", F.lit(" of "), "gid", F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))).write.text(path)
+    return readers.fasta(ix.spark, path).select("chr", F.length("seq").cast("long").alias("size"), F.md5("seq").alias("digest"))
+
+
+@query("s3_gff_scan", "feats", 'SELECT CAST(chr AS VARCHAR) AS chr, start, "end", type, id FROM feats')
+def _(ix):
+    path, dot = scratch(ix.spark), F.lit(".")
+    ix.features.select("chr", dot.alias("source"), "type", "start", "end", dot.alias("score"), dot.alias("strand"), dot.alias("phase"), "attr").write.option("sep", "\t").csv(path)
+    return readers.gff(ix.spark, path).select("chr", "start", "end", "type", F.regexp_extract("attr", "ID=([^;]+)", 1).alias("id"))
+
+
+@query("s4_bed_scan", "bed", 'SELECT chr, start, "end", accession AS name FROM bed')
+def _(ix):
+    path = scratch(ix.spark)
+    ix.bed.select("chr", "start", "end", "accession").write.option("sep", "\t").csv(path)
+    return readers.bed(ix.spark, path)

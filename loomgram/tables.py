@@ -20,12 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, kind: str = "files") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
 
     Used in place of ``checkpoint()``, which computes its input twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept/{uuid.uuid4().hex}"
+    path = scratch(spark, "kept")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -216,3 +216,19 @@ def test_density_clusters_and_components(spark):
     got = {r.node: r.component for r in graph.connected_components(chain).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert graph.connected_components(chain.where("src = dst")).count() == 0
+
+
+def test_members_and_dominant_leaf(spark):
+    edges = spark.createDataFrame([("t", 0, 1, 1.0), ("t", 0, 2, 4.0), ("t", 1, 2, 5.0)], "k string, a int, b int, dist double")
+    trees = cluster.tree(edges, ["k"], "average")
+    assert [r.members for r in trees.orderBy("step").collect()] == [[0, 1], [0, 1, 2]]
+    values = spark.createDataFrame([("t", 0, 7), ("t", 1, 7), ("t", 2, 9)], "k string, other int, value long")
+    assert [(r.other, r.value) for r in cluster.dominant(trees, values, ["k"]).orderBy("step").collect()] == [(0, 7), (2, 9)]
+    assert [r.other for r in cluster.dominant(trees, values.where("value > 9"), ["k"]).collect()] == [None, None]
+
+
+def test_listed_accessions_are_called_in_their_own_view(spark):
+    sim = spark.createDataFrame([(0, 1, 0, 1, 0.1), (0, 1, 0, 2, 0.1)], "gid int, chr long, start long, other int, sim double")
+    own = spark.createDataFrame([(1, 1, 5, 0.9), (2, 1, 5, 0.9)], "gid int, chr long, start long, ref_max double")
+    got = introgress.two_way(sim, own, 0, [2], [50]).collect()
+    assert {(r.accession, r.intro_type, r.start, r.flag) for r in got} == {(1, "REF", 0, 1), (2, "REFA", 5, 0)}
