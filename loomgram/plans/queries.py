@@ -746,7 +746,8 @@ def _(ix):
     return rows.select("gid", "grp", F.row_number().over(Window.orderBy("p", "gid")).cast("long").alias("place")).orderBy("place")
 
 
-@query("o5_first_chromosomes", "chrs", "SELECT gid, chr, size FROM chrs WHERE id < 50")
+# the SQL counts the chromosomes before, as DuckDB 2.0.0 loses row 50 of row_number() - 1 < 50 over the join of parts
+@query("o5_first_chromosomes", "chrs", "SELECT gid, chr, size FROM (SELECT *, count(*) OVER (PARTITION BY gid ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM chrs) WHERE before < 50")
 def _(ix):
     return ix.chrs.where("id < 50").select("gid", "chr", "size")
 
