@@ -3,6 +3,8 @@
 Bit planes are stored vertically: plane b of a block of 64 fingerprints is one 64-bit word. For one fingerprint the
 differing bits of 64 others are one XOR a plane; a carry-save counter (one word for each binary digit) adds them up,
 and a comparison stops as soon as every counter is past the radius.
+
+Narrow fingerprints decide a link by themselves. Wide ones only choose candidates, which are compared by their shingles.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ LARGEST = 16384
 POOL = 2048
 #: Min-hashed pairs of shingles by which wide fingerprints are dealt to buckets.
 BANDS = 12
+#: Shingles of one part of a component whose candidates are compared at most, besides LARGEST / 2 rows.
+SHINGLES = 1 << 22
+#: Rows and shingles of small components that are compared together.
+FEW, FEW_SHINGLES = 256, 1 << 21
+#: Standard deviations over the mean distance up to which wide fingerprints are candidates.
+DEVIATIONS = 4
 _U = np.uint64
 
 
@@ -91,12 +99,45 @@ def _min_hashes(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows) without the repeats in each row; a row's hashes ascend."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, int)
+    return h[new], row[new]
+
+
+def differing(similarity: float) -> float:
+    """The largest share of bits by which two sets of that Jaccard similarity differ on average.
+
+    For large sets it is the angle of cosine 2s / (1 + s); sets of a few shingles can have more, as sums tie.
+    """
+    half = [np.ones(1)]
+    for _ in range(80):
+        half.append(np.convolve(half[-1], [0.5, 0.5]))
+    over = [np.r_[np.cumsum(x[::-1])[::-1], 0.0] for x in half]  # P(sum >= k)
+
+    def is_set(common: int, more: int) -> np.ndarray:
+        """P(bit is set), by the sum over the common shingles."""
+        return over[more][np.clip((common + more) // 2 + 1 - np.arange(common + 1), 0, more + 1)]
+
+    most = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    for common in range(1, 61):
+        for apart in range(min(int(common * (1 - similarity) / similarity + 1e-9), 20) + 1):
+            for a in range((apart + 1) // 2, apart + 1):
+                x, y = is_set(common, a), is_set(common, apart - a)
+                most = max(most, float(half[common] @ (x * (1 - y) + y * (1 - x))))
+    return most
+
+
 def _digest(shingle: int, width: int, bands: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, off = text_bytes(b.column("text"))
             n = b.num_rows
             h, row = shingle_hashes(data, off, shingle)
+            if bands:
+                h, row = distinct(h, row)
             cols = [fingerprints(h if k == 0 else mix(h + _U(k)), row, n) for k in range(width // 64)]
             raw = np.stack(cols, axis=1).astype(">u8").tobytes()
             size = width // 8
@@ -104,16 +145,22 @@ def _digest(shingle: int, width: int, bands: bool):
             if bands:
                 keys = _min_hashes(h, row, n).view(np.int64)
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_key", "fp", *["bands"] * bands])
+                size = np.bincount(row, minlength=n)
+                out += [pa.array(mix(row_sums(mix(h), row, n) + size.astype(np.uint64)).view(np.int64)), pa.array(size.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_key", "fp", *["bands", "node", "shingles"] * bands])
 
     return task
 
 
 def digest(docs: DataFrame, shingle: int, width: int = 64, bands: bool = False) -> DataFrame:
-    """doc_id, text_key (XXH64 of the text), fp (binary of width bits) and, if asked, the band keys of each document."""
+    """doc_id, text_key (XXH64 of the text), fp (binary of width bits) of each document.
+
+    With bands, repeated shingles count once, and there are also the band keys, node (a hash of the set of shingles) and
+    shingles (how many there are).
+    """
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), T.StructField("fp", T.BinaryType()),
-        *[T.StructField("bands", T.ArrayType(T.LongType()))] * bands,
+        *[T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("node", T.LongType()), T.StructField("shingles", T.LongType())] * bands,
     ])
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_digest(shingle, width, bands), schema)
 
@@ -183,6 +230,104 @@ def _forest(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
     return node[linked], node[label[linked]]
 
 
+def _exact_forest(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """As _forest(), but of the pairs within radius only those are linked whose sets have that Jaccard similarity.
+
+    Pairs that are connected already are not compared.
+    """
+    n = len(node)
+    label = np.arange(n)
+    size = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    code = np.split(code, np.cumsum(size)[:-1])
+    mine = np.zeros(int(size.sum()) + 1, bool)
+    vertical = planes(fp)
+    for low in range(0, n, 256):
+        near = within(fp, low, min(low + 256, n), vertical, radius)
+        for i in range(low, min(low + 256, n)):
+            left = np.flatnonzero(near[i - low, :i] & (size[:i] > 0))
+            left = left[label[left] != label[i]]
+            if not len(left) or not size[i]:
+                continue
+            mine[code[i]] = True
+            step = 1
+            while len(left):
+                part, left = left[:step], left[step:]
+                first = np.cumsum(size[part]) - size[part]
+                both = np.add.reduceat(mine[np.concatenate([code[j] for j in part])], first, dtype=np.int64)
+                met = np.unique(label[part[both / (size[i] + size[part] - both) >= similarity]])
+                if len(met):
+                    met = np.union1d(met, label[i])
+                    label[np.isin(label, met[1:])] = met[0]
+                    left = left[label[left] != label[i]]
+                step = min(step * 8, 1024)
+            mine[code[i]] = False
+    linked = label != np.arange(n)
+    return node[linked], node[label[linked]]
+
+
+def _sets(shingle: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h, row = distinct(*shingle_hashes(*text_bytes(b.column("text")), shingle))
+            at = np.r_[0, np.cumsum(np.bincount(row, minlength=b.num_rows))] * 8
+            raw = h.tobytes()
+            own = pa.array([raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+            names = ["component", "parts", "node", "fp"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), own], [*names, "own"])
+
+    return task
+
+
+def _verify(width: int, radius: int, similarity: float):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[bytes, np.ndarray]] = {}
+        size, last = 0, None
+
+        def block() -> pa.RecordBatch:
+            node = np.array(sorted(held), np.int64)
+            fp = np.frombuffer(b"".join(held[k][0] for k in node.tolist()), np.uint8).reshape(-1, width // 8)
+            a, b = _exact_forest(node, fp, [held[k][1] for k in node.tolist()], radius, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+
+        for batch in batches:
+            for c, i, j, k, fp, own in zip(*(batch.column(x).to_pylist() for x in ("component", "i", "j", "node", "fp", "own"))):
+                if (c, i, j) != last and (len(held) >= FEW or size >= FEW_SHINGLES):
+                    yield block()
+                    held.clear()
+                    size = 0
+                last = c, i, j
+                held[k] = fp, np.frombuffer(own, np.uint64)
+                size += len(own) // 8
+        if len(held) > 1:
+            yield block()
+
+    return task
+
+
+def similar(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, shingle: int, width: int, radius: int, similarity: float) -> DataFrame:
+    """src, dst edges that connect the nodes whose sets of shingles have that Jaccard similarity or more.
+
+    nodes: (node, fp, shingles, low, text_key), where a row of docs with low and text_key has the node's shingles.
+    candidates: (node, component); only nodes of one component are compared. The texts of nodes without a component stay
+    out, and each other one is read once. A large component is dealt to pairs of parts like a bucket of linked().
+    """
+    rows = nodes.join(candidates, "node").select("node", "fp", "shingles", "low", "text_key", "component")
+    rows = keep(rows)
+    parts = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"))
+    parts = parts.select("component", F.ceil(F.greatest(F.col("n") / (LARGEST // 2), F.col("s") / SHINGLES, F.lit(1.0))).cast("int").alias("parts"))
+    rows = rows.join(keep(parts), "component")
+    texts = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"), "text")
+    rows = rows.join(texts, (F.col("text_key") == F.col("own_key")) & F.col("low").eqNullSafe(F.col("own_id")))
+    rows = rows.dropDuplicates(["node"]).select("component", "parts", "node", "fp", "text")
+    rows = rows.mapInArrow(_sets(shingle), "component long, parts int, node long, fp binary, own binary")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "fp", "own")
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return rows.mapInArrow(_verify(width, radius, similarity), "src long, dst long")
+
+
 def _compare(width: int, radius: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -239,25 +384,28 @@ def linked(keys: DataFrame, width: int, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 512, radius: int | None = None, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_key, fp, component_id of every row of docs (doc_id, text; other columns are ignored).
 
-    Texts are linked if their fingerprints (width bits over word shingles, repeats included) differ in radius bits at
-    most; component_id is the smallest doc_id reachable over links. Without radius it is one standard deviation over the
-    mean that similarity (Jaccard of the shingles, as cosine 2s / (1 + s)) gives for width bits: with 512 bits 84 % of
-    pairs at 0.8 are linked, over 99 % at 0.85, 9 % at 0.7 and none that have little in common.
+    component_id is the smallest doc_id reachable over links.
+
+    With width 64 and a radius under 8, texts are linked if their fingerprints (over word shingles, repeats included)
+    differ in radius bits at most. The search is complete: fingerprints are dealt to buckets by each of radius + 1 blocks
+    of bits, of which near ones share one.
 
-    With width 64 and a radius under 8 the search is complete: fingerprints are dealt to buckets by each of
-    radius + 1 blocks of bits, of which near ones share one. Otherwise by BANDS pairs of min-hashed shingles, one
-    of which near texts share with probability 1 - (1 - s^2)^BANDS: all but 5 in a million at s = 0.8.
+    Otherwise texts are linked if the Jaccard similarity of their sets of shingles is similarity or more, and the
+    fingerprints (over these sets) only choose candidates. They are dealt to buckets by BANDS pairs of min-hashed
+    shingles, one of which near texts share with probability 1 - (1 - s^2)^BANDS: all but 5 in a million at s = 0.8.
+    Candidates differ in radius bits at most: without radius DEVIATIONS standard deviations over the mean at similarity,
+    for the sets of shingles that have the largest one; the binomial law leaves out 4 pairs in 100,000 of these.
 
     Null and empty texts and texts of white space have fingerprint zero and are linked like any other. Repeated
     rows have equal fingerprints and thus one class. A null doc_id counts as larger than all others.
     """
     exact = radius is not None and radius < 8 and width == 64
     if radius is None:
-        p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-        radius = int(np.ceil(width * p + np.sqrt(width * p * (1 - p))))
+        p = differing(similarity)
+        radius = int(np.ceil(width * p + DEVIATIONS * np.sqrt(width * p * (1 - p))))
     rows = keep(digest(docs, shingle, width, bands=not exact))
-    same = rows.groupBy("fp", *[] if exact else ["bands"]).agg(F.min("doc_id").alias("low"))
     if exact:
+        same = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
         nodes = keep(same.withColumn("node", F.conv(F.hex("fp"), 16, -10).cast("long")))
         bits = [round(k * width / (radius + 1)) for k in range(radius + 2)]
         digits = [F.conv(F.substring(F.hex("fp"), 1 + 4 * k, 4), 16, 10).cast("int") for k in range(4)] if radius == 3 else None
@@ -266,15 +414,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 512, radius:
             digits = [F.conv(F.substring(text, 1 + a, b - a), 2, 10).cast("int") for a, b in zip(bits, bits[1:])]
         key = F.posexplode(F.array(*digits))
         keys = nodes.select("node", "fp", key).select("node", "fp", F.xxhash64("pos", "col").alias("key"))
+        roots = connected_components(linked(keys, width, radius))
     else:
-        nodes = keep(same.withColumn("node", F.xxhash64("fp", "bands")))
+        text_key = F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key")
+        nodes = keep(rows.groupBy("node", "fp", "bands", "shingles").agg(F.min("doc_id").alias("low"), text_key))
         keys = nodes.select("node", "fp", F.posexplode("bands")).select("node", "fp", F.xxhash64("pos", "col").alias("key"))
-    roots = connected_components(linked(keys, width, radius))
+        candidates = keep(connected_components(linked(keys, width, radius)))
+        roots = connected_components(similar(docs, nodes, candidates, shingle, width, radius, similarity))
     low = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    low = keep(low.select("fp", *[] if exact else ["bands"], "root", "low"))
+    on = "fp" if exact else "node"
+    low = keep(low.select(on, "root", "low"))
     least = keep(low.groupBy("root").agg(F.min("low").alias("component_id")))
-    named = keep(low.join(least, "root").select("fp", *[] if exact else ["bands"], "component_id"))
-    on = ["fp"] if exact else ["fp", "bands"]
+    named = keep(low.join(least, "root").select(on, "component_id"))
     return rows.join(named, on, "left").select("doc_id", "text_key", "fp", "component_id")
 
 

@@ -237,6 +237,42 @@ def test_near_duplicates_by_similarity(spark, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def jaccard(a, b, k=5):
+    a, b = set(shingled(split(a), k)), set(shingled(split(b), k))
+    return len(a & b) / len(a | b)
+
+
+def edited(t, changes):
+    w = t.split()
+    for i in range(changes):
+        w[20 + 40 * i] = f"changed{i}"
+    return " ".join(w)
+
+
+def test_near_duplicates_around_the_similarity(spark):
+    pairs = []
+    for changes, low, high in ((5, 0.84, 0.85), (6, 0.81, 0.82), (7, 0.78, 0.79)):
+        for _ in range(40):
+            a = prose(300)
+            pairs.append((a, edited(a, changes)))
+            assert low < jaccard(*pairs[-1]) < high
+    for k in range(40):  # four shingles and five
+        a = f"few{k} " + prose(7)
+        pairs.append((a, a + f" last{k}"))
+        assert jaccard(*pairs[-1]) == 0.8
+    t = [(2 * k + j, x) for k, p in enumerate(pairs) for j, x in enumerate(p)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(t, "doc_id long, text string")).collect()}
+    assert [k for k, p in enumerate(pairs) if (got[2 * k + 1] == got[2 * k]) != (jaccard(*p) >= 0.8)] == []
+
+
+def test_large_components_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGEST", 8)
+    a, b = prose(300), prose(300)
+    t = [edited(a, 7) + f" {prose(1)} {k}" for k in range(15)] + [a + f" {prose(1)} {k}" for k in range(15)] + [b, b + " " + b, b + " end"]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(t))] == [0] * 15 + [15] * 15 + [30] * 3
+
+
 # 6
 
 
