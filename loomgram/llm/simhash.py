@@ -382,9 +382,10 @@ def linked(keys: DataFrame, width: int, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 512, radius: int | None = None, similarity: float = 0.8) -> DataFrame:
-    """doc_id, text_key, fp, component_id of every row of docs (doc_id, text; other columns are ignored).
+    """doc_id, text_key, fp, component_id, root of every row of docs (doc_id, text; other columns are ignored).
 
-    component_id is the smallest doc_id reachable over links.
+    component_id is the smallest doc_id reachable over links; it is null for each class that has only null ones. root is
+    another number of the class, never null and different for each.
 
     With width 64 and a radius under 8, texts are linked if their fingerprints (over word shingles, repeats included)
     differ in radius bits at most. The search is complete: fingerprints are dealt to buckets by each of radius + 1 blocks
@@ -425,14 +426,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, width: int = 512, radius:
     on = "fp" if exact else "node"
     low = keep(low.select(on, "root", "low"))
     least = keep(low.groupBy("root").agg(F.min("low").alias("component_id")))
-    named = keep(low.join(least, "root").select(on, "component_id"))
-    return rows.join(named, on, "left").select("doc_id", "text_key", "fp", "component_id")
+    named = keep(low.join(least, "root").select(on, "component_id", "root"))
+    return rows.join(named, on, "left").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each class of near_duplicates(): the one of smallest doc_id, then smallest text_key."""
     classes = near_duplicates(docs, **how)
-    best = classes.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "text_key")).alias("b"))
+    best = classes.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "text_key")).alias("b"))
     best = best.select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"))
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
     met = own.join(best, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))

@@ -273,6 +273,15 @@ def test_large_components_are_dealt_to_parts(spark, monkeypatch):
     assert [got[k] for k in range(len(t))] == [0] * 15 + [15] * 15 + [30] * 3
 
 
+def test_classes_of_null_ids_stay_apart(spark):
+    a, b, c = prose(80), prose(80), prose(80)
+    docs = spark.createDataFrame([(None, a), (None, b), (None, a + " end"), (None, None), (7, c), (None, c)], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert len(got) == 4 and {(None, b), (None, None), (7, c)} < set(got) and len({(None, a), (None, a + " end")} & set(got)) == 1
+    roots = {(r.doc_id, r.text_key, r.fp): r.root for r in simhash.near_duplicates(docs, shingle=3, width=64, radius=3).collect()}
+    assert None not in roots.values() and len(set(roots.values())) >= 4
+
+
 # 6
 
 
