@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,10 @@ REMEMBERED = 400_000
 
 
 def encoder(path: str):
-    """An encoder with the ranks of a byte-level BPE file of the tokenizers library; it gives the same ids, faster."""
+    """An encoder with the ranks of a byte-level BPE file of the tokenizers library; it gives the same ids, faster.
+
+    The literal text of an added token is text like any other to it; encode_texts() takes such texts.
+    """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -82,17 +86,54 @@ def encode(data: np.ndarray, off: np.ndarray, enc, known: dict) -> tuple[np.ndar
     return flat[where], np.r_[0, to][np.searchsorted(at, off, "left")]
 
 
+class AddedTokens:
+    """The added tokens of a file, and its own tokenizer for the texts that hold one."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            self.contents = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        self.path, self._own = path, None
+
+    def inside(self, column: pa.Array) -> np.ndarray:
+        """Which texts hold one."""
+        out = np.zeros(len(column), bool)
+        for c in self.contents:
+            out |= pc.fill_null(pc.match_substring(column, c), False).to_numpy(zero_copy_only=False)
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        from tokenizers import Tokenizer
+
+        if self._own is None:
+            self._own = Tokenizer.from_file(self.path)
+        return [np.array(self._own.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+
+
+def encode_texts(column: pa.Array, enc, known: dict, added: AddedTokens) -> tuple[np.ndarray, np.ndarray]:
+    """As encode(), for a column of texts; where the literal text of an added token stands, there is that token."""
+    hit = added.inside(column)
+    if not hit.any():
+        return encode(*text_bytes(column), enc, known)
+    ids, at = encode(*text_bytes(pc.if_else(pa.array(hit), "", column)), enc, known)
+    rows = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
+    where = np.flatnonzero(hit)
+    for k, x in zip(where.tolist(), added.encode(column.take(pa.array(where)).to_pylist())):
+        rows[k] = x
+    return np.concatenate(rows), np.r_[0, np.cumsum([len(x) for x in rows])]
+
+
 def tokenize(docs: DataFrame, path: str, most: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked, ids of each piece of at most `most` tokens.
 
-    A document is its text's ids and then `end`; a null text is empty. Longer ones are cut so that the first piece
+    A document is its text's ids, as the tokenizers library gives them by default, and then `end`; a null text is empty.
+    Longer ones are cut so that the first piece
     may be shorter.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(path), {}
+        enc, known, added = encoder(path), {}, AddedTokens(path)
         for b in slices(batches, limit=4 << 20):
-            ids, at = encode(*text_bytes(b.column("text")), enc, known)
+            ids, at = encode_texts(b.column("text"), enc, known, added)
             take, piece, start, length, crc, own = [], [], [], [], [], []
             for k in range(b.num_rows):
                 x = np.empty(at[k + 1] - at[k] + 1, "<u4")

@@ -411,6 +411,22 @@ def test_chunked_encoding(t):
     assert ids.tolist() == own.encode(t, add_special_tokens=False).ids + own.encode("z " + t + " z", add_special_tokens=False).ids and len(at) == 3
 
 
+def test_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "plain", "<|endoftext|><|endoftext|>\n x", None, "", "  <|endoftext|>  y", " <|endoftext|", prose(1500) + " <|endoftext|> é " + prose(20)]
+    got = packing.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True).orderBy("doc_id", "piece").collect()
+    ids = collections.defaultdict(list)
+    for r in got:
+        ids[r.doc_id] += r.ids
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids)
+    assert [ids[k] for k in range(len(texts))] == [own.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert ids[0] == [64, 220, 50256, 275, 2]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_two_fit(seed):
     r = np.random.default_rng(seed)
