@@ -132,6 +132,12 @@ def _(ix):
     return rows.groupBy("gid", "chr", "other").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("ones"))
 
 
+@query("k8_all_bits", "bits others", "SELECT gid, chr, other, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * ((mask >> other) & 1)) AS BIGINT) AS ones FROM (SELECT gid, chr, mask, count(*) AS c FROM bits GROUP BY ALL), others GROUP BY ALL")
+def _(ix):
+    rows = bitmap.unpack(summary.mask_counts(ix.bits, "gid", "chr"), GENOMES)
+    return rows.groupBy("gid", "chr", "other").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bit")).alias("ones"))
+
+
 @query("k10_low_resolution", "bits", "SELECT gid, chr, pos, CAST(bit_count(mask) AS INT) AS pan_count FROM bits WHERE pos % 100 = 0")
 def _(ix):
     return bitmap.low_resolution(ix.bits).select("gid", "chr", "pos", F.bit_count("mask").alias("pan_count"))
@@ -339,6 +345,11 @@ def _(ix):
     return distance.column_distance(rows, ["gid"], GENOMES).withColumn("dist", r6("dist"))
 
 
+@query("a16_all_columns", "bits others", f"SELECT gid, a.other AS a, b.other AS b, {s6('sqrt(sum(c * xor((mask >> a.other) & 1, (mask >> b.other) & 1)))')} AS dist FROM (SELECT gid, mask, count(*) AS c FROM bits GROUP BY ALL), others a, others b WHERE a.other < b.other GROUP BY ALL")
+def _(ix):
+    return distance.column_distance(summary.mask_counts(ix.bits, "gid"), ["gid"], GENOMES).withColumn("dist", r6("dist"))
+
+
 @query("a16_row_distance", "", f"""WITH e AS (SELECT label, avg(x) AS x, i FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i)
     SELECT p.label AS a, q.label AS b, {s6("sqrt(sum((p.x - q.x) * (p.x - q.x)))")} AS dist FROM e p JOIN e q ON p.i = q.i AND p.label < q.label GROUP BY ALL""")
 def _(ix):
@@ -691,6 +702,13 @@ def _(ix):
     return rows.select("gid", F.row_number().over(order).alias("place")).orderBy("place").limit(10)
 
 
+@query("o2_all_genomes", "bits", "SELECT gid, CAST(row_number() OVER (ORDER BY a DESC, gid) AS INT) AS place FROM (SELECT gid, round_even(avg(bit_count(mask)) * 1e6, 0) AS a FROM bits GROUP BY gid) ORDER BY place")
+def _(ix):
+    rows = summary.pan_average(summary.pan_totals(ix.bits).where("chr is null"), ["gid"])
+    order = Window.orderBy(F.desc(F.rint(F.col("average") * 1e6)), "gid")
+    return rows.select("gid", F.row_number().over(order).alias("place")).orderBy("place")
+
+
 @query("u4_present_types", "feats", "SELECT type FROM feats WHERE type IN ('gene', 'exon', 'CDS') GROUP BY type")
 def _(ix):
     asked = ix.spark.createDataFrame([("gene",), ("exon",), ("CDS",)], "type string")
