@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgram.llm import decontaminate, packing, quality, simhash, suffixes
+from loomgram.llm.text import aside
 from loomgram.tables import keep, table
 
 #: Score under which a document is rejected.
@@ -28,10 +29,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of PASSAGE bytes or more that occur again; characters cut in two go as a whole."""
     out = suffixes.remove_repeats(docs, PASSAGE)
+    _, moved = aside(docs, *suffixes.COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    columns = [F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    new = {"text": text, "n_chars": F.char_length(text)}
+    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(moved.get(c, c)).alias(c) for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,17 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgram.llm.text import mix, powers, prefix_sums, slices, span_hash, text_bytes
+from loomgram.llm.text import aside, mix, powers, prefix_sums, slices, span_hash, text_bytes, unused
 from loomgram.tables import keep
 
 #: Bytes to which multikey quicksort sorts; groups that are equal so far go to blind tries.
 SHALLOW = 16
 #: Occurrences of an anchor that one task sorts; more of them are dealt out string by string.
 LARGEST = 20000
+#: Bytes from which op7_suffixes reports a repeated passage: 50 words of four letters or so.
+PASSAGE = 240
+#: What remove_repeats() adds.
+COLUMNS = ("n_repeated", "kept", "kept_text", "n_removed", "n_spans")
 
 
 def _lcp(a: bytes, b: bytes, low: int = 0) -> int:
@@ -137,20 +141,40 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def covered(left: list[bytes], right: list[bytes], most: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far before and after each occurrence of an anchor the repeated strings of `most` bytes over it reach.
+def _sorted(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    order, common = deep_shallow(strings)
+    return np.array(order), np.array(common, np.int64)
 
-    left: what precedes, backwards; right: what follows, the anchor included. (0, 0): no such string.
+
+def covered(left: list[bytes], right: list[bytes], levels: list[int], gram: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level, how far before and after each occurrence of an anchor the repeated strings of that many bytes over it reach.
+
+    left: what precedes, backwards; right: what follows, the anchor included. (0, 0): no such string. All levels come
+    from one sorting of both sides.
     """
     n = len(right)
     if n == 2:
-        a, b = _lcp(left[0], left[1]), _lcp(right[0], right[1], min(gram, len(right[0]), len(right[1])))
-        return (np.full(2, a), np.full(2, b)) if a + b >= most and right[0][:gram] == right[1][:gram] else (np.zeros(2, int), np.zeros(2, int))
-    (lo, lc), (ro, rc) = deep_shallow(left), deep_shallow(right)
-    lo, lc, ro, rc = np.array(lo), np.array(lc), np.array(ro), np.array(rc)
+        a, b = _lcp(left[0], left[1]), _lcp(right[0], right[1])
+        return [(np.full(2, a), np.full(2, b)) if a + b >= most else (np.zeros(2, int), np.zeros(2, int)) for most in levels]
+    (lo, lc), (ro, rc) = _sorted(left), _sorted(right)
+    if n > 48:
+        size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+        return [_reach(lo, lc, ro, rc, *size, most, gram) for most in levels]
+    far = []
+    for order, common in ((lo, lc), (ro, rc)):
+        m = np.zeros((n, n), np.int64)
+        for i in range(n - 1):
+            m[order[i], order[i + 1 :]] = np.minimum.accumulate(common[i:])
+        far.append(np.maximum(m, m.T))
+    both = far[0] + far[1]
+    return [(np.where(both >= most, far[0], 0).max(axis=1), np.where(both >= most, far[1], 0).max(axis=1)) for most in levels]
+
+
+def _reach(lo: np.ndarray, lc: np.ndarray, ro: np.ndarray, rc: np.ndarray, left_n: np.ndarray, right_n: np.ndarray, most: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """covered() at one level for many occurrences: classes by what precedes and what follows at each depth at which they change."""
+    n = len(lo)
     before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    left_n, right_n = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    for o in range(most - gram + 1):
+    for o in np.unique(np.clip(np.r_[0, most - gram, lc, most - rc], 0, most - gram)).tolist():
         fit = np.flatnonzero((left_n >= o) & (right_n >= most - o))
         if len(fit) < 2:
             continue
@@ -163,22 +187,6 @@ def covered(left: list[bytes], right: list[bytes], most: int, gram: int) -> tupl
     return before, after
 
 
-def _pairs(left: list[bytes], right: list[bytes], most: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """covered() for few occurrences, from the common parts of all pairs."""
-    n = len(right)
-    if n == 2 or n > 48:
-        return covered(left, right, most, gram)
-    far = []
-    for strings in (left, right):
-        order, common = deep_shallow(strings)
-        m = np.zeros((n, n), np.int64)
-        for i in range(n - 1):
-            m[order[i], order[i + 1 :]] = np.minimum.accumulate(np.array(common[i:]))
-        far.append(np.maximum(m, m.T))
-    ok = far[0] + far[1] >= most
-    return np.where(ok, far[0], 0).max(axis=1), np.where(ok, far[1], 0).max(axis=1)
-
-
 def _slide(x: np.ndarray, w: int, f: np.ufunc, pad: int) -> np.ndarray:
     """f over each w neighbours of x: out[i] = f(x[i : i + w])."""
     n = len(x)
@@ -190,14 +198,17 @@ def _slide(x: np.ndarray, w: int, f: np.ufunc, pad: int) -> np.ndarray:
     return f(tail[: n - w + 1], head[w - 1 : n])
 
 
-def anchors(data: np.ndarray, off: np.ndarray, most: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of each gram that is smallest by hash in some string of `most` bytes of one row."""
-    n, w = len(data), most - gram + 1
-    if n < most:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     sums = prefix_sums(data)
-    _, inverse = powers(n + 1)
-    h = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]) | np.uint64(1)
+    _, inverse = powers(len(data) + 1)
+    return mix((sums[gram:] - sums[:-gram]) * inverse[: len(data) - gram + 1]) | np.uint64(1)
+
+
+def anchors(h: np.ndarray, off: np.ndarray, most: int, gram: int) -> np.ndarray:
+    """Whether each gram, of hashes h, is smallest by hash in some string of `most` bytes of one row."""
+    w = most - gram + 1
+    if len(h) < w:
+        return np.zeros(len(h), bool)
     low = _slide(h, w, np.minimum, 0xFFFFFFFFFFFFFFFF)
     whole = np.zeros(len(low) + 1, np.int8)  # strings that lie in one row
     size = np.diff(off)
@@ -205,24 +216,28 @@ def anchors(data: np.ndarray, off: np.ndarray, most: int, gram: int) -> tuple[np
     np.add.at(whole, off[1:][size >= most] - most + 1, -1)
     low[np.cumsum(whole[:-1]) == 0] = 0
     edge = np.zeros(w - 1, np.uint64)
-    top = _slide(np.concatenate([edge, low, edge]), w, np.maximum, 0)
-    at = np.flatnonzero(top == h)
-    return at, h[at]
+    return _slide(np.concatenate([edge, low, edge]), w, np.maximum, 0) == h
 
 
-def _anchor_rows(most: int, gram: int):
+def _anchor_rows(low: int, high: int, gram: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, off = text_bytes(b.column("text"))
-            at, h = anchors(data, off, most, gram)
+            if len(data) < low:
+                continue
+            h = gram_hashes(data, gram)
+            at = np.flatnonzero(anchors(h, off, low, gram))
+            wide = np.ones(len(at), bool) if low == high else anchors(h, off, high, gram)[at]
             row = np.searchsorted(off, at, "right") - 1
             key = b.column("key").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(at - off[row])], ["h", "key", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(key), pa.array(at - off[row]), pa.array(wide)], ["h", "key", "pos", "wide"])
 
     return task
 
 
-def _context_rows(most: int, gram: int):
+def _context_rows(low: int, high: int, gram: int):
+    """What stands around each anchor: enough for strings of `high` bytes over wide ones, of `low` bytes over the others."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out: list[tuple] = []
@@ -231,12 +246,12 @@ def _context_rows(most: int, gram: int):
                 name = hashlib.md5(raw).digest()
                 seen: dict[tuple, list[int]] = {}
                 for s in spots:
-                    p = s["pos"]
+                    p, most = s["pos"], high if s["wide"] else low
                     if p + gram <= len(raw):
                         seen.setdefault((s["h"], raw[max(0, p - most + gram) : p], raw[p : p + most]), []).append(p)
                 for (h, left, right), at in seen.items():
                     out.append((h, name, at[0], left[::-1], right, None))
-                    if len(at) > 1 and len(left) + len(right) >= most:
+                    if len(at) > 1 and len(left) + len(right) >= low:
                         out += [(None, name, p, None, None, (len(left) << 32) + len(right)) for p in at]
             cols = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["h", "name", "pos", "before", "after", "found"])
@@ -244,46 +259,65 @@ def _context_rows(most: int, gram: int):
     return task
 
 
-def _sort_rows(most: int, gram: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def close() -> list[tuple]:
-            got: list[tuple] = []
-            one = {(r["name"], r["pos"]): r for r in held}  # a repeated row is one occurrence
-            alike: dict[tuple, list[dict]] = {}
-            for r in one.values():
-                alike.setdefault((r["before"], r["after"]), []).append(r)
-            kinds = list(alike)
-            if len(kinds) > 1:
-                before, after = _pairs([k[0] for k in kinds], [k[1] for k in kinds], most, gram)
-            for i, (k, rows) in enumerate(alike.items()):
-                a, b = (int(before[i]), int(after[i])) if len(kinds) > 1 else (0, 0)
-                if len(rows) > 1 and len(k[0]) + len(k[1]) >= most:
-                    a, b = len(k[0]), len(k[1])
-                if a + b:
-                    got += [(r["name"], r["pos"] - a, r["pos"] + b) for r in rows]
-            return got
+_SPAN = "name binary, low long, high long, wide boolean"
+
+
+def _sort_rows(low: int, high: int, gram: int):
+    levels = sorted({low, high})
 
+    def close(names: list[bytes], places: list[int], befores: list[bytes], afters: list[bytes], found: list[tuple]) -> None:
+        if len(names) < 2:
+            return
+        alike: dict[tuple, dict[tuple, None]] = {}  # a repeated row is one occurrence
+        for name, place, before, after in zip(names, places, befores, afters):
+            alike.setdefault((before, after), {})[name, place] = None
+        kinds = list(alike)
+        reach = covered([k[0] for k in kinds], [k[1] for k in kinds], levels, gram) if len(kinds) > 1 else None
+        for i, ((before, after), rows) in enumerate(alike.items()):
+            last = (0, 0)
+            for level in range(len(levels) - 1, -1, -1):
+                a, b = (int(reach[level][0][i]), int(reach[level][1][i])) if reach else (0, 0)
+                if len(rows) > 1 and len(before) + len(after) >= levels[level]:
+                    a, b = len(before), len(after)
+                if a + b and (a, b) != last:
+                    last = a, b
+                    wide = levels[level] == high
+                    found += [(name, p - a, p + b, wide) for name, p in rows]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        last = None
         found: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64(), pa.bool_()))]
+            found.clear()
+            return pa.RecordBatch.from_arrays(cols, ["name", "low", "high", "wide"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and held[0]["h"] != r["h"]:
-                    found += close()
-                    held = []
-                held.append(r)
+            h = batch.column("h").to_numpy()
+            if not len(h):
+                continue
+            cols = [batch.column(c).to_pylist() for c in ("name", "pos", "before", "after")]
+            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+            for i, j in zip(cuts, cuts[1:]):
+                if last == h[i]:
+                    for x, c in zip(held, cols):
+                        x += c[i:j]
+                    continue
+                close(*held, found)
+                last, held = h[i], [c[i:j] for c in cols]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64()))], ["name", "low", "high"])
-                found = []
-        found = close() if held else []
+                yield out()
+        close(*held, found)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64()))], ["name", "low", "high"])
+            yield out()
 
     return task
 
 
-def _string_rows(most: int, gram: int):
-    """Hash of each string of `most` bytes over an anchor, for anchors that occur too often for one task."""
+def _string_rows(low: int, high: int, gram: int):
+    """Hash of each string of `low` and of `high` bytes over an anchor, for anchors that occur too often for one task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,66 +327,93 @@ def _string_rows(most: int, gram: int):
                 raw = b"".join(x[::-1] + y for x, y in zip(before, after))
                 sums = prefix_sums(np.frombuffer(raw, np.uint8))
                 a, c = np.array([len(x) for x in before]), np.array([len(x) for x in after])
-                base = np.cumsum(a + c) - a - c
-                times = np.maximum(np.minimum(a, most - gram) - np.maximum(0, most - c) + 1, 0)
-                row = np.repeat(np.arange(len(a)), times)
-                start = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                start += (a - np.minimum(a, most - gram))[row]
-                hashes = span_hash(sums, base[row] + start, base[row] + start + most)
-                pos = part.column("pos").to_numpy()
-                cols = [part.column("h").take(pa.array(row)), pa.array(hashes.view(np.int64)), part.column("name").take(pa.array(row)), pa.array(pos[row]), pa.array(pos[row] - a[row] + start)]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "string", "name", "pos", "start"])
+                base = np.cumsum(a + c) - c  # the anchor's place
+                for most in sorted({low, high}):
+                    first, last = np.maximum(0, most - c), np.minimum(a, most - gram)  # bytes before the anchor
+                    times = np.maximum(last - first + 1, 0)
+                    row = np.repeat(np.arange(len(a)), times)
+                    o = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + first[row]
+                    hashes = span_hash(sums, base[row] - o, base[row] - o + most)
+                    of = pa.array(row)
+                    cols = [*(part.column(x).take(of) for x in ("h", "kind", "again", "own", "pos")), pa.array(np.full(len(row), most)), pa.array(hashes.view(np.int64)), pa.array(o)]
+                    yield pa.RecordBatch.from_arrays(cols, ["h", "kind", "again", "own", "pos", "most", "string", "o"])
 
     return task
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
-    """name (MD5 of a text) and spans (array of low, high) whose bytes lie in a string of min_bytes that occurs again.
+def repeated_spans(docs: DataFrame, min_bytes: int = 400, report_bytes: int | None = None) -> DataFrame:
+    """name (MD5 of a text), spans (array of low, high: maximal runs of bytes that lie in a string of min_bytes that occurs
+    again) and n_repeated (bytes that lie in such a string of report_bytes, by default of min_bytes; at most min_bytes).
 
-    Repeats inside a text and with other texts count here; copies of a whole text don't, see remove_repeats().
+    Repeats inside a text and with other texts count here; copies of a whole text don't, see remove_repeats(). An
+    anchor with up to LARGEST occurrences is sorted in one task. One with more is dealt out: occurrences that stand
+    in equal surroundings are one kind, the kinds' strings meet by their hashes, and what a kind has found goes back to
+    its occurrences in a join that Spark can split.
     """
-    gram = max(1, min_bytes // 2)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= min_bytes)
-    spots = keep(rows.mapInArrow(_anchor_rows(min_bytes, gram), "h long, key long, pos long"))
+    low, high = report_bytes or min_bytes, min_bytes
+    if low > high:
+        raise ValueError("report_bytes must be min_bytes at most")
+    gram = max(1, low // 2)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= low)
+    spots = keep(rows.mapInArrow(_anchor_rows(low, high, gram), "h long, key long, pos long, wide boolean"))
     twice = spots.groupBy("h").agg(F.min(x := F.xxhash64("key", "pos")).alias("a"), F.max(x).alias("b")).where("a <> b").select("h")
     again = keep(twice)
-    at = spots.join(again, "h").groupBy("key").agg(F.collect_set(F.struct("h", "pos")).alias("spots"))
+    at = spots.join(again, "h").groupBy("key").agg(F.collect_set(F.struct("h", "pos", "wide")).alias("spots"))
     first = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first"))
     at = at.join(first, "key")
     texts = rows.withColumn("first", F.coalesce("doc_id", F.lit(2**63 - 1))).join(at, ["key", "first"]).select("text", "spots")
-    around = keep(texts.mapInArrow(_context_rows(min_bytes, gram), "h long, name binary, pos long, before binary, after binary, found long"))
-    inside = around.where("found is not null").select("name", (F.col("pos") - F.shiftright("found", 32)).alias("low"), (F.col("pos") + F.col("found").bitwiseAND(F.lit(0xFFFFFFFF))).alias("high"))
+    around = keep(texts.mapInArrow(_context_rows(low, high, gram), "h long, name binary, pos long, before binary, after binary, found long"))
+    left, right = F.shiftright("found", 32), F.col("found").bitwiseAND(F.lit(0xFFFFFFFF))
+    inside = around.where("found is not null").select("name", (F.col("pos") - left).alias("low"), (F.col("pos") + right).alias("high"), (left + right >= high).alias("wide"))
     around = around.where("found is null").drop("found")
     often = keep(around.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST).select("h"))
     few = around.join(often, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    few = few.mapInArrow(_sort_rows(min_bytes, gram), "name binary, low long, high long")
-    many = around.join(often, "h").mapInArrow(_string_rows(min_bytes, gram), "h long, string long, name binary, pos long, start long")
-    x = F.xxhash64("name", "start")
-    both = many.groupBy("h", "string").agg(F.min(x).alias("a"), F.max(x).alias("b")).where("a <> b").select("h", "string")
-    many = many.join(both, ["h", "string"]).groupBy("h", "name", "pos").agg(F.min("start").alias("low"), (F.max("start") + min_bytes).alias("high"))
-    spans = inside.union(few).union(many.select("name", "low", "high"))
-    return spans.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
-
-
-def _cut():
+    few = few.mapInArrow(_sort_rows(low, high, gram), _SPAN)
+
+    many = around.join(often, "h").withColumn("kind", F.xxhash64("before", "after"))
+    x = F.xxhash64("name", "pos")
+    own = [F.xxhash64(F.min("name")).alias("own"), F.min("pos").alias("pos")]  # of a kind's only occurrence
+    kinds = many.groupBy("h", "kind").agg((F.min(x) != F.max(x)).alias("again"), *own, F.min("before").alias("before"), F.min("after").alias("after"))
+    strings = keep(kinds).mapInArrow(_string_rows(low, high, gram), "h long, kind long, again boolean, own long, pos long, most long, string long, o long")
+    x = F.xxhash64("own", F.col("pos") - F.col("o"))  # over several anchors of equal hash a string is still one
+    both = strings.groupBy("h", "most", "string").agg(F.min(x).alias("a"), F.max(x).alias("b"), F.max("again").alias("again"))
+    both = keep(both.where("a <> b or again").select("h", "most", "string"))
+    met = strings.join(both, ["h", "most", "string"]).groupBy("h", "kind", "most").agg(F.max("o").alias("before"), F.min("o").alias("least"))
+    met = keep(met)
+    many = many.select("h", "kind", "name", "pos").join(met, ["h", "kind"])
+    many = many.select("name", (F.col("pos") - F.col("before")).alias("low"), (F.col("pos") + F.col("most") - F.col("least")).alias("high"), (F.col("most") == high).alias("wide"))
+    return _merged(inside.union(few).union(many))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """name, spans (maximal runs of the wide ones) and n_repeated (bytes in any) of spans (name, low, high, wide).
+
+    A name's spans are sorted as Spark's windows sort, so that only its maximal runs are ever gathered in one row.
+    """
+    order = Window.partitionBy("name").orderBy("low", "high", "wide")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    wide_high = F.when(F.col("wide"), F.col("high"))
+    own = spans.withColumn("past", F.max("high").over(before)).withColumn("wide_past", F.max(wide_high).over(before))
+    new = F.col("wide") & (F.col("wide_past").isNull() | (F.col("low") > F.col("wide_past")))
+    fresh = F.greatest(F.lit(0).cast("long"), F.col("high") - F.greatest("low", F.coalesce("past", "low")))
+    own = own.withColumn("run", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("fresh", fresh)
+    runs = own.groupBy("name", "run").agg(F.min(F.when(F.col("wide"), F.col("low"))).alias("low"), F.max(wide_high).alias("high"), F.sum("fresh").alias("fresh"))
+    one = F.when(F.col("low").isNotNull(), F.struct("low", "high"))
+    return runs.groupBy("name").agg(F.array_sort(F.collect_list(one)).alias("spans"), F.sum("fresh").alias("n_repeated"))
+
+
+def _cut(spans_column: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             kept, removed, runs_ = [], [], []
-            for text, spans in zip(b.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist(), b.column("spans").to_pylist()):
-                raw, out, at, n, k = text or b"", [], 0, 0, 0
-                end = -1
+            for text, spans in zip(b.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist(), b.column(spans_column).to_pylist()):
+                raw, out, at = text or b"", [], 0
                 for s in spans or []:
-                    low, high = max(s["low"], at), s["high"]
-                    if high <= at:
-                        continue
-                    out.append(raw[at:low])
-                    k += low > end
-                    n += high - low
-                    at = end = high
+                    out.append(raw[at : s["low"]])
+                    at = s["high"]
                 out.append(raw[at:])
-                kept.append(b"".join(out)), removed.append(n), runs_.append(k)
-            i = b.schema.get_field_index("spans")
-            b = b.remove_column(i)
+                kept.append(b"".join(out)), removed.append(len(raw) - len(kept[-1])), runs_.append(len(spans or []))
+            b = b.remove_column(b.schema.get_field_index(spans_column))
             whole = [x.decode(errors="ignore") for x in kept]
             for name, values in (("kept", pa.array(kept, pa.binary())), ("kept_text", pa.array(whole, pa.string())), ("n_removed", pa.array(removed, pa.int64())), ("n_spans", pa.array(runs_, pa.int64()))):
                 b = b.append_column(name, values)
@@ -361,29 +422,36 @@ def _cut():
     return task
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
-    """docs plus kept (the text's bytes that stay, binary), kept_text (the same without cut characters), n_removed and n_spans (maximal runs that went).
+def remove_repeats(docs: DataFrame, min_bytes: int = 400, report_bytes: int | None = None) -> DataFrame:
+    """docs plus n_repeated, kept (the text's bytes that stay, binary), kept_text (the same without cut characters), n_removed and n_spans (maximal runs that went).
 
     A byte goes if a string of min_bytes over it also starts anywhere else in docs, the same text included. All
-    occurrences go. Null texts are empty and stay null in text; texts under min_bytes stay whole. Of copies of a
-    whole text one takes part in the search; that there are others is counted.
+    occurrences go. n_repeated counts the bytes in strings of report_bytes (by default min_bytes) that start anywhere
+    else; those under min_bytes are reported and stay. Null texts are empty and stay null in text; texts under
+    min_bytes stay whole. Of copies of a whole text one takes part in the search; that there are others is counted.
+    Columns of docs that have a new column's name come back as aside() names them.
     """
+    low = report_bytes or min_bytes
+    docs, _ = aside(docs, *COLUMNS)
+    key, cut = unused(docs, "text_name"), unused(docs, "spans")
     name = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    spans = repeated_spans(docs, min_bytes)
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    own = docs.select(name.alias("name"), size.alias("size")).where(F.col("size") >= min_bytes)
+    spans = repeated_spans(docs, min_bytes, report_bytes)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    own = docs.select(name.alias("name"), size.alias("size")).where(F.col("size") >= low)
     copies = own.groupBy("name", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high")))
-    found = spans.join(copies, "name", "full").select("name", F.when(F.col("n").isNotNull(), whole).otherwise(F.col("spans")).alias("spans"))
-    found = keep(found)
-    clean = docs.drop("kept", "kept_text", "n_removed", "n_spans", "spans")
-    met = clean.withColumn("__name", name).join(found.withColumnRenamed("name", "__name"), "__name", "left").drop("__name")
-    new = [T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
-    return met.select(*clean.columns, "spans").mapInArrow(_cut(), T.StructType([*clean.schema.fields, *new]))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").alias("high")))
+    found = spans.join(copies, "name", "full")
+    found = found.select("name", F.when(F.col("size") >= min_bytes, whole).otherwise(F.col("spans")).alias("spans"), F.coalesce("size", "n_repeated").alias("n_repeated"))
+    found = keep(found.select(F.col("name").alias(key), F.col("spans").alias(cut), "n_repeated"))
+    met = docs.withColumn(key, name).join(found, key, "left").drop(key).withColumn("n_repeated", F.coalesce("n_repeated", F.lit(0).cast("long")))
+    met = met.select(*docs.columns, "n_repeated", cut)
+    new = [T.StructField("n_repeated", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
+    return met.mapInArrow(_cut(cut), T.StructType([*docs.schema.fields, *new]))
 
 
 def op7_suffixes(spark, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes go; n_repeated reports passages from PASSAGE bytes on, which are 50 words of four letters or so."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = remove_repeats(docs, 400)
+    out = remove_repeats(docs, 400, PASSAGE)
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return out.select("doc_id", n_bytes.alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", n_bytes.alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")

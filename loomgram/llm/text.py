@@ -7,10 +7,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at a time in a task; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or name with as many _in as make it no column of docs, whatever the case."""
+    there = {c.lower() for c in docs.columns}
+    while name.lower() in there:
+        name += "_in"
+    return name
+
+
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """(docs, {old: new}): columns that have one of the names get `_in` after theirs, with their values as they are.
+
+    An operator's own columns thus always have the names that it documents, and no column of its input is lost.
+    """
+    taken = {n.lower() for n in names}
+    moved = {}
+    for c in docs.columns:
+        if c.lower() in taken:
+            new = c + "_in"
+            while new.lower() in taken | {x.lower() for x in docs.columns}:
+                new += "_in"
+            docs, moved[c] = docs.withColumnRenamed(c, new), new
+    return docs, moved
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)

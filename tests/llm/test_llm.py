@@ -352,6 +352,37 @@ def test_repeats(docs, empty, monkeypatch, largest):
     assert suffixes.remove_repeats(empty, 400).count() == 0
 
 
+@pytest.mark.parametrize("largest", [20000, 1])
+def test_reported_passages(spark, docs, monkeypatch, largest):
+    monkeypatch.setattr(suffixes, "LARGEST", largest)
+    line = prose(200)
+    cut = lambda n: line.encode()[:n].decode()
+    extra = [(800, prose(40) + "|" + cut(400) + "|" + prose(30)), (801, prose(30) + "/" + cut(400) + "/" + prose(10)), (802, "ab " * 300), (803, "ab " * 99 + "x"), (804, "q" * 260), (805, "q" * 260)]
+    other = prose(200).encode()[:399].decode()
+    extra += [(810, prose(20) + "|" + other + "|" + prose(30)), (811, other + "/" + prose(10)), (812, "a" * 239), (813, "b" + "a" * 239)]
+    all_ = [*((r.doc_id, r.text) for r in docs.collect()), *extra]
+    table = spark.createDataFrame(all_, "doc_id long, text string").repartition(4)
+    texts = [t for _, t in all_]
+    want = collections.Counter((i, *a, b[1]) for (i, _), a, b in zip(all_, brute_cut(texts, 400), brute_cut(texts, 240)))
+    got = suffixes.remove_repeats(table, 400, 240).collect()
+    assert collections.Counter((r.doc_id, hashlib.sha256(r.kept).hexdigest(), r.n_removed, r.n_spans, r.n_repeated) for r in got) == want
+    by = {r.doc_id: (r.n_removed, r.n_repeated) for r in got}
+    assert by[800] == by[801] == (400, 400) and by[810] == by[811] == (0, 399) and by[812] == (0, 0) and by[813] == (0, 0) and by[804] == (0, 260)
+
+
+def test_repeats_in_a_very_long_text(spark):
+    t = prose(60000) + " " + "na " * 40000 + prose(60000)  # about 1 MB, an eighth of it periodic
+    got = suffixes.remove_repeats(spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string"), 400).orderBy("doc_id").collect()
+    assert got[0].n_spans == 1 and abs(got[0].n_removed - 3 * 40000) < 20 and got[1].n_removed == 0 and got[1].text is None
+
+
+def test_repeats_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a" * 900, "s", 5, b"k"), (2, "b", "t", 6, b"l")], "doc_id long, text string, spans string, N_removed int, kept binary")
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs, 400).collect()}
+    assert (got[1].spans, got[1].N_removed_in, got[1].kept_in, got[1].n_removed, got[1].kept) == ("s", 5, b"k", 900, b"")
+    assert (got[2].spans, got[2].N_removed_in, got[2].kept_in, got[2].n_removed, got[2].kept) == ("t", 6, b"l", 0, b"b")
+
+
 # 8
 
 
