@@ -23,6 +23,8 @@ from loomgram.tables import keep
 SHALLOW = 16
 #: Occurrences of an anchor that one task sorts; more of them are dealt out string by string.
 LARGEST = 20000
+#: Occurrences up to which all pairs of one anchor are looked at in a matrix; more go by classes.
+SQUARE = 600
 #: Bytes from which op7_suffixes reports a repeated passage: 50 words of four letters or so.
 PASSAGE = 240
 #: What remove_repeats() adds.
@@ -96,18 +98,22 @@ def _blind_trie(strings: list[bytes], group: list[int], depth: int) -> tuple[lis
     return order, common_[1:]
 
 
-def deep_shallow(strings: list[bytes]) -> tuple[list[int], list[int]]:
-    """(sorted order, common prefix length of each with the next): multikey quicksort, then blind tries."""
+def deep_shallow(strings: list[bytes], known: int = 0) -> tuple[list[int], list[int]]:
+    """(sorted order, common prefix length of each with the next): multikey quicksort, then blind tries.
+
+    The strings agree in their first `known` bytes; quicksort sorts by the SHALLOW bytes after them.
+    """
     order: list[int] = []
     common: list[int] = []
-    stack: list[tuple[list[int], int, int]] = [(list(range(len(strings))), 0, 0)]
+    shallow = known + SHALLOW
+    stack: list[tuple[list[int], int, int]] = [(list(range(len(strings))), known, 0)]
     while stack:
         group, depth, before = stack.pop()
         if order:
             common.append(before)
         if len(group) == 1:
             order.append(group[0])
-        elif depth >= SHALLOW:
+        elif depth >= shallow:
             part, inner = _blind_trie(strings, group, depth)
             order += part
             common += inner
@@ -127,64 +133,81 @@ def deep_shallow(strings: list[bytes]) -> tuple[list[int], list[int]]:
             if pivot >= 0:
                 parts.append((same, depth + 1, first))
             else:  # strings that end here are equal
-                parts.append((same, SHALLOW, first))
+                parts.append((same, shallow, first))
             if more:
                 parts.append((more, depth, depth))
             stack += parts[::-1]
     return order, common
 
 
-def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
-    """Of each string, the number of its class of strings that agree in depth bytes."""
-    out = np.empty(len(order), np.int64)
-    out[order] = np.r_[0, np.cumsum(common < depth)]
-    return out
-
-
-def _sorted(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    order, common = deep_shallow(strings)
-    return np.array(order), np.array(common, np.int64)
+class _Sorted:
+    """Distinct strings in deep-shallow order; own: of each string, the number of its distinct one."""
+
+    def __init__(self, strings: list[bytes], known: int = 0):
+        number: dict[bytes, int] = {}
+        self.own = np.array([number.setdefault(x, len(number)) for x in strings])
+        kinds = list(number)
+        self.size = np.array([len(x) for x in kinds])
+        order, common = deep_shallow(kinds, known)
+        self.order, self.common = np.array(order), np.array(common, np.int64)
+
+    def classes(self, depth: int) -> np.ndarray:
+        """Of each string, the number of its class of strings that agree in depth bytes."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.r_[0, np.cumsum(self.common < depth)]
+        return out[self.own]
+
+    def pairs(self) -> np.ndarray:
+        """Length of the common prefix of all pairs of strings."""
+        n = len(self.order)
+        far = np.zeros((n, n), np.int64)
+        if n > 1:
+            at = np.arange(n - 1)
+            upper = np.minimum.accumulate(np.where(at >= np.arange(n)[:, None], self.common, 1 << 40), axis=1)
+            place = np.empty(n, np.int64)
+            place[self.order] = np.arange(n)
+            far[:, 1:] = np.where(at >= np.arange(n)[:, None], upper, 0)
+            far = np.maximum(far, far.T)[place[:, None], place]
+        far[np.arange(n), np.arange(n)] = self.size
+        return far[self.own[:, None], self.own]
 
 
 def covered(left: list[bytes], right: list[bytes], levels: list[int], gram: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each level, how far before and after each occurrence of an anchor the repeated strings of that many bytes over it reach.
 
-    left: what precedes, backwards; right: what follows, the anchor included. (0, 0): no such string. All levels come
-    from one sorting of both sides.
+    left: what precedes, backwards; right: what follows, the anchor included; no two occurrences have both alike.
+    (0, 0): no such string. All levels come from one sorting of both sides.
     """
     n = len(right)
     if n == 2:
         a, b = _lcp(left[0], left[1]), _lcp(right[0], right[1])
-        return [(np.full(2, a), np.full(2, b)) if a + b >= most else (np.zeros(2, int), np.zeros(2, int)) for most in levels]
-    (lo, lc), (ro, rc) = _sorted(left), _sorted(right)
-    if n > 48:
-        size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-        return [_reach(lo, lc, ro, rc, *size, most, gram) for most in levels]
-    far = []
-    for order, common in ((lo, lc), (ro, rc)):
-        m = np.zeros((n, n), np.int64)
-        for i in range(n - 1):
-            m[order[i], order[i + 1 :]] = np.minimum.accumulate(common[i:])
-        far.append(np.maximum(m, m.T))
-    both = far[0] + far[1]
-    return [(np.where(both >= most, far[0], 0).max(axis=1), np.where(both >= most, far[1], 0).max(axis=1)) for most in levels]
-
-
-def _reach(lo: np.ndarray, lc: np.ndarray, ro: np.ndarray, rc: np.ndarray, left_n: np.ndarray, right_n: np.ndarray, most: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        return [((a, a), (b, b)) if a + b >= most else ((0, 0), (0, 0)) for most in levels]
+    alike = len({x[:gram] for x in right}) == 1  # else two grams have one hash
+    one, two = _Sorted(left), _Sorted(right, gram * alike)
+    if n > SQUARE:
+        return [_reach(one, two, most, gram) for most in levels]
+    before, after = one.pairs(), two.pairs()
+    both = before + after
+    both[np.arange(n), np.arange(n)] = 0
+    return [(np.where(both >= most, before, 0).max(axis=1).tolist(), np.where(both >= most, after, 0).max(axis=1).tolist()) for most in levels]
+
+
+def _reach(one: _Sorted, two: _Sorted, most: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """covered() at one level for many occurrences: classes by what precedes and what follows at each depth at which they change."""
-    n = len(lo)
+    n = len(one.own)
+    left_n, right_n = one.size[one.own], two.size[two.own]
     before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for o in np.unique(np.clip(np.r_[0, most - gram, lc, most - rc], 0, most - gram)).tolist():
+    for o in np.unique(np.clip(np.r_[0, most - gram, one.common, one.size, most - two.common, most - two.size], 0, most - gram)).tolist():
         fit = np.flatnonzero((left_n >= o) & (right_n >= most - o))
         if len(fit) < 2:
             continue
-        both = _classes(lo, lc, o)[fit] * n + _classes(ro, rc, most - o)[fit]
+        both = one.classes(o)[fit] * (len(two.order) + 1) + two.classes(most - o)[fit]
         _, at, times = np.unique(both, return_inverse=True, return_counts=True)
         hit = fit[times[at] > 1]
         before[hit] = o
         first = hit[after[hit] == 0]
         after[first] = most - o
-    return before, after
+    return before.tolist(), after.tolist()
 
 
 def _slide(x: np.ndarray, w: int, f: np.ufunc, pad: int) -> np.ndarray:
@@ -265,33 +288,42 @@ _SPAN = "name binary, low long, high long, wide boolean"
 def _sort_rows(low: int, high: int, gram: int):
     levels = sorted({low, high})
 
-    def close(names: list[bytes], places: list[int], befores: list[bytes], afters: list[bytes], found: list[tuple]) -> None:
+    tops = [(k, most, most == high) for k, most in enumerate(levels)][::-1]
+
+    def close(names: list[bytes], places: list[int], befores: list[bytes], afters: list[bytes], found: tuple[list, ...]) -> None:
         if len(names) < 2:
             return
-        alike: dict[tuple, dict[tuple, None]] = {}  # a repeated row is one occurrence
+        alike: dict[tuple, list[tuple]] = {}
         for name, place, before, after in zip(names, places, befores, afters):
-            alike.setdefault((before, after), {})[name, place] = None
+            key = before, after
+            if key in alike:
+                alike[key].append((name, place))
+            else:
+                alike[key] = [(name, place)]
         kinds = list(alike)
         reach = covered([k[0] for k in kinds], [k[1] for k in kinds], levels, gram) if len(kinds) > 1 else None
         for i, ((before, after), rows) in enumerate(alike.items()):
+            if len(rows) > 1:
+                rows = list(dict.fromkeys(rows))  # a repeated row is one occurrence
             last = (0, 0)
-            for level in range(len(levels) - 1, -1, -1):
-                a, b = (int(reach[level][0][i]), int(reach[level][1][i])) if reach else (0, 0)
-                if len(rows) > 1 and len(before) + len(after) >= levels[level]:
+            for level, most, wide in tops:
+                a, b = (reach[level][0][i], reach[level][1][i]) if reach else (0, 0)
+                if len(rows) > 1 and len(before) + len(after) >= most:
                     a, b = len(before), len(after)
                 if a + b and (a, b) != last:
                     last = a, b
-                    wide = levels[level] == high
-                    found += [(name, p - a, p + b, wide) for name, p in rows]
+                    for name, p in rows:
+                        found[0].append(name), found[1].append(p - a), found[2].append(p + b), found[3].append(wide)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
         last = None
-        found: list[tuple] = []
+        found: tuple[list, ...] = ([], [], [], [])
 
         def out() -> pa.RecordBatch:
-            cols = [pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64(), pa.bool_()))]
-            found.clear()
+            cols = [pa.array(c, k) for c, k in zip(found, (pa.binary(), pa.int64(), pa.int64(), pa.bool_()))]
+            for c in found:
+                c.clear()
             return pa.RecordBatch.from_arrays(cols, ["name", "low", "high", "wide"])
 
         for batch in batches:
@@ -307,10 +339,10 @@ def _sort_rows(low: int, high: int, gram: int):
                     continue
                 close(*held, found)
                 last, held = h[i], [c[i:j] for c in cols]
-            if found:
+            if found[0]:
                 yield out()
         close(*held, found)
-        if found:
+        if found[0]:
             yield out()
 
     return task
