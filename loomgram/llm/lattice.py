@@ -18,9 +18,9 @@ from loomgram.tables import keep
 #: Bytes of text whose words are numbered together.
 SLICE = 16 << 20
 #: Rounds in which the pieces' weights are estimated anew from the training words.
-ROUNDS = 2
-#: Added to the expected count of each piece.
-SMOOTH = 0.5
+ROUNDS = 3
+#: Uses of pieces that the vocabulary's own scores count for, beside those in the training words.
+PRIOR = 10_000.0
 #: Rows of the byte matrix of words handled at a time.
 _CHUNK = 4096
 
@@ -76,7 +76,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     for b in range(256):
         rank.setdefault(bytes([b]), -np.log(1e6))
     pieces = sorted(rank)
-    weight = np.array([*(rank[p] for p in pieces), -np.log(100.0)])
+    weight = np.array([rank[p] for p in pieces])
     return pieces, weight - np.log(np.exp(weight).sum())
 
 
@@ -144,8 +144,8 @@ def expected_counts(pieces: Pieces, column: pa.Array, times: np.ndarray) -> np.n
 
 
 def _whole_word_share(priced: DataFrame, n: int) -> float:
-    """Weight of the edge that spans a whole word: of 99 candidates the most likely one when each training token is left
-    out of the counts in turn, found in one aggregation."""
+    """Weight of the corpus counts of whole words in word_score: of 99 candidates the most likely one when each training
+    token is left out of the counts in turn, found in one aggregation."""
     grid = [k / 100 for k in range(1, 100)]
     left = (F.col("c") - 1) / float(max(n - 1, 1))
     sums = [F.sum(F.col("c") * F.log(F.lit(x) * left + F.lit(1 - x) * F.greatest(F.exp("log_p"), F.lit(1e-300)))).alias(f"x{k}") for k, x in enumerate(grid)]
@@ -184,13 +184,19 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score of each document (doc_id, text).
 
-    Tokens are the words of the text with A-Z lower-cased, then one end. base_score is the add-one unigram word
-    model, score the lattice model; both are log10 probabilities learnt from all rows that aren't held out. score is
-    the sum over words of the marginal over all segmentations, and the end. The pieces' weights start from the scores
-    that the vocabulary has and are estimated anew, by forward-backward, on the distinct training words; the edge
-    that spans a whole word weighs what the training words say, in a share that leaving-one-out finds. Null and empty texts have the end alone.
+    Tokens are the words of the text with A-Z lower-cased, then one end. All scores are log10 probabilities learnt from
+    all rows that aren't held out; a null held_out counts as not held out.
+
+    * base_score: the add-one unigram word model.
+    * score: the lattice. The text's marginal probability over all segmentations of its words into the vocabulary's pieces,
+      and the end. The pieces' weights are the vocabulary's scores, which count for PRIOR uses, and the expected uses over
+      all segmentations of all training words (forward-backward, ROUNDS times); without training words the scores stand
+      alone. Pieces that begin a word hold its space, so that the probabilities of all words add up to 1.
+    * word_score: the lattice mixed word by word with the corpus counts of whole words, in a share that leaving-one-out finds.
+
+    Null and empty texts have the end alone.
 
     Words are numbered slice by slice where they are read, so that a slice sends each of its words once to where the
     corpus counts it, and gets one count and one probability back; no word's occurrences meet in one task. Only the
@@ -202,7 +208,7 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
         path = public_tokenizers.path("piece_bpe_32k.model")
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    rows = docs.select("doc_id", "text", held_out.alias("held"))
+    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
     parts = keep(rows.mapInArrow(_number, _SLICES.format(id=kind.simpleString())))
     entries = parts.select("slice", F.posexplode(F.arrays_zip("words", "trained")).alias("code", "x"))
     counts = keep(entries.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.trained").alias("c")))
@@ -210,7 +216,8 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
     ends = parts.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     n, v = int(seen["n"]) + ends, int(seen["v"]) + (ends > 0)
 
-    vocab, weight = vocabulary(path)
+    vocab, own = vocabulary(path)
+    weight = own
     shared = spark.sparkContext.broadcast(vocab)
     known = counts.where("c > 0")
 
@@ -223,16 +230,15 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             pieces, total = pieces_of(now), 0
             for b in batches:
-                total = total + expected_counts(pieces, b.column("word"), np.ones(b.num_rows))
+                total = total + expected_counts(pieces, b.column("word"), b.column("c").to_numpy().astype(float))
             if isinstance(total, np.ndarray):
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "x"])
 
         got = known.mapInArrow(expect, "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).toPandas()
-        use = np.full(len(weight), SMOOTH)
+        use = PRIOR * np.exp(own)
         use[got["piece"].to_numpy()] += got["x"].to_numpy()
-        use[-1] = 0  # an end is a token of its own, see below
-        weight = np.log(np.maximum(use / use.sum(), 1e-300))
+        weight = np.log(use / use.sum())
     final = spark.sparkContext.broadcast(weight)
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,20 +249,22 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
 
     priced = keep(counts.mapInArrow(marginal, "word string, c long, log_p double"))
     back = entries.select("slice", "code", F.col("x.words").alias("word")).join(priced, "word").select(F.col("slice").alias("of"), "code", "c", "log_p")
-    share = _whole_word_share(priced, n) if n else 0.0
-    whole = np.log(share / n) if n and share else -np.inf
+    words_ = n - ends
+    share = _whole_word_share(priced, words_) if words_ else 0.0
     unit, end_unit = float(np.log10(n + v + 1)), float(np.log10(ends + 1) - np.log10(n + v + 1))
-    end_p, some = float(whole + np.log(ends)) if ends else float(np.log(0.5)), int(ends > 0)
+    end = (ends + 1) / (n + 2)
+    end_p, word_p, some = float(np.log10(end)), float(np.log10(1 - end)), int(ends > 0)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score"]
         out = []
         code = right.column("code").to_numpy() if right.num_rows else np.zeros(0, np.int64)
         count, log_p = np.zeros(len(code), np.int64), np.zeros(len(code))
         if len(code):
             count[code], log_p[code] = right.column("c").to_numpy(), right.column("log_p").to_numpy()
         with np.errstate(divide="ignore"):
-            price = np.logaddexp(np.log(count) + whole, log_p + np.log1p(-share))
+            mixed = np.logaddexp(np.log(count) + np.log(share / max(words_, 1)), log_p + np.log1p(-share))
+        price, mixed = log_p / np.log(10) + word_p, mixed / np.log(10) + word_p
         for k in range(left.num_rows):
             cell = lambda c, k=k: left.column(c)[k].values
             size = cell("sizes").to_numpy().astype(np.int64)
@@ -264,15 +272,14 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
             codes = np.frombuffer(zstandard.decompress(left.column("codes")[k].as_py()), np.int32)
             total = lambda x: np.diff(np.r_[0, np.cumsum(x)][to])
             base = total(np.log10(count[codes] + 1) - unit) + end_unit
-            lattice = (total(price[codes]) + end_p) / np.log(10)
             known_ = total((count[codes] > 0).astype(np.int64)) + some
-            cols = [cell("doc_ids"), cell("held"), pa.array(size + 1), pa.array(known_), pa.array(np.full(len(size), n)), pa.array(base), pa.array(lattice)]
+            cols = [cell("doc_ids"), cell("held"), pa.array(size + 1), pa.array(known_), pa.array(np.full(len(size), n)), pa.array(base), pa.array(total(price[codes]) + end_p), pa.array(total(mixed[codes]) + end_p)]
             out.append(pa.Table.from_arrays(cols, names))
         return pa.concat_tables(out)
 
     schema = T.StructType([
         T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
-        T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
+        *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "word_score")),
     ])
     return parts.drop("words", "trained").groupBy("slice").cogroup(back.groupBy("of")).applyInArrow(add_up, schema)
 
