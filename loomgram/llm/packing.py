@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgram.llm.text import SPACE, slices, text_bytes
+from loomgram.llm.text import SPACE, aside, slices, text_bytes
 from loomgram.tables import keep
 
 #: Pre-tokens of the byte-level BPE vocabulary (the pattern published with GPT-2). Fixed value.
@@ -126,8 +127,7 @@ def tokenize(docs: DataFrame, path: str, most: int = 1024, end: int = 2, with_id
     """doc_id, piece, start, length, ids_crc32 and, if asked, ids of each piece of at most `most` tokens.
 
     A document is its text's ids, as the tokenizers library gives them by default, and then `end`; a null text is empty.
-    Longer ones are cut so that the first piece
-    may be shorter.
+    Longer ones are cut so that the first piece may be shorter.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,8 @@ def best_two_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     """(bin, offset) of each length.
 
     A bin is filled greedily: the longest left, then again and again the longest that fits. Then its smallest is put
-    back, if two of those left fill the widened gap further than it did; this repeats as long as it helps.
+    back, if two of those left fill the widened gap further than it did; this repeats as long as it helps. Bins that are
+    not full in the end are packed once more, longest first and each where it fits best, if that takes fewer of them.
     """
     order = np.argsort(-lengths, kind="stable")
     rows: list[list[int]] = [[] for _ in range(most + 1)]
@@ -188,8 +189,7 @@ def best_two_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
                 stop += 1
             below[n:stop] = n
 
-    where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    number = 0
+    full, open_ = [], []
     while below[most]:
         held, gap = [], most
         while gap and (n := int(below[gap])):
@@ -214,25 +214,47 @@ def best_two_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
             give(small)
             held += [x, y]
             gap = room - x - y
+        (open_ if gap else full).append([rows[n].pop() for n in held])
+    again = _best_fit([i for own in open_ for i in own], lengths, most)
+    where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for number, own in enumerate(full + min(open_, again, key=len)):
         at = 0
-        for n in held:
-            i = rows[n].pop()
+        for i in own:
             where[i], offset[i] = number, at
-            at += n
-        number += 1
+            at += lengths[i]
     return where, offset
 
 
+def _best_fit(rows: list[int], lengths: np.ndarray, most: int) -> list[list[int]]:
+    """Bins of rows, longest first, each in the bin whose gap it fills best."""
+    bins: list[list[int]] = []
+    gaps: list[tuple[int, int]] = []  # (gap, bin), in order
+    for i in sorted(rows, key=lambda i: -lengths[i]):
+        n = int(lengths[i])
+        k = bisect.bisect_left(gaps, (n, -1))
+        if k < len(gaps):
+            gap, number = gaps.pop(k)
+        else:
+            gap, number = most, len(bins)
+            bins.append([])
+        bins[number].append(i)
+        if gap > n:
+            bisect.insort(gaps, (gap - n, number))
+    return bins
+
+
 def pack(pieces: DataFrame, most: int = 1024) -> DataFrame:
     """pieces (doc_id, piece, length of 1 to most, ...) plus sequence_id and offset.
 
-    Pieces are dealt by a hash to groups of about GROUP_PIECES, each packed in one task, so that a group costs less
-    than one sequence more than packing all together. Full pieces are sequences of their own.
+    Pieces are dealt to groups of about GROUP_PIECES by a hash of their place in the written table, so that repeated
+    rows are spread like any others; each group is packed in one task. Full pieces are sequences of their own. Columns
+    of pieces that have a new column's name come back as aside() names them.
     """
+    pieces, _ = aside(pieces, "sequence_id", "offset")
     pieces = keep(pieces)
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
     spread = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    dealt = pieces.withColumn("sequence_id", F.pmod(F.xxhash64(*spread), F.lit(groups))).withColumn("offset", F.lit(0).cast("long"))
+    dealt = pieces.withColumn("sequence_id", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).withColumn("offset", F.lit(0).cast("long"))
 
     def group(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in spread])
