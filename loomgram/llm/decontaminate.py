@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgram.llm.text import unused
 from loomgram.tables import keep
 
 #: Words of a shingle; items of fewer words are one shingle.
@@ -16,6 +17,8 @@ BROADCAST_SHINGLES = 1_000_000
 #: Documents with a shared shingle up to which their ids are broadcast, to read their texts again; beyond it texts are
 #: shuffled to meet their windows.
 BROADCAST_IDS = 1_000_000
+#: Hashes that a 16-bit lane can count.
+LANE_MAX = 32_767
 _LANE = 0x0001000100010001
 
 
@@ -38,7 +41,8 @@ def shingles(w: Column, size: int) -> Column:
 def fingerprint(hashes: Column) -> Column:
     """SimHash of an array of 64-bit hashes, repeats included: a bit is 1 if set in over half of them.
 
-    16 numbers of four 16-bit lanes each count all 64 bits at once, for up to 32,767 hashes.
+    16 numbers of four 16-bit lanes each count all 64 bits at once, for up to LANE_MAX hashes; of longer arrays each bit
+    is counted by itself.
     """
 
     def sums(hashes: Column) -> Column:
@@ -56,7 +60,16 @@ def fingerprint(hashes: Column) -> Column:
                 out = out.bitwiseOR(F.when(times * 2 > n, one).otherwise(F.lit(0).cast("long")))
         return out
 
-    return let(hashes, lambda h: let(F.size(h), lambda n: let(sums(h), lambda s: bits(s, n))))
+    def long_bits(h: Column, n: Column) -> Column:
+        often = lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(1).cast("long"))) * 2 > n
+        out = F.lit(0).cast("long")
+        for k in range(64):
+            one = F.lit((1 << k) - ((1 << 64) if k == 63 else 0)).cast("long")
+            out = out.bitwiseOR(F.when(often(k), one).otherwise(F.lit(0).cast("long")))
+        return out
+
+    short = lambda h, n: let(sums(h), lambda s: bits(s, n))
+    return let(hashes, lambda h: let(F.size(h), lambda n: F.when(n <= LANE_MAX, short(h, n)).otherwise(long_bits(h, n))))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -70,6 +83,21 @@ def _blocks(fp: Column) -> Column:
     return F.array(*(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)))
 
 
+def _flips(most: int) -> Column:
+    """All 16-bit masks of up to `most` bits."""
+    return F.filter(F.sequence(F.lit(0).cast("long"), F.lit(0xFFFF).cast("long")), lambda m: F.bit_count(m) <= most)
+
+
+def _shares(items: int, windows: int) -> tuple[int, int]:
+    """How many of the RADIUS / 4 bits are flipped on the items' side and on the windows', for the fewest rows in all."""
+    from math import comb
+
+    total = RADIUS // 4
+    size = [sum(comb(16, k) for k in range(n + 1)) for n in range(total + 1)]
+    own = min(range(total, -1, -1), key=lambda n: size[n] * items + size[total - n] * windows)
+    return own, total - own
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity, start, n_words of each document and benchmark item (item_id, text) that it holds.
 
@@ -77,16 +105,27 @@ def contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> Da
     shingle similarity to the item is at_least; of several windows the most similar, then the first. Windows without
     any of the item's shingles have similarity 0, so only windows over a shared shingle are fingerprinted. Blocks of
     the fingerprints meet in a join with all blocks within RADIUS / 4 bits of an item's, which finds every
-    fingerprint within RADIUS; the exact similarity decides. At similarity 0.8 the distance is 10 bits on average.
+    fingerprint within RADIUS; the exact similarity decides. At similarity 0.8 the distance is 10 bits on average. The
+    bits are flipped on the items' side or on the windows' or some on each, whatever takes the fewest rows.
 
-    Null and empty texts and items have no words and take no part, nor have rows with a null doc_id. Rows with one doc_id count as one document. Items
-    with equal texts are reported each.
+    Null and empty texts and items have no words and take no part. Rows with one doc_id count as one document; of rows
+    without doc_id each text is one. Items with equal texts are reported each.
     """
+    return _found(docs, bench, at_least).drop("own")
+
+
+def _own() -> Column:
+    """Tells rows without doc_id apart, by their text."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+
+
+def _found(docs: DataFrame, bench: DataFrame, at_least: float) -> DataFrame:
+    docs = docs.select("doc_id", "text", _own().alias("own"), F.xxhash64("doc_id", _own()).alias("key"))
     b = bench.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
     b = keep(b.withColumn("n", F.size("w")).withColumn("s", F.least(F.size("w"), F.lit(SHINGLE))))
     sizes = [r["s"] for r in b.select("s").distinct().orderBy("s").collect()]
     if not sizes:
-        kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {bench.schema['item_id'].dataType.simpleString()}"
+        kinds = f"own long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {bench.schema['item_id'].dataType.simpleString()}"
         return docs.sparkSession.createDataFrame([], f"{kinds}, similarity double, start int, n_words int")
     hashes = F.coalesce(*(F.when(F.col("s") == s, shingles(F.col("w"), s)) for s in sizes))
     items = keep(keep(b.select("item_id", "n", "s", hashes.alias("hashes"))).withColumn("fp", fingerprint(F.col("hashes"))))
@@ -94,16 +133,17 @@ def contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> Da
     few = known.count() <= BROADCAST_SHINGLES
 
     # shared shingles, and the words at which windows of the item's size over them begin; past the end is cut later
-    found, texts = None, docs.select("doc_id", "text")
+    # key is a hash: should two documents share one, each is only looked at in more places
+    found, texts = None, docs
     for s in sizes:
-        at = texts.select("doc_id", F.posexplode(shingles(words(F.col("text")), s)).alias("p", "h"))
+        at = texts.select("key", F.posexplode(shingles(words(F.col("text")), s)).alias("p", "h"))
         own = known.where(F.col("s") == s).select("h", "ns")
-        hit = at.join(F.broadcast(own) if few else own, "h").select("doc_id", F.lit(s).alias("s"), "p", "ns")
+        hit = at.join(F.broadcast(own) if few else own, "h").select("key", F.lit(s).alias("s"), "p", "ns")
         found = hit if found is None else found.union(hit)
-    spots = found.select("doc_id", "s", "p", F.explode("ns").alias("n"))
+    spots = found.select("key", "s", "p", F.explode("ns").alias("n"))
     first = F.greatest(F.lit(0), F.col("p") - F.col("n") + F.col("s"))
-    windows = spots.select("doc_id", "s", "n", F.explode(F.sequence(first, F.col("p"))).alias("start"))
-    starts = keep(windows.groupBy("doc_id", "s").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
+    windows = spots.select("key", "s", "n", F.explode(F.sequence(first, F.col("p"))).alias("start"))
+    starts = keep(windows.groupBy("key", "s").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
 
     def cut_windows(s: int) -> Column:
         inside = lambda h, x: F.struct(x["n"].alias("n"), F.least(x["start"], F.greatest(F.lit(0), F.size(h) + (s - 1) - x["n"])).alias("start"))
@@ -113,31 +153,36 @@ def contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> Da
 
     # the fingerprints of those windows, where the text is
     cut = None
-    ids = starts.select("doc_id").distinct()
+    ids = starts.select("key").distinct()
     if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+        texts = texts.join(F.broadcast(ids), "key", "left_semi")
     for s in sizes:
-        own = texts.join(starts.where(F.col("s") == s).drop("s"), "doc_id").select("doc_id", F.explode(cut_windows(s)).alias("x"))
+        own = texts.join(starts.where(F.col("s") == s).drop("s"), "key").select("doc_id", "own", F.explode(cut_windows(s)).alias("x"))
         cut = own if cut is None else cut.union(own)
-    cut = cut.select("doc_id", "x.*").where("size(window_hashes) > 0")
+    cut = cut.select("doc_id", "own", "x.*").where("size(window_hashes) > 0")
     cut = keep(cut.withColumn("window_fp", fingerprint(F.col("window_hashes"))))
 
-    # blocks of bits: each window's own, each item's with up to RADIUS / 4 bits flipped
-    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(0xFFFF).cast("long")), lambda m: F.bit_count(m) <= RADIUS // 4)
-    item_blocks = items.select("item_id", "n", "fp", F.posexplode(_blocks(F.col("fp"))).alias("k", "v"))
-    item_blocks = item_blocks.select("item_id", "n", "fp", "k", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    near = cut.select("doc_id", "n", "start", "window_fp", F.posexplode(_blocks(F.col("window_fp"))).alias("k", "v")).join(item_blocks.hint("shuffle_merge"), ["n", "k", "v"])
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))) <= RADIUS).select("doc_id", "n", "start", "window_fp", "item_id").distinct()
-    both = near.join(cut, ["doc_id", "n", "start", "window_fp"]).join(items.select("item_id", "hashes"), "item_id")
+    # distinct fingerprints, and blocks of their bits with up to RADIUS / 4 bits flipped
+    ours, theirs = keep(items.select("n", "fp").distinct()), keep(cut.select("n", "window_fp").distinct())
+    here, there = _shares(ours.count(), theirs.count())
+
+    def blocks(rows: DataFrame, fp: str, flips: int) -> DataFrame:
+        rows = rows.select("n", fp, F.posexplode(_blocks(F.col(fp))).alias("k", "v"))
+        return rows.select("n", fp, "k", F.explode(F.transform(_flips(flips), lambda m: F.col("v").bitwiseXOR(m))).alias("v")) if flips else rows
+
+    near = blocks(theirs, "window_fp", there).join(blocks(ours, "fp", here).hint("shuffle_merge"), ["n", "k", "v"])
+    near = keep(near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))) <= RADIUS).select("n", "window_fp", "fp").distinct())
+    both = cut.join(near, ["n", "window_fp"]).join(items.select("n", "fp", "item_id", "hashes"), ["n", "fp"])
     both = both.withColumn("similarity", similarity(F.col("window_hashes"), F.col("hashes"))).where(F.col("similarity") >= at_least)
-    best = both.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "start", F.col("n").alias("n_words")), F.struct("similarity", -F.col("start"))).alias("x"))
-    return best.select("doc_id", "item_id", "x.*")
+    best = both.groupBy("doc_id", "own", "item_id").agg(F.max_by(F.struct("similarity", "start", F.col("n").alias("n_words")), F.struct("similarity", -F.col("start"))).alias("x"))
+    return best.select("own", "doc_id", "item_id", "x.*")
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """docs without those that hold a benchmark item; rows with a null doc_id stay."""
-    found = contaminated(docs, bench, at_least).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
+    """docs without those that hold a benchmark item, all columns as they are; rows without doc_id go by their text."""
+    id_, own = unused(docs, "found_id"), unused(docs, "found_own")
+    found = _found(docs, bench, at_least).select(F.col("doc_id").alias(id_), F.col("own").alias(own)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (_own() == F.col(own)), "left_anti")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
