@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgram.llm import decontaminate, packing, quality, simhash, suffixes
-from loomgram.llm.text import aside
+from loomgram.llm.text import as_before
 from loomgram.tables import keep, table
 
 #: Score under which a document is rejected.
@@ -18,7 +18,7 @@ PASSAGE = 240
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, doesn't reject."""
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).where(F.col("score") >= REJECT).select(*docs.columns)
+    return quality.score(docs, weights).where(F.col("score") >= REJECT).select(*as_before(docs, "score"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of PASSAGE bytes or more that occur again; characters cut in two go as a whole."""
     out = suffixes.remove_repeats(docs, PASSAGE)
-    _, moved = aside(docs, *suffixes.COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.char_length(text)}
-    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(moved.get(c, c)).alias(c) for c in docs.columns))
+    own = zip(docs.columns, as_before(docs, *suffixes.COLUMNS))
+    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else column for c, column in own))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgram.llm.text import prefix_sums, slices, span_hash, text_bytes, words
+from loomgram.llm.text import aside, prefix_sums, slices, span_hash, text_bytes, words
 
 #: Cells of a block's tag-path vector and of its hashed-word vector, other features, and units of each direction.
 PATH, WORDS, OTHER, HIDDEN = 128, 32, 6, 24
@@ -347,7 +347,8 @@ def label(model: Labeller, pages: list[list[Block]], together: int = 64) -> list
 def extract(pages: DataFrame, model: bytes, at_least: float = 0.5) -> DataFrame:
     """pages (html, other columns) plus text: the blocks that the labeller takes for the article's, joined by line feeds.
 
-    Null and empty pages, and pages without such a block, have an empty text.
+    Null and empty pages, and pages without such a block, have an empty text. A column text of pages comes back as
+    aside() names it.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -358,7 +359,7 @@ def extract(pages: DataFrame, model: bytes, at_least: float = 0.5) -> DataFrame:
             text = ["\n".join(x[1] for x, s in zip(p, score) if s >= at_least) for p, score in zip(split, label(labeller, split))]
             yield b.append_column("text", pa.array(text, pa.string()))
 
-    clean = pages.drop("text")
+    clean, _ = aside(pages, "text")
     return clean.mapInArrow(task, T.StructType([*clean.schema.fields, T.StructField("text", T.StringType())]))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgram.llm.text import LOWER, SPACE, row_sums, runs, slices, text_bytes
+from loomgram.llm.text import LOWER, SPACE, aside, row_sums, runs, slices, text_bytes
 
 #: Cells of a language's table of hashed byte trigrams.
 CELLS = 1 << 16
@@ -137,7 +137,8 @@ def identify(docs: DataFrame, langs: list[str], log_table: np.ndarray) -> DataFr
     """docs plus lang_pred, score (the share of that language, 0 to 1) and shares (a map of the languages selected).
 
     A null text, or one without a letter, is `und` with score 0 and no shares; a letter of a script that no training
-    text has still counts as one. Ties go to the language that sorts first.
+    text has still counts as one. Ties go to the language that sorts first. Columns of docs that have a new column's name
+    come back as aside() names them.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, log_table))
@@ -159,14 +160,14 @@ def identify(docs: DataFrame, langs: list[str], log_table: np.ndarray) -> DataFr
                 b = b.append_column(name, values)
             yield b
 
-    clean = docs.drop("lang_pred", "score", "shares")
+    clean, _ = aside(docs, "lang_pred", "score", "shares")
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))]
     return clean.mapInArrow(task, T.StructType([*clean.schema.fields, *new]))
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     langs, table = train(docs, where=~held_out)
     out = identify(docs.select("doc_id", "text"), langs, table)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgram.llm.text import SPACE, mix, prefix_sums, row_sums, runs, slices, span_hash, text_bytes
+from loomgram.llm.text import SPACE, aside, mix, prefix_sums, row_sums, runs, slices, span_hash, text_bytes
 
 #: Weights are 2**BITS.
 BITS = 20
@@ -89,7 +89,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs plus score, 0 to 1, of each whole text: a sparse dot product, then the logistic function.
 
-    Null and empty texts have the bias alone. The weights go to the executors as one broadcast of fixed size.
+    Null and empty texts have the bias alone. The weights go to the executors as one broadcast of fixed size. A column
+    score of docs comes back as aside() names it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -101,13 +102,13 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             logit = w[-1] + SCALE * row_sums(w[index], row, b.num_rows) / count
             yield b.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35)))))
 
-    clean = docs.drop("score")
+    clean, _ = aside(docs, "score")
     return clean.mapInArrow(task, T.StructType([*clean.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), where=~held_out)
     out = score(docs, weights)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgram.llm.text import aside, unused
+
 #: Multiplier of the generator that jump consistent hashing steps with (Lamping and Veach, 2014). Fixed value.
 MULTIPLIER = 2862933555777941757
 #: Rows that get their slots in one group.
@@ -50,19 +52,24 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
     """docs plus shard, grown_shard (with one shard more) and slot (gapless from 0 in each shard).
 
     The shard depends on the key and on the number of shards alone. Slots: rows are dealt to groups of about
-    GROUP_ROWS by a second hash of the key, the groups of a shard get consecutive ranges, and each group numbers its
-    own rows by key; the first pass reads the key column only, and no task orders a whole shard. A null key is a key
+    GROUP_ROWS by a hash of the whole row, so that the rows of a hot key are spread, the groups of a shard get
+    consecutive ranges, and each group numbers its own rows by key; no task orders a whole shard. A null key is a key
     like any other; rows with equal keys get the same shard and different slots, in an order of their own choosing.
+    Columns of docs that have a new column's name come back as aside() names them.
     """
+    docs, moved = aside(docs, "shard", "grown_shard", "slot")
+    key = moved.get(key, key)
+    own_group, n_, offset_ = unused(docs, "own_group"), unused(docs, "group_rows"), unused(docs, "group_offset")
     h = F.xxhash64(F.col(key))
+    hashed = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     groups = max(1, docs.count() // (GROUP_ROWS * shards))
-    spot = docs.withColumn("shard", jump_hash(h, shards)).withColumn("__group", F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(groups)))
-    count = spot.select("shard", "__group").groupBy("shard", "__group").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    offset = count.select("shard", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    own = Window.partitionBy("shard", "__group").orderBy(key)
-    out = spot.withColumn("grown_shard", jump_hash(h, shards + 1)).join(offset, ["shard", "__group"])
-    return out.withColumn("slot", F.col("__offset") + F.row_number().over(own) - 1).drop("__group", "__offset")
+    spot = docs.withColumn("shard", jump_hash(h, shards)).withColumn(own_group, F.pmod(F.xxhash64(F.lit(7), *hashed), F.lit(groups)))
+    count = spot.select("shard", own_group).groupBy("shard", own_group).agg(F.count(F.lit(1)).alias(n_))
+    before = Window.partitionBy("shard").orderBy(own_group).rowsBetween(Window.unboundedPreceding, -1)
+    offset = count.select("shard", own_group, F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(offset_))
+    own = Window.partitionBy("shard", own_group).orderBy(key)
+    out = spot.withColumn("grown_shard", jump_hash(h, shards + 1)).join(offset, ["shard", own_group])
+    return out.withColumn("slot", F.col(offset_) + F.row_number().over(own) - 1).drop(own_group, offset_)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

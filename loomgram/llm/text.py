@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time in a task; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
@@ -37,6 +38,12 @@ def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     return docs, moved
 
 
+def as_before(docs: DataFrame, *names: str) -> list[Column]:
+    """The columns of docs under their first names, from a result for which aside(docs, *names) was called."""
+    _, moved = aside(docs, *names)
+    return [F.col(moved.get(c, c)).alias(c) for c in docs.columns]
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)

@@ -113,8 +113,12 @@ def top_k(rows: DataFrame, vector: str, query: Column, k: int = 10, id_: str = "
     level = F.lit(0)
     for x in sorted(set(limits)):
         level = level + (F.col("norm") < x).cast("int")
-    parts = max(1, total // (BUCKET * levels))
-    bucket = (level * parts + F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).alias("bucket")
+    # a level's rows are dealt to as many buckets as its own number of rows takes, equal norms or not
+    rows_of = {r["level"]: r["count"] for r in all_.groupBy(level.alias("level")).count().collect()}
+    parts = [max(1, -(-rows_of.get(i, 0) // BUCKET)) for i in range(levels)]
+    first = [sum(parts[:i]) for i in range(levels)]
+    of = lambda x: F.element_at(F.array(*map(F.lit, x)), level + 1)
+    bucket = (of(first) + F.pmod(F.xxhash64("vec_id", "v"), of(parts)).cast("int")).alias("bucket")
     probes = all_.select("vec_id", "v", "norm", "dim", bucket)
     asked = all_.where(query)
     blocks = max(1, asked.count() // BLOCK)

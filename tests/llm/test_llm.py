@@ -112,6 +112,43 @@ def test_window_fingerprint_is_simhash(spark):
     assert got & (2**64 - 1) == sum(1 << b for b in range(64) if sum((x >> b) & 1 for x in h) * 2 > len(h))
 
 
+def test_fingerprint_of_many_hashes(spark):
+    few, many = [R.getrandbits(64) - (1 << 63) for _ in range(50)], 40_000
+    h = [few[R.randrange(R.randrange(1, 50))] for _ in range(many)]
+    got = spark.createDataFrame([(h,), (h[:100],)], "h array<long>").select(decontaminate.fingerprint(F.col("h")).alias("f")).collect()
+    for r, x in zip(got, (h, h[:100])):
+        assert r.f & (2**64 - 1) == sum(1 << b for b in range(64) if sum((v >> b) & 1 for v in x) * 2 > len(x))
+
+
+def test_contaminated_without_ids_and_clashing_columns(spark):
+    item, clean = prose(30), prose(60)
+    rows_ = [(None, prose(20) + " " + item + " " + prose(20), "a", "b"), (None, clean, "c", "d"), (None, None, "e", "f"), (3, item, "g", "h"), (4, clean, "i", "j")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, found_id string, __id string")
+    got = decontaminate.remove_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted(r["__id"] for r in got.collect()) == ["d", "f", "j"]
+
+
+def test_recall_near_the_threshold(spark):
+    """Items with single words changed, at 0.80 to 0.85 by weighted 5-word shingles."""
+    items, docs = [prose(150 + 4 * k) for k in range(60)], []
+    for k, item in enumerate(items):
+        w = item.split()
+        n = len(w) - 4
+        for j in range(int(n / 9 / 5)):  # each change costs 5 shingles of each side: (n - 5c) / (n + 5c)
+            w[6 + j * (len(w) // int(n / 9 / 5))] = f"other{j}"
+        m, total = len(set(shingled(w, 5)) & set(shingled(item.split(), 5))), n
+        assert 0.79 < m / (2 * total - m) < 0.87
+        if m / (2 * total - m) >= 0.8:
+            docs.append((k, prose(30) + " " + " ".join(w) + " " + prose(30)))
+    got = {r.doc_id for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).where("doc_id = item_id").collect()}
+    assert len(docs) > 30 and len(got) >= 0.97 * len(docs)
+
+
+@pytest.mark.parametrize(("items", "windows", "want"), [(10, 10**6, (4, 0)), (10**6, 10, (0, 4)), (1000, 1000, (2, 2))])
+def test_flips_go_to_the_smaller_side(items, windows, want):
+    assert decontaminate._shares(items, windows) == want
+
+
 # 2
 
 
@@ -317,6 +354,58 @@ def test_lattice_scores(docs, empty):
     assert all(math.isfinite(r.score) for r in lattice.score(docs, F.lit(True)).collect())
 
 
+def brute_lattice(train, ends, texts):
+    """log10 probabilities of texts by plain dictionaries: pieces, forward-backward on the training words, then forward."""
+    import public_tokenizers
+
+    pieces, own = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    prior = {p: lattice.PRIOR * math.exp(x) for p, x in zip(pieces, own)}
+    longest = max(map(len, pieces))
+
+    def forward(raw, p):
+        alpha = [1.0]
+        for j in range(1, len(raw) + 1):
+            alpha.append(sum(alpha[i] * p[raw[i:j]] for i in range(max(0, j - longest), j) if raw[i:j] in p))
+        return alpha
+
+    p = {k: x / lattice.PRIOR for k, x in prior.items()}
+    for _ in range(lattice.ROUNDS):
+        use = dict(prior)
+        for w, times in train.items():
+            raw = b" " + w.encode()
+            alpha, beta = forward(raw, p), [0.0] * len(raw) + [1.0]
+            for i in range(len(raw) - 1, -1, -1):
+                for j in range(i + 1, min(len(raw), i + longest) + 1):
+                    if raw[i:j] in p:
+                        x = p[raw[i:j]] * beta[j]
+                        beta[i] += x
+            for i in range(len(raw)):
+                for j in range(i + 1, min(len(raw), i + longest) + 1):
+                    if raw[i:j] in p:
+                        use[raw[i:j]] += times * alpha[i] * p[raw[i:j]] * beta[j] / alpha[-1]
+        total = sum(use.values())
+        p = {k: x / total for k, x in use.items()}
+    end = (ends + 1) / (sum(train.values()) + ends + 2)
+    return [sum(math.log10(forward(b" " + w.encode(), p)[-1]) + math.log10(1 - end) for w in split(t)) + math.log10(end) for t in texts]
+
+
+def test_lattice_score_of_a_document(spark, docs):
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    all_ = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 1000]
+    got = {(r.doc_id, r.n_tokens): r for r in lattice.score(spark.createDataFrame(all_, "doc_id long, text string"), held).collect()}
+    train = [t for i, t in all_ if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    want = brute_lattice(collections.Counter(w for t in train for w in split(t)), len(train), [t for _, t in all_])
+    for (i, t), x in zip(all_, want):
+        r = got[i, len(split(t)) + 1]
+        assert r.score == pytest.approx(x, rel=1e-9) and r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
+    assert sum(r.word_score for r in got.values()) > sum(r.score for r in got.values())
+
+
+def test_lattice_of_a_very_long_word(spark):
+    got = lattice.score(spark.createDataFrame([(1, "ab" * 20000 + " x"), (2, "x")], "doc_id long, text string"), F.col("doc_id") == 1).orderBy("doc_id").collect()
+    assert got[0].n_tokens == 3 and math.isfinite(got[0].score) and got[0].score < got[1].score < 0
+
+
 # 7
 
 
@@ -352,9 +441,10 @@ def test_repeats(docs, empty, monkeypatch, largest):
     assert suffixes.remove_repeats(empty, 400).count() == 0
 
 
-@pytest.mark.parametrize("largest", [20000, 1])
-def test_reported_passages(spark, docs, monkeypatch, largest):
+@pytest.mark.parametrize(("largest", "square"), [(20000, 600), (20000, 2), (1, 600)])
+def test_reported_passages(spark, docs, monkeypatch, largest, square):
     monkeypatch.setattr(suffixes, "LARGEST", largest)
+    monkeypatch.setattr(suffixes, "SQUARE", square)
     line = prose(200)
     cut = lambda n: line.encode()[:n].decode()
     extra = [(800, prose(40) + "|" + cut(400) + "|" + prose(30)), (801, prose(30) + "/" + cut(400) + "/" + prose(10)), (802, "ab " * 300), (803, "ab " * 99 + "x"), (804, "q" * 260), (805, "q" * 260)]
