@@ -34,20 +34,54 @@ def embed(rows: DataFrame, keys: list[str], dims: int = 2) -> tuple[DataFrame, l
 def density_clusters(points: DataFrame, eps: float, x: str = "x", y: str = "y") -> DataFrame:
     """points (id, x, y) plus cluster: connected components of points at most eps apart, numbered by smallest id.
 
-    Points are dealt to square cells of eps; each meets its own cell and four neighbours. Equal points count once in
-    the comparison.
+    Points are dealt to square cells of which no two points are more than eps apart: a cell is one node, however many
+    points it has. Cells meet those around them; each pair of cells with a pair of near points is one edge, and points
+    that are farther than eps from the other cell take no part.
     """
-    cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    spots = keep(points.groupBy(x, y).agg(F.min("id").alias("node")).withColumn("cx", cell(x)).withColumn("cy", cell(y)))
-    ways = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))))
-    left = spots.select(F.col(x).alias("x1"), F.col(y).alias("y1"), F.col("node").alias("src"), "cx", "cy", F.explode(ways).alias("w"))
-    left = left.select("x1", "y1", "src", (F.col("cx") + F.col("w.dx")).alias("cx"), (F.col("cy") + F.col("w.dy")).alias("cy"))
-    met = left.join(spots.select(F.col(x).alias("x2"), F.col(y).alias("y2"), F.col("node").alias("dst"), "cx", "cy"), ["cx", "cy"]).where("src <> dst")
-    dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
-    roots = connected_components(met.where(dx * dx + dy * dy <= eps * eps).select("src", "dst"))
-    named = spots.select(x, y, "node").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    number = named.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
-    return points.join(named.join(number, "root").select(x, y, "cluster"), [x, y])
+    side = eps / 2**0.5 * (1 - 1e-9)  # a cell's diagonal stays under eps
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    spots = keep(points.groupBy(x, y).agg(F.min("id").alias("low")).withColumn("cx", cell(x)).withColumn("cy", cell(y)))
+    cells = keep(spots.groupBy("cx", "cy").agg(F.min("low").alias("node"), *(f(c).alias(f"{n}_{k}") for c, k in ((x, "x"), (y, "y")) for f, n in ((F.min, "low"), (F.max, "high")))))
+    ways = [(a, b) for a in range(3) for b in range(-2, 3) if (a, b) > (0, 0) and abs(a) + abs(b) < 4]
+    ways = F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ways))).alias("w")
+    own = lambda side_: [F.col(c).alias(f"{c}_{side_}") for c in ("node", "cx", "cy", "low_x", "high_x", "low_y", "high_y")]
+    left = cells.select(*own("a"), ways).withColumn("cx_b", F.col("cx_a") + F.col("w.dx")).withColumn("cy_b", F.col("cy_a") + F.col("w.dy")).drop("w")
+    pairs = keep(left.join(cells.select(*own("b")), ["cx_b", "cy_b"]))
+
+    def near(me: str, other: str) -> DataFrame:
+        """Points of one cell of each pair that are within eps of the other cell's box."""
+        rows = pairs.withColumnsRenamed({f"cx_{me}": "cx", f"cy_{me}": "cy"}).join(spots.select("cx", "cy", F.col(x).alias("px"), F.col(y).alias("py")), ["cx", "cy"])
+        gap = lambda p, k: F.greatest(F.lit(0.0), F.col(f"low_{k}_{other}") - F.col(p), F.col(p) - F.col(f"high_{k}_{other}"))
+        far = gap("px", "x") * gap("px", "x") + gap("py", "y") * gap("py", "y")
+        mid = lambda p, k: F.col(p) - (F.col(f"low_{k}_{other}") + F.col(f"high_{k}_{other}")) / 2
+        off = (mid("px", "x") * mid("px", "x") + mid("py", "y") * mid("py", "y")).alias(f"off_{me}")
+        return rows.where(far <= eps * eps * (1 + 1e-9)).select("node_a", "node_b", F.col("px").alias(f"x_{me}"), F.col("py").alias(f"y_{me}"), off)
+
+    dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
+    on, close = ["node_a", "node_b"], dx * dx + dy * dy <= eps * eps
+    one, two = keep(near("a", "b")), keep(near("b", "a"))
+    # the point nearest to the other cell's middle settles most pairs; only the rest compare all their points
+    best = one.groupBy(*on).agg(F.min_by(F.struct("x_a", "y_a"), "off_a").alias("p")).select(*on, "p.x_a", "p.y_a")
+    linked = keep(two.join(best, on).where(close).select(*on).distinct())
+    met = one.join(linked, on, "left_anti").join(two, on).where(close).select(*on).distinct()
+    roots = connected_components(linked.union(met), "node_a", "node_b")
+    named = cells.select("cx", "cy", "node").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    number = numbered(named.select("root").distinct(), "root", "cluster")
+    spots = spots.join(named.select("cx", "cy", "root"), ["cx", "cy"]).join(number, "root")
+    return points.join(spots.select(x, y, "cluster"), [x, y])
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows plus name: their places 0, 1, .. in the order of by, which has no equal values.
+
+    Rows are sorted in ranges, and each range is numbered by itself from where the ones before it end; only the
+    ranges' sizes come together.
+    """
+    parts = keep(rows.repartitionByRange(by).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.groupBy("range").agg(F.count(F.lit(1)).alias("size")).withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
+    return parts.withColumn("own", own).join(first.select("range", "first"), "range").withColumn(name, F.col("first") + F.col("own")).drop("range", "own", "first")
 
 
 def tree(distances: DataFrame, keys: list[str], method: str = "ward") -> DataFrame:
@@ -111,6 +145,12 @@ def cluster_sizes(clusters: DataFrame, bin_size: int) -> DataFrame:
     return clusters.groupBy("gid", "cluster").agg((F.count(F.lit(1)) * bin_size).alias("bases"))
 
 
+def lookup(track: DataFrame, chr_: object, start: int, end: int) -> DataFrame:
+    """start, end, cluster of the bins of a track that overlap [start, end) of a chromosome; chr_ None: of any."""
+    near = (F.col("start") < end) & (F.col("end") >= start)
+    return track.where(near if chr_ is None else near & (F.col("chr") == F.lit(chr_)))
+
+
 def cluster_track(clusters: DataFrame, bin_size: int) -> DataFrame:
     """chr, start, inclusive end, cluster of each bin."""
     return clusters.select("gid", "chr", "start", (F.col("start") + bin_size - 1).alias("end"), "cluster")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgram.functions.columns import attribute
+from loomgram.functions.columns import attribute, pan_count
+from loomgram.sources.readers import write_genome_part
 from loomgram.tables import keep
 
 
@@ -18,18 +19,21 @@ def named(features: DataFrame, name: str = "Name") -> DataFrame:
 def roots(features: DataFrame) -> DataFrame:
     """gid, id, root: the last ancestor of each feature, by pointer jumping; rows without ID can't be parents.
 
-    Each round doubles the distance; a chain that leaves the table ends at its last known member.
+    Each round doubles the distance; a chain that leaves the table ends at its last known member. Chains of n
+    features end after log2(n) rounds; what still moves then is in a cycle of parents or hangs on one, and has a null
+    root.
     """
     known = features.where("id is not null").select("gid", "id", "parent").dropDuplicates(["gid", "id"])
     up = known.select("gid", F.col("id").alias("parent"), F.lit(True).alias("there"))
     links = known.join(up, ["gid", "parent"], "left").select("gid", "id", F.when(F.col("there"), F.col("parent")).otherwise(F.col("id")).alias("root"))
     links = keep(links)
-    while True:
+    for _ in range(max(1, links.count()).bit_length() + 1):
         next_ = links.select("gid", F.col("id").alias("root"), F.col("root").alias("further"))
         jumped = keep(links.join(next_, ["gid", "root"]).select("gid", "id", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
         links = jumped.drop("moved")
         if jumped.where("moved").isEmpty():
             return links
+    return jumped.select("gid", "id", F.when(~F.col("moved"), F.col("root")).alias("root"))
 
 
 def annotation_names(features: DataFrame) -> DataFrame:
@@ -60,6 +64,20 @@ def valid(features: DataFrame, chrs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.where(ok).drop("size"), met.where(~ok)
 
 
+def reannotate(features: DataFrame, chrs: DataFrame, path: str, gene_types: list[str], annotations_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(genes, annotations) of the tables in path, after those of the genomes in features have been replaced.
+
+    features: records (gid, chr, start, end, type, attr); genes that pass their chromosome's end are left out. The other
+    genomes' partitions stay as they are. annotations_only leaves all genes as they are.
+    """
+    own, others = split_types(named(features), gene_types)
+    if not annotations_only:
+        write_genome_part(valid(own, chrs)[0], f"{path}/genes")
+    write_genome_part(others, f"{path}/annotations")
+    read = features.sparkSession.read
+    return read.parquet(f"{path}/genes"), read.parquet(f"{path}/annotations")
+
+
 def overlapping(features: DataFrame, chr_: object, start: int, end: int) -> DataFrame:
     """Features (1-based records) that overlap [start, end) of a chromosome; chr_ None: of any."""
     near = (F.col("start") - 1 < end) & (F.col("end") > start)
@@ -78,7 +96,7 @@ def pan_counts(bits: DataFrame, regions: DataFrame, cell: int = 1024) -> DataFra
     """
     cells = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell))).alias("cell")
     dealt = regions.where("end > start").select("gid", "chr", "start", "end", "name", cells)
-    rows = bits.select("gid", "chr", "pos", F.bit_count("mask").alias("pan_count"), F.floor(F.col("pos") / cell).alias("cell"))
+    rows = bits.select("gid", "chr", "pos", pan_count(bits).alias("pan_count"), F.floor(F.col("pos") / cell).alias("cell"))
     met = rows.join(dealt, ["gid", "chr", "cell"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
     return met.groupBy("gid", "chr", "start", "end", "name", "pan_count").agg(F.count(F.lit(1)).alias("n"))
 
@@ -114,9 +132,20 @@ def gene_ranking(conservation: DataFrame, column: str) -> DataFrame:
     return conservation.withColumn("share", share).withColumn("rank", F.row_number().over(order))
 
 
-def region_label(genes: DataFrame, regions: DataFrame, most: int = 25) -> DataFrame:
-    """regions (gid, chr, low, high) plus genes: names of those that overlap, or how many if over `most`."""
-    met = regions.join(genes.select("gid", "chr", "start", "end", "name"), ["gid", "chr"], "left")
-    hit = F.when((F.greatest("start", "low") < F.least("end", "high")), F.col("name"))
-    out = met.groupBy("gid", "chr", "low", "high").agg(F.count(hit).alias("n"), F.array_sort(F.collect_list(hit)).alias("names"))
-    return out.select("gid", "chr", "low", "high", F.when(F.col("n") <= most, F.array_join("names", ", ")).otherwise(F.col("n").cast("string")).alias("genes"))
+def region_label(genes: DataFrame, regions: DataFrame, most: int = 25, cell: int = 1 << 16) -> DataFrame:
+    """regions (gid, chr, low, high) plus genes: names of those that overlap, or how many if over `most`.
+
+    Genes and regions are dealt to cells of `cell` positions and meet in a join on equal keys, in the first cell that
+    they share. Names are gathered only where they are `most` at most.
+    """
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor((b - 1) / cell))).alias("cell")
+    own = regions.select("gid", "chr", "low", "high").distinct()
+    left = own.where("high > low").select("*", cells(F.col("low"), F.col("high")))
+    right = genes.where("end > start").select("gid", "chr", "start", "end", "name", cells(F.col("start"), F.col("end")))
+    met = left.join(right, ["gid", "chr", "cell"]).where(F.greatest("start", "low") < F.least("end", "high")).where(F.floor(F.greatest("start", "low") / cell) == F.col("cell"))
+    region = ["gid", "chr", "low", "high"]
+    n = keep(met.groupBy(*region).agg(F.count("name").alias("n")))
+    names = met.join(n.where(F.col("n") <= most), region, "left_semi").groupBy(*region).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    out = own.join(n, region, "left").join(names, region, "left")
+    few = F.array_join(F.coalesce("names", F.array().cast("array<string>")), ", ")
+    return out.select(*region, F.when(F.coalesce("n", F.lit(0)) <= most, few).otherwise(F.col("n").cast("string")).alias("genes"))

@@ -93,14 +93,18 @@ def n_runs(sequences: DataFrame, base: str = "N", least: int = 50, tile: int = 1
 def merge_over_gaps(intervals: DataFrame, gaps: DataFrame, keys: list[str], bin_size: int, exclusive_end: bool = True, bins: int = 2) -> DataFrame:
     """Intervals whose distance is `bins` bins with a gap row (*keys, g_start, g_end) inside become one.
 
-    Chains of such intervals are one interval. exclusive_end=False measures from the inclusive end.
+    Chains of such intervals are one interval. exclusive_end=False measures from the inclusive end. Intervals and gaps
+    are sorted together by place; no interval meets all gaps of its key.
     """
     order = Window.partitionBy(*keys).orderBy("start")
-    rows = intervals.withColumn("prev", F.lag("end").over(order))
+    none = F.lit(None).cast("long")
+    places = intervals.select(*keys, F.col("start").alias("at"), F.lit(1).alias("kind"), "start", "end", none.alias("g_start"))
+    places = places.unionByName(gaps.select(*keys, F.col("g_end").alias("at"), F.lit(0).alias("kind"), none.alias("start"), none.alias("end"), "g_start"))
+    # of the gaps that end before an interval starts, the one that starts last lies after the interval before or none does
+    last = F.max("g_start").over(Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    rows = places.withColumn("last_gap", last).where("kind = 1").withColumn("prev", F.lag("end").over(order))
     far = F.col("start") - F.col("prev") - (1 if exclusive_end else 0)
-    met = rows.join(gaps, keys, "left").withColumn("in", (F.col("g_start") >= F.col("prev")) & (F.col("g_end") <= F.col("start")))
-    rows = met.groupBy(*keys, "start", "end", "prev").agg(F.max(F.coalesce("in", F.lit(False))).alias("in"))
-    new = F.when(F.coalesce((far == bins * bin_size) & F.col("in"), F.lit(False)), 0).otherwise(1)
+    new = F.when(F.coalesce((far == bins * bin_size) & (F.col("last_gap") >= F.col("prev")), F.lit(False)), 0).otherwise(1)
     rows = rows.withColumn("island", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
@@ -134,6 +138,12 @@ def liftover(intervals: DataFrame, blocks: DataFrame, cell: int = 1 << 16) -> Da
     return met.groupBy(*intervals.columns, "target").agg(F.min("low").alias("new_start"), F.max("high").alias("new_end"))
 
 
+def ordered(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """intervals plus place: their order by start, then end, within the keys."""
+    rest = [c for c in intervals.columns if c not in (*keys, start, end)]
+    return intervals.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(start, end, *rest)))
+
+
 def longest_prefix(names: DataFrame, accessions: DataFrame) -> DataFrame:
     """stem, accession: the longest accession that is the stem or begins it before an underscore.
 

@@ -10,10 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgram.functions.columns import one_bit
+from loomgram.functions.columns import WORD, is_wide, no_genome, one_bit, pan_count, words
 
-#: Genomes in a word of a mask: the sign bit stays free.
-WORD = 63
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _CODE[_c + 32] = _i
@@ -70,10 +68,18 @@ def genome_sets(pos: DataFrame, min_count: int = 1) -> DataFrame:
     return pos.where("kmer is not null").groupBy("gid", "kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
 
-def kmer_sets(pos: DataFrame, min_count: int = 1) -> DataFrame:
-    """kmer, mask: bit i is 1 if genome i has the k-mer; for genome ids under WORD. One shuffle, combined before it."""
+def kmer_sets(pos: DataFrame, min_count: int = 1, n: int = WORD) -> DataFrame:
+    """kmer, mask: bit i is 1 if genome i of n has the k-mer. One shuffle, combined before it.
+
+    For over WORD genomes the mask is an array of words. A genome id of n or more is an error.
+    """
     rows = pos.where("kmer is not null") if min_count <= 1 else genome_sets(pos, min_count)
-    return rows.groupBy("kmer").agg(F.bit_or(one_bit(F.col("gid"))).alias("mask"))
+    if n <= WORD:
+        return rows.groupBy("kmer").agg(F.bit_or(one_bit(F.col("gid"))).alias("mask"))
+    gid = F.when((F.col("gid") >= 0) & (F.col("gid") < n), F.col("gid")).otherwise(F.raise_error(F.lit(f"a genome id is not within 0 to {n - 1}")).cast("int"))
+    own = one_bit(gid % WORD)
+    parts = [F.coalesce(F.bit_or(F.when(F.floor(gid / WORD) == w, own)), F.lit(0).cast("long")) for w in range(words(n))]
+    return rows.groupBy("kmer").agg(F.array(*parts).alias("mask"))
 
 
 def kmer_words(pos: DataFrame, word: int = WORD) -> DataFrame:
@@ -82,16 +88,19 @@ def kmer_words(pos: DataFrame, word: int = WORD) -> DataFrame:
     return rows.groupBy("kmer", "word").agg(F.bit_or(one_bit(F.col("gid") % word)).alias("mask"))
 
 
-def anchor(pos: DataFrame, sets: DataFrame) -> DataFrame:
-    """gid, chr, pos, mask of every position: its k-mer's genomes, 0 at invalid bases.
+def anchor(pos: DataFrame, sets: DataFrame, n: int = WORD) -> DataFrame:
+    """gid, chr, pos, mask of every position: its k-mer's genomes of n, none at invalid bases.
 
-    Null k-mers don't enter the join, where they would be one hot key.
+    Null k-mers would be one hot key of the join; they go by negative numbers, which no k-mer has, to all tasks.
     """
-    known = pos.where("kmer is not null").join(sets, "kmer", "left").select("gid", "chr", "pos", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    return known.union(pos.where("kmer is null").select("gid", "chr", "pos", F.lit(0).cast("long")))
+    if is_wide(sets) != (n > WORD):
+        raise ValueError("the sets are not of n genomes")
+    spread = -1 - F.pmod(F.xxhash64("gid", "chr", "pos"), F.lit(1 << 20))
+    met = pos.withColumn("kmer", F.coalesce("kmer", spread)).join(sets, "kmer", "left")
+    return met.select("gid", "chr", "pos", F.coalesce("mask", no_genome(n)).alias("mask"))
 
 
 def conserved(sets: DataFrame, n: int) -> DataFrame:
     """kmer, mask, kind: private (one genome), core (all n) or accessory."""
-    size = F.bit_count("mask")
+    size = pan_count(sets)
     return sets.withColumn("kind", F.when(size == 1, "private").when(size == n, "core").otherwise("accessory"))

@@ -54,30 +54,29 @@ def shift_to_target(sim: DataFrame, means: DataFrame, target: float = -1.0, limi
     return met.select("gid", "chr", "start", "other", clip(moved).alias("sim"))
 
 
-def _reflected(values: Column, size: int) -> Column:
-    """Array of windows i - size div 2 .. of the array values, its ends mirrored (the edge value twice)."""
-    n = F.size(values)
-
-    def at(i: Column) -> Column:
-        j = F.pmod(i, 2 * n)
-        return F.get(values, F.when(j < n, j).otherwise(2 * n - 1 - j))
-
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: at(i - size // 2 + k)))
-
-
 def smooth(sim: DataFrame, size: int, how: str = "mean") -> DataFrame:
-    """Moving mean (nulls ignored) or median (upper of an even window) over each series, ends mirrored.
+    """Moving mean (nulls ignored) or median (upper of an even window) over each series, ends mirrored (the edge value twice).
 
-    A series is one chromosome's bins: an array, bounded by the chromosome's length.
+    The window of row i begins at i - size div 2. Rows near an end are also put at the places beyond it that mirror them,
+    so that a plain window of rows does the rest; no series is gathered in one row.
     """
-    rows = sim.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start", "sim"))).alias("s"))
-    rows = rows.withColumn("w", _reflected(F.col("s.sim"), size))
+    order = Window.partitionBy(*KEYS).orderBy("start")
+    rows = sim.select(*KEYS, "start", "sim").withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)).cast("int"))
+    n = F.col("n")
+
+    def mirrored(low: Column, high: Column) -> Column:
+        turn = lambda v: F.pmod(v, 2 * n)
+        return F.filter(F.sequence(low, high), lambda v: F.when(turn(v) < n, turn(v)).otherwise(2 * n - 1 - turn(v)) == F.col("i"))
+
+    ends = F.concat(mirrored(F.lit(-size), F.lit(-1)), mirrored(n, n + size - 1))
+    near = (F.col("i") < size) | (F.col("i") >= n - size)
+    at = rows.withColumn("at", F.explode(F.concat(F.array("i"), F.when(near, ends).otherwise(F.array().cast("array<int>")))))
+    frame = Window.partitionBy(*KEYS).orderBy("at").rowsBetween(-(size // 2), size - 1 - size // 2)
     if how == "mean":
-        full = lambda w: F.filter(w, lambda x: x.isNotNull())
-        value = F.transform("w", lambda w: F.try_divide(F.aggregate(full(w), F.lit(0.0), lambda a, x: a + x), F.size(full(w))))
+        value = F.avg("sim").over(frame)
     else:
-        value = F.transform("w", lambda w: F.get(F.array_sort(w), F.lit(size // 2)))
-    return rows.select(*KEYS, F.explode(F.arrays_zip(F.col("s.start").alias("start"), value.alias("sim"))).alias("x")).select("gid", "chr", "x.start", "other", "x.sim")
+        value = F.get(F.array_sort(F.transform(F.collect_list(F.struct("sim")).over(frame), lambda x: x["sim"])), F.lit(size // 2))
+    return at.withColumn("sim", value).where("at >= 0 and at < n").select("gid", "chr", "start", "other", "sim")
 
 
 def taper(sim: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def group_similarity(sim: DataFrame, groups: DataFrame, compare: str) -> DataFra
     (mean) and ref_max of REF."""
     named = groups.select(F.col("gid").alias("other"), F.col("grp").alias("other_grp"))
     mine = groups.select("gid", F.col("grp").alias("own_grp"))
-    rows = sim.join(F.broadcast(named), "other").join(F.broadcast(mine), "gid")
+    rows = sim.join(named, "other").join(mine, "gid")
     of = lambda c: F.when(c, F.col("sim"))
     return rows.groupBy("gid", "chr", "start").agg(
         F.avg(of((F.col("other_grp") == F.col("own_grp")) & (F.col("other") != F.col("gid")))).alias("own"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgram.functions.columns import members
+from loomgram.functions.columns import members, pan_count
 
 
 def chromosomes(sequences: DataFrame, k: int) -> DataFrame:
@@ -30,14 +30,14 @@ def _dense(counts: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def pan_bins(bits: DataFrame, n: int, bin_size: int) -> DataFrame:
     """gid, chr, start, pan_count, n: histogram of pan-counts in each bin, zeros included."""
-    rows = bits.select("gid", "chr", (F.floor(F.col("pos") / bin_size) * bin_size).alias("start"), F.bit_count("mask").alias("pan_count"))
+    rows = bits.select("gid", "chr", (F.floor(F.col("pos") / bin_size) * bin_size).alias("start"), pan_count(bits).alias("pan_count"))
     return _dense(rows.groupBy("gid", "chr", "start", "pan_count").agg(F.count(F.lit(1)).alias("n")), ["gid", "chr", "start"], n)
 
 
 def adaptive_pan_bins(bits: DataFrame, chrs: DataFrame, n: int, bin_size: int = 200_000, least: int = 100) -> DataFrame:
     """pan_bins() with each chromosome's own bin length."""
     size = chrs.select("gid", "chr", adaptive_bin(F.col("size"), bin_size, least).alias("bin_size"))
-    rows = bits.join(size, ["gid", "chr"]).select("gid", "chr", (F.floor(F.col("pos") / F.col("bin_size")) * F.col("bin_size")).alias("start"), F.bit_count("mask").alias("pan_count"))
+    rows = bits.join(size, ["gid", "chr"]).select("gid", "chr", (F.floor(F.col("pos") / F.col("bin_size")) * F.col("bin_size")).alias("start"), pan_count(bits).alias("pan_count"))
     return _dense(rows.groupBy("gid", "chr", "start", "pan_count").agg(F.count(F.lit(1)).alias("n")), ["gid", "chr", "start"], n)
 
 
@@ -62,7 +62,7 @@ def bin_similarity(bits: DataFrame, n: int, bin_size: int) -> DataFrame:
 
 def pan_totals(bits: DataFrame) -> DataFrame:
     """gid, chr (null: whole genome), pan_count, n in one pass."""
-    rows = bits.select("gid", "chr", F.bit_count("mask").alias("pan_count"))
+    rows = bits.select("gid", "chr", pan_count(bits).alias("pan_count"))
     by_chr = rows.groupBy("gid", "chr", "pan_count").agg(F.count(F.lit(1)).alias("n"))
     return by_chr.groupingSets([["gid", "chr", "pan_count"], ["gid", "pan_count"]], "gid", "chr", "pan_count").agg(F.sum("n").alias("n"))
 
@@ -90,7 +90,7 @@ def pair_totals(bits: DataFrame, n: int) -> DataFrame:
 def conserved_share(bits: DataFrame, n: int, bin_size: int) -> DataFrame:
     """gid, chr, start, unique, universal: shares of positions that one genome or all have."""
     start = (F.floor(F.col("pos") / bin_size) * bin_size).alias("start")
-    size = F.bit_count("mask")
+    size = pan_count(bits)
     share = lambda c: F.count_if(c) / F.count(F.lit(1))
     return bits.groupBy("gid", "chr", start).agg(share(size == 1).alias("unique"), share(size == n).alias("universal"))
 
@@ -98,7 +98,7 @@ def conserved_share(bits: DataFrame, n: int, bin_size: int) -> DataFrame:
 def region_composition(bits: DataFrame, gid: int, chr_: object, start: int, end: int) -> DataFrame:
     """pan_count, percent of the region's positions with at least one genome."""
     rows = bits.where((F.col("gid") == gid) & (F.col("chr") == F.lit(chr_)) & (F.col("pos") >= start) & (F.col("pos") < end))
-    counts = rows.where("mask <> 0").groupBy(F.bit_count("mask").alias("pan_count")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where(pan_count(bits) > 0).groupBy(pan_count(bits).alias("pan_count")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select("pan_count", "n", (100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("percent"))
 
 
@@ -113,7 +113,7 @@ def region_difference(bits: DataFrame, n: int, gid: int, chr_: object, start: in
 
 def block_averages(bits: DataFrame, block: int, step: int) -> DataFrame:
     rows = bits.where(F.col("pos") % step == 0)
-    return rows.groupBy("gid", "chr", F.floor(F.col("pos") / block).alias("block")).agg(F.avg(F.bit_count("mask")).alias("average"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("gid", "chr", F.floor(F.col("pos") / block).alias("block")).agg(F.avg(pan_count(bits)).alias("average"), F.count(F.lit(1)).alias("n"))
 
 
 def offsets(chrs: DataFrame, step: int = 1) -> DataFrame:

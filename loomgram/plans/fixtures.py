@@ -7,18 +7,21 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgram.operators import genes, kmers, summary
+from loomgram.operators import bitmap, genes, kmers, summary
 from loomgram.tables import keep, table
 
 #: k, genomes (sources), bin length and the length of a chromosome of intervals (30 days of seconds).
 K, GENOMES, BIN, SPAN, HOUR = 21, 20, 200, 30 * 86400, 3600
+#: Steps at which coarse bitmaps are stored, and genomes of the finer key.
+STEPS, FINE = (20, 100), 100
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Letter i stands for ACGT[i mod 4]; q, x and z are invalid bases.
 BASES = "".join("N" if c in "qxz" else "ACGT"[i % 4] for i, c in enumerate(LETTERS))
 
 
 class Index:
-    """Tables derived from one folder; the bitmap is written once for a session and read by the queries after."""
+    """Tables derived from one folder; positions, sets and bitmaps are written once for a session and read by the queries
+    after. Written positions take 8 bytes a base; without them (kmers.positions) each reader makes the k-mers anew."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -30,13 +33,13 @@ class Index:
         seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, BASES)
         return docs.select(F.substring("source", 4, 9).cast("int").alias("gid"), F.col("doc_id").alias("chr"), seq.alias("seq"))
 
-    @property
+    @cached_property
     def pos(self) -> DataFrame:
-        return kmers.positions(self.seqs, K)
+        return keep(kmers.positions(self.seqs, K))
 
-    @property
+    @cached_property
     def sets(self) -> DataFrame:
-        return kmers.kmer_sets(self.pos)
+        return keep(kmers.kmer_sets(self.pos))
 
     @cached_property
     def bits(self) -> DataFrame:
@@ -44,6 +47,30 @@ class Index:
         # by hash, as a range would compute the join once more for its sample; row groups still follow genome and place
         return keep(out.repartition("gid", "chr", F.shiftright("pos", 20)).sortWithinPartitions("gid", "chr", "pos"))
 
+    @cached_property
+    def coarse(self) -> dict[int, DataFrame]:
+        """The bitmap at the steps that are stored beside the full one."""
+        return {step: keep(bitmap.low_resolution(self.bits, step)) for step in STEPS}
+
+    def at_step(self, step: int) -> DataFrame:
+        """Positions divisible by step, from the coarsest bitmap stored that has them."""
+        stored = bitmap.at_step(self.bits, step, self.coarse)
+        return stored if step in STEPS else bitmap.low_resolution(stored, step)
+
+    @cached_property
+    def fine_pos(self) -> DataFrame:
+        """As pos, of 100 genomes: a document's source and the remainder of its number by 5 tell its genome."""
+        gid = F.col("gid") * 5 + F.pmod("chr", F.lit(5)).cast("int")
+        return self.pos.withColumn("gid", gid)
+
+    @cached_property
+    def fine_sets(self) -> DataFrame:
+        return keep(kmers.kmer_sets(self.fine_pos, n=FINE))
+
+    @cached_property
+    def fine_bits(self) -> DataFrame:
+        return keep(kmers.anchor(self.fine_pos, self.fine_sets, FINE))
+
     @property
     def chrs(self) -> DataFrame:
         return summary.chromosomes(self.seqs, K)

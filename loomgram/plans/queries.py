@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgram.functions import columns
 from loomgram.operators import bitmap, cluster, distance, genes, introgress, intervals, kmers, scoring, similarity, summary
-from loomgram.plans.fixtures import BASES, BIN, GENOMES, HOUR, K, LETTERS, SPAN, Index, index
+from loomgram.plans.fixtures import BASES, BIN, FINE, GENOMES, HOUR, K, LETTERS, SPAN, Index, index
 from loomgram.sources import readers
 from loomgram.tables import scratch, table
 
@@ -23,6 +23,9 @@ PARTS = {
     "pos": "SELECT gid, chr, pos, CASE WHEN contains(km, 'N') THEN NULL ELSE least(km, reverse(translate(km, 'ACGT', 'TGCA'))) END AS kmer FROM raw",
     "sets": "SELECT kmer, bit_or(1::BIGINT << gid) AS mask FROM pos WHERE kmer IS NOT NULL GROUP BY kmer",
     "bits": "SELECT gid, chr, pos, coalesce(mask, 0) AS mask FROM pos LEFT JOIN sets USING (kmer)",
+    "fpos": "SELECT gid * 5 + CAST(chr % 5 AS INT) AS gid, chr, pos, kmer FROM pos",
+    "fsets": "SELECT kmer, bit_or(1::HUGEINT << gid) AS mask FROM fpos WHERE kmer IS NOT NULL GROUP BY kmer",
+    "fbits": "SELECT gid, chr, pos, coalesce(mask, 0) AS mask FROM fpos LEFT JOIN fsets USING (kmer)",
     "chrs": f"SELECT gid, chr, CAST(length(seq) - {K - 1} AS BIGINT) AS size, row_number() OVER (PARTITION BY gid ORDER BY chr) - 1 AS id FROM seqs WHERE length(seq) >= {K}",
     "feats": """SELECT gid, chr, i, CAST(50 * i AS BIGINT) AS start, CAST(50 * i + 30 + (7 * chr + 13 * i) % 40 AS BIGINT) AS "end", CASE i % 3 WHEN 0 THEN 'gene' WHEN 1 THEN 'mRNA' ELSE 'exon' END AS type,
         'd' || chr || '_' || i AS id, CASE WHEN i % 3 <> 0 THEN 'd' || chr || '_' || (i - 1) END AS parent, CASE WHEN i % 6 = 0 THEN 'g' || chr || '_' || i ELSE 'd' || chr || '_' || i END AS name
@@ -51,7 +54,7 @@ PARTS = {
     "calls": "SELECT gid AS accession, chr, start, t / 100.0::DOUBLE AS threshold FROM grouped, unnest(range(0, 72, 4)) AS u(t) WHERE ref < 0.95 AND comp >= ref + t / 100.0::DOUBLE",
 }
 NEEDS = {
-    "raw": ["seqs"], "pos": ["raw"], "sets": ["pos"], "bits": ["pos", "sets"], "chrs": ["seqs"], "feats": ["seqs"], "genes": ["feats", "chrs"], "grps": ["seqs"], "binned": ["bits"], "pairs": ["binned", "others"],
+    "raw": ["seqs"], "pos": ["raw"], "sets": ["pos"], "bits": ["pos", "sets"], "fpos": ["pos"], "fsets": ["fpos"], "fbits": ["fpos", "fsets"], "chrs": ["seqs"], "feats": ["seqs"], "genes": ["feats", "chrs"], "grps": ["seqs"], "binned": ["bits"], "pairs": ["binned", "others"],
     "sim": ["pairs"], "means": ["sim"], "near": ["bed"], "marked": ["near"], "series": ["bed", "marked"], "jumps": ["series"], "numbered": ["jumps"], "rle": ["numbered"], "truth": ["bed"], "labels_": ["series", "truth"],
     "sweep": ["truth", "series"], "swept": ["sweep"], "filtered": ["binned", "others"], "fsim": ["binned", "others", "filtered"], "grouped": ["fsim", "grps"], "calls": ["grouped"],
 }
@@ -128,7 +131,7 @@ def _(ix):
 
 @query("k8_unpacked_bits", "bits others", "SELECT gid, chr, other, count(*) AS n, CAST(sum((mask >> other) & 1) AS BIGINT) AS ones FROM bits, others WHERE pos % 100 = 0 GROUP BY ALL")
 def _(ix):
-    rows = bitmap.unpack(bitmap.low_resolution(ix.bits), GENOMES)
+    rows = bitmap.unpack(ix.at_step(100), GENOMES)
     return rows.groupBy("gid", "chr", "other").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("ones"))
 
 
@@ -140,12 +143,17 @@ def _(ix):
 
 @query("k10_low_resolution", "bits", "SELECT gid, chr, pos, CAST(bit_count(mask) AS INT) AS pan_count FROM bits WHERE pos % 100 = 0")
 def _(ix):
-    return bitmap.low_resolution(ix.bits).select("gid", "chr", "pos", F.bit_count("mask").alias("pan_count"))
+    return ix.at_step(100).select("gid", "chr", "pos", F.bit_count("mask").alias("pan_count"))
 
 
-@query("k11_sampled_positions")
+@query("k11_sampled_positions", "bits", f"SELECT gid, chr, count(*) AS n, {s6('avg(bit_count(mask))')} AS average FROM (SELECT *, row_number() OVER (PARTITION BY gid, chr ORDER BY md5(gid || ':' || chr || ':' || pos), pos) AS r FROM bits) WHERE r <= 50000 GROUP BY ALL")
 def _(ix):
-    return bitmap.sample(ix.bits).groupBy("gid", "chr").agg(F.count(F.lit(1)).alias("n"), F.avg(F.bit_count("mask")).alias("average"))
+    return bitmap.sample(ix.bits).groupBy("gid", "chr").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.bit_count("mask"))).alias("average"))
+
+
+@query("k11_few_sampled", "bits", "SELECT gid, chr, pos, CAST(bit_count(mask) AS INT) AS pan_count FROM (SELECT *, row_number() OVER (PARTITION BY gid, chr ORDER BY md5(gid || ':' || chr || ':' || pos), pos) AS r FROM bits) WHERE r <= 50")
+def _(ix):
+    return bitmap.sample(ix.bits, 50).select("gid", "chr", "pos", F.bit_count("mask").alias("pan_count"))
 
 
 @query("u5_conserved_sets", "sets", f"SELECT CASE WHEN bit_count(mask) = 1 THEN 'private' WHEN bit_count(mask) = {GENOMES} THEN 'core' ELSE 'accessory' END AS kind, count(*) AS n FROM sets GROUP BY ALL")
@@ -159,7 +167,7 @@ def _(ix):
 @query("f1_range_query", "bits", "SELECT pos, CAST(bit_count(mask) AS INT) AS pan_count, CAST(mask & 1 AS INT) AS src0, CAST((mask >> 1) & 1 AS INT) AS src1 FROM bits WHERE gid = 5 AND pos >= 37 AND pos < 2037 AND (pos - 37) % 10 = 0 AND chr = (SELECT min(chr) FROM chrs WHERE gid = 5 AND size = (SELECT max(size) FROM chrs WHERE gid = 5))".replace("chrs", "(SELECT gid, chr, length(seq) AS size FROM seqs)"))
 def _(ix):
     best = ix.chrs.where("gid = 5").agg(F.max_by("chr", F.struct("size", -F.col("chr"))).alias("chr")).first()
-    rows = bitmap.query(ix.bits, 5, best["chr"], 37, 2037, 10)
+    rows = bitmap.query(ix.bits, 5, best["chr"], 37, 2037, 10, ix.coarse)
     return bitmap.wide(rows.withColumn("gid", F.col("gid")), ["src0", "src1"]).join(rows.select("pos", F.bit_count("mask").alias("pan_count")), "pos").select("pos", "pan_count", "src0", "src1")
 
 
@@ -177,7 +185,7 @@ def _(ix):
     FROM (SELECT type, min(i) AS first FROM feats WHERE type <> 'gene' GROUP BY type)) t USING (type) WHERE start - 1 < 600 AND "end" > 220""")
 def _(ix):
     annos = genes.split_types(ix.features, ["gene"])[1]
-    return genes.overlapping(annos, None, 220, 600).join(F.broadcast(genes.type_ids(annos, "i")), "type").select("gid", "chr", "start", "end", "type", "type_id")
+    return genes.overlapping(annos, None, 220, 600).join(genes.type_ids(annos, "i"), "type").select("gid", "chr", "start", "end", "type", "type_id")
 
 
 @query("f5_local_genes", "genes", 'SELECT gid, count(*) FILTER (greatest(start, 100) < least("end", 400)) AS here, count(*) AS n FROM genes GROUP BY gid')
@@ -220,7 +228,7 @@ def _(ix):
 
 @query("f12_recipients", "grps", "SELECT a.gid AS anchor, a.grp, string_agg(b.grp, ',' ORDER BY b.grp) AS compared FROM grps a JOIN (SELECT DISTINCT grp FROM grps WHERE grp NOT IN ('REF', 'OFFSPRING')) b ON a.grp <> b.grp WHERE a.grp <> 'REF' GROUP BY ALL")
 def _(ix):
-    compared = F.broadcast(ix.groups.where("grp not in ('REF', 'OFFSPRING')").select(F.col("grp").alias("other")).distinct())
+    compared = ix.groups.where("grp not in ('REF', 'OFFSPRING')").select(F.col("grp").alias("other")).distinct()
     met = ix.groups.where("grp <> 'REF'").join(compared, F.col("grp") != F.col("other"))
     return met.groupBy(F.col("gid").alias("anchor"), "grp").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("compared"))
 
@@ -334,14 +342,18 @@ def _(ix):
     return distance.jaccard(ix.sets, GENOMES, K).withColumns({"jaccard": r6("jaccard"), "dist": r6("dist")})
 
 
-@query("a15_sketch_distance")
+@query("a15_sketch_distance", "pos", f""", d AS (SELECT DISTINCT gid, kmer FROM pos WHERE kmer IS NOT NULL), c AS (SELECT kmer, substr(md5(CAST(list_reduce(list_transform(string_split(translate(kmer, 'ACGT', '0123'), ''), lambda x: CAST(x AS BIGINT)), lambda x, y: x * 4 + y) AS VARCHAR)), 1, 15) AS h FROM (SELECT DISTINCT kmer FROM d)),
+    s AS (SELECT gid, h FROM (SELECT gid, h, row_number() OVER (PARTITION BY gid ORDER BY h) AS r FROM d JOIN c USING (kmer)) WHERE r <= 10000), g AS (SELECT DISTINCT gid FROM s),
+    u AS (SELECT a, b, n, row_number() OVER (PARTITION BY a, b ORDER BY h) AS r FROM (SELECT x.gid AS a, y.gid AS b, h, count(*) AS n FROM g x JOIN g y ON x.gid < y.gid JOIN s ON s.gid = x.gid OR s.gid = y.gid GROUP BY ALL)),
+    j AS (SELECT a, b, count(*) FILTER (n = 2) / count(*)::DOUBLE AS j FROM u WHERE r <= 10000 GROUP BY ALL) SELECT a, b, {s6("j")} AS jaccard, {s6(f"CASE WHEN j = 0 THEN 1 ELSE -ln(2 * j / (1 + j)) / {K} END")} AS dist FROM j""")
 def _(ix):
-    return distance.sketch_distance(distance.sketch(ix.pos), K)
+    h = F.conv(F.substring(F.md5(F.col("kmer").cast("string")), 1, 15), 16, 10).cast("long")
+    return distance.sketch_distance(distance.sketch(ix.pos, h=h), K).withColumns({"jaccard": r6("jaccard"), "dist": r6("dist")})
 
 
 @query("a16_column_distance", "bits others", f"SELECT gid, a.other AS a, b.other AS b, {s6('sqrt(count(*) FILTER (((mask >> a.other) & 1) <> ((mask >> b.other) & 1)))')} AS dist FROM bits, others a, others b WHERE a.other < b.other AND pos % 100 = 0 GROUP BY ALL")
 def _(ix):
-    rows = summary.mask_counts(bitmap.low_resolution(ix.bits), "gid")
+    rows = summary.mask_counts(ix.at_step(100), "gid")
     return distance.column_distance(rows, ["gid"], GENOMES).withColumn("dist", r6("dist"))
 
 
@@ -616,7 +628,7 @@ def _(ix):
 
 @query("t4_genome_trees")
 def _(ix):
-    rows = summary.mask_counts(bitmap.low_resolution(ix.bits, 20), "gid")
+    rows = summary.mask_counts(ix.at_step(20), "gid")
     return cluster.tree(distance.column_distance(rows, ["gid"], GENOMES), ["gid"]).drop("members")
 
 
@@ -741,7 +753,7 @@ def _(ix):
 
 @query("a29_dominant_genomes")
 def _(ix):
-    rows = summary.mask_counts(bitmap.low_resolution(ix.bits, 20), "gid")
+    rows = summary.mask_counts(ix.at_step(20), "gid")
     trees = cluster.tree(distance.column_distance(rows, ["gid"], GENOMES), ["gid"])
     return cluster.dominant(trees, summary.pair_totals(ix.bits, GENOMES).select("gid", "other", F.col("n").alias("value")), ["gid"])
 
@@ -792,3 +804,208 @@ def _(ix):
     path = scratch(ix.spark)
     ix.bed.select("chr", "start", "end", "accession").write.option("sep", "\t").csv(path)
     return readers.bed(ix.spark, path)
+
+
+@query("s2_fastq_scan", "pos", "SELECT gid, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS n FROM (SELECT gid, kmer, count(*) AS n FROM pos WHERE kmer IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) GROUP BY gid")
+def _(ix):
+    path = scratch(ix.spark)
+    record = F.concat(F.lit("@"), "chr", F.lit(" read\n"), "seq", F.lit("\n+\n@"), F.repeat(F.lit("I"), F.length("seq") - 1))
+    ix.seqs.where("length(seq) > 0").select(record.alias("value"), "gid").write.partitionBy("gid").text(path)
+    reads = readers.fastq(ix.spark, path).withColumn("gid", F.regexp_extract("path", "gid=([0-9]+)", 1).cast("int"))
+    return kmers.genome_sets(kmers.positions(reads, K), 2).groupBy("gid").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+
+
+@query("s5_groups_scan", "grps", "SELECT 'src' || gid AS name, grp FROM grps")
+def _(ix):
+    path = scratch(ix.spark)
+    readers.write_table(ix.groups.select(F.concat(F.lit("src"), "gid").alias("name"), F.col("grp").alias("group")), path)
+    return readers.groups(ix.spark, path)
+
+
+@query("s6_truth_scan", "truth", f"SELECT accession, CAST(bin AS BIGINT) AS bin, {s6('coalesce(value, 0)')} AS value FROM (SELECT accession, unnest(range(0, {SPAN}, {HOUR})) AS bin FROM (SELECT DISTINCT accession FROM truth WHERE chr = 'click')) LEFT JOIN (SELECT * FROM truth WHERE chr = 'click') USING (accession, bin)")
+def _(ix):
+    path = scratch(ix.spark)
+    rows = ix.truth.where("chr = 'click'").groupBy(F.col("accession").alias("Sample")).pivot("bin", list(range(0, SPAN, HOUR))).agg(F.first("value"))
+    readers.write_table(rows, path)
+    return readers.truth(ix.spark, path).withColumn("value", r6("value"))
+
+
+@query("s7_paf_scan", "", f"""WITH l AS (SELECT doc_id AS chr, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS n FROM documents) SELECT CAST(chr AS VARCHAR) AS query, CAST(chr + 1000 AS VARCHAR) AS target, CASE WHEN chr % 2 = 0 THEN '+' ELSE '-' END AS strand,
+    CAST(n AS BIGINT) AS q_end, CAST(100 AS BIGINT) AS t_start, (n // 3) || 'M10D' || (n // 3) || 'M5I' || (n - 2 * (n // 3) - 5) || 'M' AS cigar FROM l WHERE n >= 60""")
+def _(ix):
+    path = scratch(ix.spark)
+    a, zero = _alignments(ix), F.lit(0)
+    cols = ["query", "q_end", zero, "q_end", "strand", "target", "q_end", "t_start", F.col("t_start") + F.col("q_end"), "q_end", "q_end", F.lit(60), F.lit("tp:A:P"), F.concat(F.lit("cg:Z:"), "cigar")]
+    a.select(F.concat_ws("\t", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols)).alias("value")).write.text(path)
+    return readers.paf(ix.spark, path).select("query", "target", "strand", "q_end", "t_start", "cigar")
+
+
+@query("s8_samples_scan", "grps", "SELECT 'src' || gid AS name, 'src' || gid || '.fa' AS fasta, CAST(NULL AS VARCHAR) AS gff, row_number() OVER (ORDER BY gid) - 1 AS id, gid < 2 AS anchor FROM grps")
+def _(ix):
+    path, name = scratch(ix.spark), F.concat(F.lit("src"), "gid")
+    readers.write_table(ix.groups.orderBy("gid").coalesce(1).select(name.alias("name"), F.concat(name, F.lit(".fa")).alias("fasta")), path)
+    return readers.samples(ix.spark, path, ["src0", "src1"]).withColumn("id", long("id"))
+
+
+@query("s9_edges_scan", "sets others", f""", m AS (SELECT mask, count(*) AS n FROM sets GROUP BY mask), p AS (SELECT a.other AS a, b.other AS b FROM others a JOIN others b ON a.other < b.other),
+    j AS (SELECT a, b, sum(n * ((mask >> a) & (mask >> b) & 1)) / nullif(sum(n * (((mask >> a) | (mask >> b)) & 1)), 0)::DOUBLE AS j FROM m, p GROUP BY ALL) SELECT 'src' || a AS a, 'src' || b AS b, {s6(f"CASE WHEN coalesce(j, 0) = 0 THEN 1 ELSE -ln(2 * j / (1 + j)) / {K} END")} AS dist FROM j""")
+def _(ix):
+    path = scratch(ix.spark)
+    rows = distance.jaccard(ix.sets, GENOMES, K)
+    named = [F.concat(F.lit("src"), c).alias(c) for c in "ab"]
+    rows.select(*named, "dist", F.lit(0.0).alias("p"), "shared").write.option("sep", "\t").csv(path)
+    return readers.edges(ix.spark, path).select("a", "b", r6("dist").alias("dist"))
+
+
+@query("s10_bitmap_files", "bits", "SELECT 1 AS step, chr, count(*) AS n, CAST(sum(bit_count(mask)) AS BIGINT) AS ones FROM bits WHERE gid = 5 AND pos >= 100 AND pos < 900 GROUP BY chr UNION ALL SELECT 200, chr, count(*), CAST(sum(bit_count(mask)) AS BIGINT) FROM bits WHERE gid = 5 AND pos % 200 = 0 GROUP BY chr")
+def _(ix):
+    path = scratch(ix.spark)
+    readers.write_bitmaps(ix.bits, path)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.bit_count("mask")).alias("ones")]
+    fine = readers.read_bitmap(ix.spark, path).where("gid = 5 and pos >= 100 and pos < 900").groupBy(F.lit(1).alias("step"), "chr").agg(*sums)
+    return fine.union(readers.read_bitmap(ix.spark, path, 200).where("gid = 5").groupBy(F.lit(200).alias("step"), "chr").agg(*sums))
+
+
+@query("s11_summary_files", "chrs bits others", f"""SELECT 'chrs' AS source, gid, chr AS key, size AS n FROM chrs UNION ALL SELECT 'pan_counts', gid, bit_count(mask), count(*) FROM bits GROUP BY ALL
+    UNION ALL SELECT 'pair_counts', gid, other, CAST(sum(c * ((mask >> other) & 1)) AS BIGINT) FROM (SELECT gid, mask, count(*) AS c FROM bits GROUP BY ALL), others GROUP BY ALL""")
+def _(ix):
+    path = scratch(ix.spark)
+    tables = {
+        "chrs": ix.chrs.select("gid", F.col("chr").alias("key"), F.col("size").alias("n")),
+        "pan_counts": summary.pan_totals(ix.bits).where("chr is null").select("gid", F.col("pan_count").alias("key"), "n"),
+        "pair_counts": summary.pair_totals(ix.bits, GENOMES).select("gid", F.col("other").alias("key"), "n"),
+    }
+    readers.write_summaries(tables, path)
+    parts = [readers.summary(ix.spark, path, name, "gid int, key long, n long").select(F.lit(name).alias("source"), "gid", "key", "n") for name in tables]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("s12_call_files", "calls", f""", j AS (SELECT *, CASE WHEN start = lag(start) OVER (PARTITION BY accession, chr, threshold ORDER BY start) + {BIN} THEN 0 ELSE 1 END AS j FROM calls WHERE threshold < 0.1), r AS (SELECT *, sum(j) OVER (PARTITION BY accession, chr, threshold ORDER BY start) AS run FROM j)
+    SELECT accession, intro_type, threshold, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS length FROM (SELECT accession, chr, 'WT' AS intro_type, threshold, min(start) AS start, max(start) + {BIN - 1} AS "end" FROM r GROUP BY accession, chr, threshold, run) GROUP BY ALL""")
+def _(ix):
+    path = scratch(ix.spark)
+    sim = similarity.filtered_similarity(ix.bits, GENOMES, BIN, F.lit(31).cast("long"))
+    readers.write_calls(introgress.call(sim, ix.groups, ["WT"], introgress.THREE_WAY, BIN).where("threshold < 0.1"), path)
+    rows = ix.spark.read.schema("chr long, start long, end long, threshold double, accession int, intro_type string").option("sep", "\t").csv(path)
+    return rows.groupBy("accession", "intro_type", "threshold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("length"))
+
+
+REGION_BITS = """SELECT r.name, count(*) AS n, avg(bit_count(mask)) AS average FROM (SELECT gid, chr, 'r' || chr AS name, 10 AS lo, 10 + 7 * (chr % 90) AS hi FROM chrs) r JOIN bits b ON b.gid = r.gid AND b.chr = r.chr AND b.pos >= lo AND b.pos < hi GROUP BY ALL"""
+
+
+@query("s13_region_averages", "chrs bits", f"SELECT name, n, {s6('average')} AS average FROM ({REGION_BITS})")
+def _(ix):
+    path = scratch(ix.spark)
+    ix.chrs.select(F.concat(F.lit("r"), "chr"), "chr", F.lit(10), 10 + 7 * (F.col("chr") % 90)).write.option("sep", "\t").csv(path)
+    asked = readers.regions(ix.spark, path).withColumn("chr", F.col("chr").cast("long")).join(ix.chrs.select("gid", "chr"), "chr")
+    return genes.region_moments(genes.pan_counts(ix.bits, asked)).select("name", "n", r6("average").alias("average"))
+
+
+@query("s14_feature_table_scan", "genes bits", f"SELECT g.name, CAST(g.chr AS VARCHAR) AS chr, g.start, {s6('avg(bit_count(mask))')} AS average, g.\"end\" - g.start AS length FROM genes g JOIN bits b ON b.gid = g.gid AND b.chr = g.chr AND b.pos >= g.start AND b.pos < g.\"end\" GROUP BY g.gid, g.chr, g.start, g.\"end\", g.name")
+def _(ix):
+    path = scratch(ix.spark)
+    rows = genes.region_moments(genes.pan_counts(ix.bits, ix.genes))
+    rows.select("name", "chr", "start", "end", "average", "deviation", F.lit("-").alias("attr")).write.option("sep", "\t").csv(path)
+    return readers.feature_table(ix.spark, path).select("name", "chr", "start", r6("average").alias("average"), "length")
+
+
+@query("g4_reannotated", "feats chrs", """, f AS (SELECT gid, chr, CASE WHEN gid = 3 THEN start + 10 ELSE start END AS start, CASE WHEN gid = 3 THEN "end" + 10 ELSE "end" END AS "end", type FROM feats)
+    SELECT 'genes' AS source, gid, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts FROM f JOIN chrs USING (gid, chr) WHERE type = 'gene' AND "end" > start AND start >= 0 AND "end" <= size GROUP BY gid
+    UNION ALL SELECT 'annotations', gid, count(*), CAST(sum(start) AS BIGINT) FROM f WHERE type <> 'gene' GROUP BY gid""")
+def _(ix):
+    path = scratch(ix.spark)
+    genes.reannotate(ix.features, ix.chrs, path, ["gene"])
+    moved = ix.features.where("gid = 3").withColumn("start", F.col("start") + 10).withColumn("end", F.col("end") + 10)
+    own, others = genes.reannotate(moved, ix.chrs, path, ["gene"])
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts")]
+    return own.groupBy(F.lit("genes").alias("source"), "gid").agg(*sums).union(others.groupBy(F.lit("annotations").alias("source"), "gid").agg(*sums))
+
+
+@query("u2_all_anchors", "chrs", "SELECT gid, chr, size, id FROM chrs")
+def _(ix):
+    path = scratch(ix.spark)
+    readers.write_genome_part(ix.chrs.where("gid % 2 = 0"), path)
+    readers.write_genome_part(ix.chrs.where("gid % 2 = 1"), path)
+    return ix.spark.read.parquet(path).select("gid", "chr", "size", long("id"))
+
+
+@query("t6_bin_clusters", "", """WITH RECURSIVE p AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01::DOUBLE * 0.01::DOUBLE),
+    r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS id, dense_rank() OVER (ORDER BY m) - 1 AS cluster FROM (SELECT a, min(b) AS m FROM r GROUP BY a)) SELECT id * 100000 AS start, cluster FROM c JOIN p USING (id) WHERE label = 3 AND id * 100000 < 40000000 AND id * 100000 + 99999 >= 1050000""")
+def _(ix):
+    rows = table(ix.spark, ix.sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("gid"), F.col("label").alias("chr"), (F.col("vec_id") * 100_000).alias("start"))
+    track = cluster.cluster_track(cluster.density_clusters(_points(ix), 0.01).select("id", long("cluster")).join(rows, "id"), 100_000)
+    return cluster.lookup(track, 3, 1_050_000, 40_000_000).select("start", "cluster")
+
+
+@query("w10_sorted_lifted", "", ORACLES["j8_liftover"].replace("SELECT query, name, start, \"end\", query + 1000 AS target", "SELECT *, row_number() OVER (PARTITION BY target ORDER BY new_start, new_end, name) AS place FROM (SELECT query, name, start, \"end\", query + 1000 AS target") + ")")
+def _(ix):
+    lifted = QUERIES["j8_liftover"](ix.spark, ix.sf_dir).select("name", "query", "start", "end", "target", "new_start", "new_end")
+    return intervals.ordered(lifted, ["target"], "new_start", "new_end").withColumn("place", long("place"))
+
+
+# over 63 genomes: masks of several words
+
+
+@query("k7_wide_sets", "fsets", "SELECT CAST(bit_count(mask) AS INT) AS pan_count, count(*) AS n FROM fsets GROUP BY ALL")
+def _(ix):
+    return ix.fine_sets.groupBy(columns.pan_count(ix.fine_sets).alias("pan_count")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k7_wide_pan_counts", "fbits", "SELECT gid, chr, CAST(bit_count(mask) AS INT) AS pan_count, count(*) AS n FROM fbits GROUP BY GROUPING SETS ((gid, chr, bit_count(mask)), (gid, bit_count(mask)))")
+def _(ix):
+    return summary.pan_totals(ix.fine_bits)
+
+
+@query("k7_wide_pair_totals", "fbits", f"SELECT gid, CAST(other AS INT) AS other, CAST(sum(c * ((mask >> CAST(other AS INT)) & 1)) AS BIGINT) AS n FROM (SELECT gid, mask, count(*) AS c FROM fbits GROUP BY ALL), range({FINE}) t(other) GROUP BY ALL")
+def _(ix):
+    return summary.pair_totals(ix.fine_bits, FINE).select("gid", "other", "n")
+
+
+@query("k7_wide_pattern", "fbits", "SELECT gid, count(*) AS n FROM fbits WHERE (mask >> 3) & 1 = 1 AND (mask >> 70) & 1 = 0 AND (mask >> 99) & 1 = 0 GROUP BY gid")
+def _(ix):
+    return bitmap.pattern(ix.fine_bits, [3], [70, 99]).groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a15_wide_jaccard", "fpos", f""", d AS (SELECT DISTINCT gid, kmer FROM fpos WHERE kmer IS NOT NULL), c AS (SELECT gid, count(*) AS n FROM d GROUP BY gid), s AS (SELECT x.gid AS a, y.gid AS b, count(*) AS shared FROM d x JOIN d y ON x.kmer = y.kmer AND x.gid < y.gid GROUP BY ALL),
+    p AS (SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b FROM range({FINE}) t(a), range({FINE}) u(b) WHERE a < b) SELECT p.a, p.b, coalesce(shared, 0) AS shared, {s6("coalesce(shared / nullif(coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(shared, 0), 0)::DOUBLE, 0)")} AS jaccard
+    FROM p LEFT JOIN s ON s.a = p.a AND s.b = p.b LEFT JOIN c x ON x.gid = p.a LEFT JOIN c y ON y.gid = p.b""")
+def _(ix):
+    return distance.jaccard(ix.fine_sets, FINE, K).select("a", "b", "shared", r6("jaccard").alias("jaccard"))
+
+
+# what SQL can say of embeddings and trees
+
+
+@query("t2_embedding_moments", "sim", f"""SELECT count(*) // {GENOMES} AS n, {s6("(SELECT sum(v) FROM (SELECT var_samp(coalesce(sim, 0)) AS v FROM sim GROUP BY other))")} AS variance, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS covariance, true AS falling FROM sim""")
+def _(ix):
+    rows, _ = cluster.embed(cluster.features(summary.bin_similarity(ix.bits, GENOMES, BIN)), ["gid", "chr", "start"], GENOMES)
+    pcs = [f"pc{i + 1}" for i in range(GENOMES)]
+    var = rows.agg(F.count(F.lit(1)).alias("n"), *(F.var_samp(c).alias(c) for c in pcs), F.greatest(*(F.abs(F.avg(c)) for c in pcs)).alias("mean"), F.abs(F.covar_samp("pc1", "pc2")).alias("covariance"))
+    falling = F.forall(F.sequence(F.lit(1), F.lit(GENOMES - 1)), lambda i: F.get(F.array(*pcs), i) <= F.get(F.array(*pcs), i - 1) + 1e-9)
+    total = sum((F.col(c) for c in pcs[1:]), F.col("pc1"))
+    return var.select("n", r6(total).alias("variance"), r6("mean").alias("mean"), r6("covariance").alias("covariance"), falling.alias("falling"))
+
+
+TREES = """, d AS (SELECT gid, a.other AS a, b.other AS b, sqrt(sum(c * xor((mask >> a.other) & 1, (mask >> b.other) & 1))) AS dist FROM (SELECT gid, mask, count(*) AS c FROM bits WHERE pos % 20 = 0 GROUP BY ALL), others a, others b WHERE a.other < b.other GROUP BY ALL)"""
+
+
+@query("t4_first_merges", "bits others", f"""{TREES} SELECT gid, {s6("min(dist)")} AS height, CAST(arg_min(a, (dist, a, b)) AS INT) AS "left", CAST(arg_min(b, (dist, a, b)) AS INT) AS "right", {GENOMES - 1} AS merges, {GENOMES} AS size FROM d GROUP BY gid""")
+def _(ix):
+    rows = QUERIES["t4_genome_trees"](ix.spark, ix.sf_dir)
+    first = lambda c: F.max(F.when(F.col("step") == 0, F.col(c)))
+    return rows.groupBy("gid").agg(r6(first("height")).alias("height"), first("left").alias("left"), first("right").alias("right"), F.count(F.lit(1)).cast("int").alias("merges"), F.max("size").alias("size"))
+
+
+@query("t5_first_merge", "sets others", f""", m AS (SELECT mask, count(*) AS n FROM sets GROUP BY mask), p AS (SELECT a.other AS a, b.other AS b, sum(n * ((mask >> a.other) & (mask >> b.other) & 1)) AS x, sum(n * (((mask >> a.other) | (mask >> b.other)) & 1)) AS y FROM m, others a, others b WHERE a.other <> b.other GROUP BY ALL),
+    e AS (SELECT a, b, CASE WHEN x = 0 THEN 1 ELSE -ln(2 * (x / y::DOUBLE) / (1 + x / y::DOUBLE)) / {K} END AS d FROM p UNION ALL SELECT other, other, 0 FROM others), r AS (SELECT i.a, j.a AS b, sqrt(sum((i.d - j.d) * (i.d - j.d))) AS dist FROM e i JOIN e j ON i.b = j.b AND i.a < j.a GROUP BY ALL)
+    SELECT {s6("min(dist)")} AS height, CAST(arg_min(a, dist) AS INT) AS "left", CAST(arg_min(b, dist) AS INT) AS "right", {GENOMES - 1} AS merges FROM r""")
+def _(ix):
+    rows = QUERIES["t5_distance_tree"](ix.spark, ix.sf_dir)
+    first = lambda c: F.max(F.when(F.col("step") == 0, F.col(c)))
+    return rows.agg(r6(first("height")).alias("height"), first("left").alias("left"), first("right").alias("right"), F.count(F.lit(1)).cast("int").alias("merges"))
+
+
+@query("a29_dominant_at_the_root", "bits others", "SELECT gid, arg_max(other, (n, -other)) AS other, max(n) AS value FROM (SELECT gid, other, CAST(sum(c * ((mask >> other) & 1)) AS BIGINT) AS n FROM (SELECT gid, mask, count(*) AS c FROM bits GROUP BY ALL), others GROUP BY ALL) GROUP BY gid")
+def _(ix):
+    rows = QUERIES["a29_dominant_genomes"](ix.spark, ix.sf_dir)
+    return rows.groupBy("gid").agg(F.max_by("other", "step").alias("other"), F.max_by("value", "step").alias("value"))

@@ -17,10 +17,14 @@ def fasta(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, chr, seq of each read: records of four lines, split at the next line that begins with @ after a + pair."""
+    """path, chr, seq of each read: records of four lines, split at lines that begin with @.
+
+    Where a quality line begins with @, the record ends after its third line, and the rest of that line is a piece of one
+    line, which is no record.
+    """
     rows = spark.read.option("wholetext", False).option("lineSep", "\n@").text(list(paths)).select(F.input_file_name().alias("path"), "value")
     part = F.split("value", "\n")
-    ok = (F.size(part) >= 4) & F.get(part, F.lit(2)).startswith("+")
+    ok = (F.size(part) >= 3) & F.get(part, F.lit(2)).startswith("+")
     return rows.where(ok).select("path", F.regexp_extract(F.get(part, F.lit(0)), r"^@?(\S+)", 1).alias("chr"), F.get(part, F.lit(1)).alias("seq"))
 
 
@@ -95,6 +99,30 @@ def write_bitmap(bits: DataFrame, path: str) -> None:
     bits.repartitionByRange("gid", "chr", "pos").sortWithinPartitions("gid", "chr", "pos").write.mode("overwrite").partitionBy("gid").parquet(path)
 
 
+def write_bitmaps(bits: DataFrame, path: str, steps: tuple[int, ...] = (1, 100)) -> None:
+    """A bitmap of the positions divisible by each step, side by side."""
+    for step in steps:
+        write_bitmap(bits.where(F.col("pos") % step == 0), f"{path}/step={step}")
+
+
+def read_bitmap(spark: SparkSession, path: str, step: int = 1, steps: tuple[int, ...] = (1, 100)) -> DataFrame:
+    """The positions divisible by step, from the coarsest of write_bitmaps()'s tables that has them."""
+    stored = max(s for s in steps if step % s == 0)
+    rows = spark.read.parquet(f"{path}/step={stored}")
+    return rows if stored == step else rows.where(F.col("pos") % step == 0)
+
+
+def write_summaries(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as tab-separated text with a header, in a folder of its name."""
+    for name, rows in tables.items():
+        write_table(rows, f"{path}/{name}")
+
+
+def summary(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A table of write_summaries()."""
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+
+
 def write_genome_part(rows: DataFrame, path: str) -> None:
     """Replace the partitions of the genomes in rows, and no others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gid").parquet(path)
