@@ -89,13 +89,11 @@ def _flips(most: int) -> Column:
 
 
 def _shares(items: int, windows: int) -> tuple[int, int]:
-    """How many of the RADIUS / 4 bits are flipped on the items' side and on the windows', for the fewest rows in all."""
-    from math import comb
+    """How many of a block's RADIUS / 4 bits are flipped on the items' side and on the windows': all on the smaller side.
 
-    total = RADIUS // 4
-    size = [sum(comb(16, k) for k in range(n + 1)) for n in range(total + 1)]
-    own = min(range(total, -1, -1), key=lambda n: size[n] * items + size[total - n] * windows)
-    return own, total - own
+    With some flipped on each, two equal blocks would meet once for every mask.
+    """
+    return (RADIUS // 4, 0) if items <= windows else (0, RADIUS // 4)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> DataFrame:
@@ -106,7 +104,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> Da
     any of the item's shingles have similarity 0, so only windows over a shared shingle are fingerprinted. Blocks of
     the fingerprints meet in a join with all blocks within RADIUS / 4 bits of an item's, which finds every
     fingerprint within RADIUS; the exact similarity decides. At similarity 0.8 the distance is 10 bits on average. The
-    bits are flipped on the items' side or on the windows' or some on each, whatever takes the fewest rows.
+    bits are flipped on the items' side or on the windows', whichever has fewer fingerprints.
 
     Null and empty texts and items have no words and take no part. Rows with one doc_id count as one document; of rows
     without doc_id each text is one. Items with equal texts are reported each.
