@@ -193,6 +193,63 @@ def test_language(docs, empty, spark):
     assert language.identify(docs, langs, table).count() == docs.count()
 
 
+def brute_mixture(train, texts):
+    """Shares by plain EM over words, with the operator's trigram cells; the set of languages of best penalised likelihood."""
+
+    def word_cells(t):
+        for w in re.split(rb"[\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())):
+            v = b" " + w + b" "
+            yield [((v[i - 1] << 16 | v[i] << 8 | v[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for i in range(1, len(v) - 1) if 97 <= v[i] <= 122 or v[i] >= 128]
+
+    langs = sorted({x for _, x in train})
+    count = {x: collections.Counter(c for t, y in train if y == x for cells in word_cells(t) for c in cells) for x in langs}
+    total = {x: sum(count[x].values()) + language.SMOOTH * language.CELLS for x in langs}
+    for t in texts:
+        like = []
+        for cells in word_cells(t):
+            if cells:
+                logs = [sum(math.log((count[x][c] + language.SMOOTH) / total[x]) for c in cells) for x in langs]
+                like.append([math.exp(max(v - max(logs), -60)) for v in logs])
+
+        def em(share, rounds, like=like):
+            for _ in range(rounds):
+                new = [0.0] * len(langs)
+                for w in like:
+                    z = sum(a * b for a, b in zip(w, share))
+                    new = [n + a * b / z for n, a, b in zip(new, w, share)]
+                share = [n / len(like) for n in new]
+            return share, sum(math.log(sum(a * b for a, b in zip(w, share))) for w in like)
+
+        if not like:
+            yield None
+            continue
+        full, _ = em([1 / len(langs)] * len(langs), language.ROUNDS)
+        order = sorted(range(len(langs)), key=lambda k: -full[k])
+        best, value = None, -math.inf
+        for size in range(1, len(langs) + 1):
+            share = [full[k] + 1e-9 if k in order[:size] else 0.0 for k in range(len(langs))]
+            share, ll = em([x / sum(share) for x in share], 2 if size > 1 else 0)
+            ll -= language.PENALTY * 0.5 * math.log(max(len(like), 2)) * (size - 1)
+            if ll <= value:
+                break
+            best, value = share, ll
+        yield {x: p for x, p in zip(langs, best) if p}
+
+
+def test_language_against_plain_em(spark):
+    kinds = {"de": ["sch", "ung", "der", "ein"], "en": ["the", "ing", "with", "er"], "fr": ["les", "eau", "être", "ou"]}
+    say = lambda x, n: " ".join("".join(R.choice(kinds[x]) for _ in range(R.randint(1, 3))) for _ in range(n))
+    train = [(say(x, 40), x) for x in kinds for _ in range(15)]
+    texts = [say("en", 30), say("fr", 20) + " " + say("de", 20), say("de", 3), say("en", 60) + " " + say("fr", 5), " ".join(say(x, 25) for x in kinds), "12 ..", "", None, "the", "zzz qqq", say("fr", 800)]
+    model = language.train(spark.createDataFrame([(i, *x) for i, x in enumerate(train)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *model).collect()}
+    for i, want in enumerate(brute_mixture(train, texts)):
+        if want is None:
+            assert (got[i].lang_pred, got[i].score, got[i].shares) == ("und", 0, {})
+        else:
+            assert got[i].shares == pytest.approx(want, abs=1e-4) and got[i].score == pytest.approx(max(want.values()), abs=1e-4) and want[got[i].lang_pred] == pytest.approx(max(want.values()), abs=1e-6)
+
+
 # 4
 
 
@@ -490,6 +547,40 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5} and quality.score(empty, none).count() == 0
 
 
+def test_quality_against_plain_ftrl(spark):
+    """Weights by one number at a time, over the same tokens and hashed cells."""
+    rows_ = [(i, (prose(12) if i % 2 else " | ".join(prose(6).split()) + "!!") + R.choice([" A-b", " été", ""])) for i in range(40)] + [(90, ""), (91, None)]
+    label = {i: i % 2 for i, _ in rows_}
+    table = spark.createDataFrame(rows_, "doc_id long, text string")
+    weights = quality.train(table, spark.createDataFrame(list(label.items()), "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality.score(table, weights).collect()}
+    order = [r.doc_id for r in table.orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+
+    def cells(t):
+        raw = (t or "").encode()
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", raw)
+        one = lambda x: int(text.span_hash(text.prefix_sums(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)]))[0])
+        h = [one(x) for x in tokens]
+        pairs = [int(text.mix(np.array([(a * 3 + b) & (2**64 - 1)], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        count = collections.Counter(x >> (64 - quality.BITS) for x in h + pairs)
+        return {**{k: quality.SCALE * c / max(1, sum(count.values())) for k, c in count.items()}, "bias": 1.0}
+
+    x = {i: cells(t) for i, t in rows_}
+    z, n = collections.Counter(), collections.Counter()
+    alpha, beta, l1, l2 = 0.15, 1.0, 0.02, 0.5
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    score = lambda v: 1 / (1 + math.exp(-sum(weight(k) * a for k, a in v.items())))
+    for _ in range(4):
+        for i in order:
+            p, w = score(x[i]), {k: weight(k) for k in x[i]}
+            for k, a in x[i].items():
+                g = (p - label[i]) * a
+                s = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - s * w[k]
+                n[k] += g * g
+    assert got == pytest.approx({i: score(v) for i, v in x.items()}, abs=1e-4)
+
+
 # 9
 
 
@@ -499,7 +590,7 @@ def test_packing(docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    docs = docs.unionByName(docs.where("doc_id < 4").withColumn("text", F.concat("text", F.lit(" <|endoftext|> and <|endoftext|>"))).withColumn("doc_id", F.col("doc_id") + 5000))
     all_ = docs.collect()
     want = collections.Counter()
     for r in all_:
@@ -527,8 +618,7 @@ def test_chunked_encoding(t):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    ids, at = packing.encode(*text.text_bytes(pa.array([t, "z " + t + " z"])), packing.encoder(path), {})
+    ids, at = packing.encode_texts(pa.array([t, "z " + t + " z"]), packing.encoder(path), {}, packing.AddedTokens(path))
     assert ids.tolist() == own.encode(t, add_special_tokens=False).ids + own.encode("z " + t + " z", add_special_tokens=False).ids and len(at) == 3
 
 
@@ -610,3 +700,49 @@ def test_extraction(spark):
     right = sum(got[i] == "\n".join(b[1] for b in html.blocks(h) if "article" in b[0]) for i, _, h, _ in made)
     assert right >= 57 and got[90] == got[91] == ""
     assert html.extract(pages.limit(0), html.train(pages.limit(0))).count() == 0
+
+
+def test_extraction_without_known_names(spark):
+    """Class names and containers that no training page has: the words, leaves and neighbours have to tell."""
+    r = np.random.default_rng(6)
+    page = lambda main, ad, nav, foot: f"<html><body><{nav}><ul>" + "".join(f"<li><a href=/>{word()}</a>" for _ in range(int(r.integers(3, 7)))) + f"</ul></{nav.split()[0]}><div class={ad}>{prose(6)}</div><{main}><h1>{prose(5)}</h1>" + "".join(f"<p>{prose(int(r.integers(20, 60)))}." for _ in range(int(r.integers(3, 7)))) + f"</{main.split()[0]}><{foot}>{prose(4)}</{foot.split()[0]}></body></html>"
+    known = [(i, f"u{i}", page("article", "ad", "nav", "footer")) for i in range(80)]
+    model = html.Labeller.loads(html.train(spark.createDataFrame(known, "page_id long, url string, html string")))
+    right = total = inside = 0
+    for _ in range(40):
+        blocks = html.blocks(page("div class=zebra", "plum", "div class=kiwi", "div class=lemon"))
+        want = np.array(["zebra" in " ".join(b[0]) for b in blocks])
+        right, total, inside = right + int(((html.label(model, [blocks])[0] >= 0.5) == want).sum()), total + len(want), inside + int(want.sum())
+    assert right / total > max(inside, total - inside) / total + 0.15
+
+
+def test_clashing_columns_keep_their_values(spark, docs):
+    """A column that has a result's name comes back under another one, with its own values."""
+    weights = np.zeros((1 << quality.BITS) + 1, np.float32)
+    got = quality.score(docs, weights)
+    assert {(r.score_in, r.score) for r in got.where("doc_id is not null").collect()} == {(0.5, 0.5)} and set(docs.columns) - {"score"} < set(got.columns)
+    named = docs.withColumn("score", F.col("doc_id").cast("double"))
+    assert all(r.score_in == r.doc_id and r.score == 0.5 for r in quality.score(named, weights).where("doc_id is not null").collect())
+    assert all(r.score_in == r.doc_id and 0 <= r.score <= 1 for r in language.identify(named, *language.train(docs)).where("doc_id is not null").collect())
+    assert all(r.shard_in == 7 and 0 <= r.shard < 8 for r in sharding.shard(docs, 8).collect() if r.doc_id is not None)
+    again = sharding.shard(docs.where("doc_id is not null"), 8, "shard")
+    assert {r.shard for r in again.select("shard").distinct().collect()} == {jump(xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42), 8)}
+    pages = spark.createDataFrame([(1, "u", PAGE, "own")], "page_id long, url string, html string, Text string")
+    out = html.extract(pages, html.Labeller().dumps()).first()
+    assert out["Text_in"] == "own" and isinstance(out["text"], str)
+    pieces = packing.tokenize(docs, __import__("public_tokenizers").path("byte_bpe_50k.json")).withColumn("offset", F.lit("mine"))
+    assert {r.offset_in for r in packing.pack(pieces).collect()} == {"mine"}
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(None, "a b c", "en"), (1, "d e f", "fr"), (2, None, None)], "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    for op in (language.op3_language, lattice.op6_lattice, quality.op8_quality):
+        assert op(spark, d).where("held_out is null").count() == 0
+
+
+def test_hot_groups_are_dealt_out(spark):
+    same = spark.createDataFrame([(7, f"t{i}") for i in range(9000)], "key long, text string")
+    got = sharding.shard(same, 4, "key").collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(9000))

@@ -55,3 +55,17 @@ def test_all_are_registered():
     assert set(e.oracle_sql()) <= set(names)
     with pytest.raises(KeyError):
         e.queries()["none"]
+
+
+def test_stages_keep_columns_of_the_operators_names(spark, tmp_path):
+    d, item = str(tmp_path), prose(30)
+    texts = {i: prose(100) for i in range(30)} | {40: prose(20) + " " + item}
+    extra = "spans string, score double, kept string, n_removed int, text_in string, `found_id` int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), f"s{i}", i / 8, f"k{i}", i, f"x{i}", -i) for i, t in texts.items()], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) == len(texts) - (name == "decontamination") and all((r.spans, r.score, r.kept, r.n_removed, r.text_in, r.found_id) == (f"s{r.doc_id}", r.doc_id / 8, f"k{r.doc_id}", r.doc_id, f"x{r.doc_id}", -r.doc_id) for r in rows)
