@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from loomgram.llm import decontaminate, html, language, lattice, packing, quality, sharding, simhash, suffixes, topk
+from loomgram.llm import decontaminate, html, language, lattice, packing, quality, sharding, simhash, suffixes, topk, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_html": html.op10_html,
+    "op13_urls": urls.op13_urls,
 }
-ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE, "op13_urls": urls.ORACLE}
