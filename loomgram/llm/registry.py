@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from loomgram.llm import decontaminate, html, language, lattice, packing, quality, sharding, simhash, suffixes, topk, urls, whitening
+from loomgram.llm import decontaminate, html, language, lattice, packing, quality, sharding, simhash, spelling, suffixes, topk, urls, whitening
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_html": html.op10_html,
+    "op11_spelling": spelling.op11_spelling,
     "op12_whitening": whitening.op12_whitening,
     "op13_urls": urls.op13_urls,
 }
