@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgram.operators import kmers
+
 
 def merge_bins(flagged: DataFrame, keys: list[str], bin_size: int) -> DataFrame:
     """Intervals of adjacent flagged bins (rows with start); end is inclusive: start + n * bin - 1."""
@@ -76,8 +78,7 @@ def rescale(series: DataFrame, keys: list[str], spans: DataFrame, old: int, new:
 
 def n_runs(sequences: DataFrame, base: str = "N", least: int = 50, tile: int = 1 << 16) -> DataFrame:
     """gid, chr, start, end of runs of at least `least` of a base: runs in tiles, merged where tiles meet."""
-    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - 1), F.lit(tile))).alias("at")
-    tiles = sequences.select("gid", "chr", cut, "seq").select("gid", "chr", "at", F.col("seq").substr(F.col("at") + 1, F.lit(tile)).alias("tile"))
+    tiles = kmers.tiles(sequences, 0, tile)
     part = F.split(F.regexp_replace("tile", f"({base}+)", ",$1,"), ",")
     rows = tiles.select("gid", "chr", "at", F.posexplode(part).alias("i", "text"))
     before = F.sum(F.length("text")).over(Window.partitionBy("gid", "chr", "at").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
@@ -112,10 +113,11 @@ def merge_over_gaps(intervals: DataFrame, gaps: DataFrame, keys: list[str], bin_
 def alignment_blocks(paf: DataFrame) -> DataFrame:
     """query, target, strand, q_start, q_end, t_start, t_end of the match runs (M, = and X) of each alignment's CIGAR.
 
-    Query places count along the query; on the minus strand they fall as target places rise.
+    Query places count along the query; on the minus strand they fall as target places rise. An alignment that is listed
+    more than once counts once.
     """
     ops = F.regexp_extract_all("cigar", F.lit(r"(\d+[MIDNSHX=])"), 1)
-    rows = paf.withColumn("aln", F.xxhash64(*paf.columns)).select("aln", "query", "target", "strand", "q_start", "q_end", "t_start", F.posexplode(ops).alias("i", "op"))
+    rows = paf.distinct().withColumn("aln", F.xxhash64(*paf.columns)).select("aln", "query", "target", "strand", "q_start", "q_end", "t_start", F.posexplode(ops).alias("i", "op"))
     rows = rows.withColumn("n", F.expr("cast(substr(op, 1, length(op) - 1) as bigint)")).withColumn("kind", F.expr("right(op, 1)"))
     before = Window.partitionBy("aln").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     walk = lambda kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(kinds), F.col("n")).otherwise(0)).over(before), F.lit(0))

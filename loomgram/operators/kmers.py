@@ -34,17 +34,48 @@ def codes(data: np.ndarray, k: int) -> np.ndarray:
     return np.where(whole[k:] - whole[:-k] == k, np.minimum(forward, back), -1)
 
 
+def tiles(sequences: DataFrame, overlap: int = 0, size: int = 1 << 16) -> DataFrame:
+    """gid, chr, at, tile: sequences (gid, chr, seq) cut into `size` bases, each with `overlap` more from the next tile.
+
+    A sequence's bytes are sliced where they lie, so that the time is linear in its length. A tile that would hold no more than the
+    overlap is left out; null sequences have no tiles.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = b.column("seq").cast(pa.large_binary())
+            for row in range(b.num_rows):
+                data = whole[row].as_buffer() if whole[row].is_valid else None
+                n = data.size if data else 0
+                starts = range(0, max(0, n - overlap), size)
+                for part in range(0, len(starts), 64):  # some megabytes a batch
+                    own = list(starts[part : part + 64])
+                    text = pa.array([data[x : x + size + overlap].to_pybytes() for x in own], pa.binary()).cast(pa.string())
+                    same = [b.column(c).take(pa.array([row] * len(own))) for c in ("gid", "chr")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(own, pa.int64()), text], ["gid", "chr", "at", "tile"])
+
+    return sequences.select("gid", "chr", "seq").mapInArrow(task, T.StructType([
+        T.StructField("gid", T.IntegerType()), T.StructField("chr", sequences.schema["chr"].dataType), T.StructField("at", T.LongType()), T.StructField("tile", T.StringType()),
+    ]))
+
+
+def _check(k: int) -> None:
+    if not 0 < k <= 31:
+        raise ValueError("k must be 1 to 31")
+
+
 def positions(sequences: DataFrame, k: int = 21) -> DataFrame:
     """gid, chr, pos, kmer (canonical code; null at invalid bases) of every window of sequences (gid, chr, seq), k <= 31.
 
     Sequences are cut into tiles with k - 1 bases of overlap first, so that a long one is many rows.
     """
-    if not 0 < k <= 31:
-        raise ValueError("k must be 1 to 31")
-    tile = 1 << 16
-    cut = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - k), F.lit(tile))).alias("at")
-    rows = sequences.where(F.length("seq") >= k).select("gid", "chr", "seq", cut)
-    rows = rows.select("gid", "chr", "at", F.col("seq").substr(F.col("at") + 1, F.lit(tile + k - 1)).alias("tile"))
+    _check(k)
+    return tile_positions(tiles(sequences, k - 1), k)
+
+
+def tile_positions(cut: DataFrame, k: int = 21) -> DataFrame:
+    """positions() of tiles (gid, chr, at, tile) with k - 1 bases of overlap."""
+    _check(k)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -58,8 +89,8 @@ def positions(sequences: DataFrame, k: int = 21) -> DataFrame:
                 cols = [part.column("gid").take(of), part.column("chr").take(of), pa.array(at), pa.array(kmer, mask=kmer < 0)]
                 yield pa.RecordBatch.from_arrays(cols, ["gid", "chr", "pos", "kmer"])
 
-    return rows.mapInArrow(task, T.StructType([
-        T.StructField("gid", T.IntegerType()), T.StructField("chr", sequences.schema["chr"].dataType), T.StructField("pos", T.LongType()), T.StructField("kmer", T.LongType()),
+    return cut.select("gid", "chr", "at", "tile").mapInArrow(task, T.StructType([
+        T.StructField("gid", T.IntegerType()), T.StructField("chr", cut.schema["chr"].dataType), T.StructField("pos", T.LongType()), T.StructField("kmer", T.LongType()),
     ]))
 
 

@@ -129,12 +129,6 @@ def _(ix):
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.bit_count("mask")).alias("bits"), F.max("mask").alias("top"))
 
 
-@query("k8_unpacked_bits", "bits others", "SELECT gid, chr, other, count(*) AS n, CAST(sum((mask >> other) & 1) AS BIGINT) AS ones FROM bits, others WHERE pos % 100 = 0 GROUP BY ALL")
-def _(ix):
-    rows = bitmap.unpack(ix.at_step(100), GENOMES)
-    return rows.groupBy("gid", "chr", "other").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("ones"))
-
-
 @query("k8_all_bits", "bits others", "SELECT gid, chr, other, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * ((mask >> other) & 1)) AS BIGINT) AS ones FROM (SELECT gid, chr, mask, count(*) AS c FROM bits GROUP BY ALL), others GROUP BY ALL")
 def _(ix):
     rows = bitmap.unpack(summary.mask_counts(ix.bits, "gid", "chr"), GENOMES)
@@ -351,12 +345,6 @@ def _(ix):
     return distance.sketch_distance(distance.sketch(ix.pos, h=h), K).withColumns({"jaccard": r6("jaccard"), "dist": r6("dist")})
 
 
-@query("a16_column_distance", "bits others", f"SELECT gid, a.other AS a, b.other AS b, {s6('sqrt(count(*) FILTER (((mask >> a.other) & 1) <> ((mask >> b.other) & 1)))')} AS dist FROM bits, others a, others b WHERE a.other < b.other AND pos % 100 = 0 GROUP BY ALL")
-def _(ix):
-    rows = summary.mask_counts(ix.at_step(100), "gid")
-    return distance.column_distance(rows, ["gid"], GENOMES).withColumn("dist", r6("dist"))
-
-
 @query("a16_all_columns", "bits others", f"SELECT gid, a.other AS a, b.other AS b, {s6('sqrt(sum(c * xor((mask >> a.other) & 1, (mask >> b.other) & 1)))')} AS dist FROM (SELECT gid, mask, count(*) AS c FROM bits GROUP BY ALL), others a, others b WHERE a.other < b.other GROUP BY ALL")
 def _(ix):
     return distance.column_distance(summary.mask_counts(ix.bits, "gid"), ["gid"], GENOMES).withColumn("dist", r6("dist"))
@@ -628,7 +616,7 @@ def _(ix):
 
 @query("t4_genome_trees")
 def _(ix):
-    rows = summary.mask_counts(ix.at_step(20), "gid")
+    rows = summary.mask_counts(ix.bits, "gid")
     return cluster.tree(distance.column_distance(rows, ["gid"], GENOMES), ["gid"]).drop("members")
 
 
@@ -707,13 +695,6 @@ def _(ix):
     return rows.select("a", "b", r6(1 - F.col("far")).alias("shared"))
 
 
-@query("o2_genomes_by_sharing", "bits", f"SELECT gid, CAST(row_number() OVER (ORDER BY a DESC, gid) AS INT) AS place FROM (SELECT gid, round_even(avg(bit_count(mask)) * 1e6, 0) AS a FROM bits GROUP BY gid) ORDER BY place LIMIT 10")
-def _(ix):
-    rows = summary.pan_average(summary.pan_totals(ix.bits).where("chr is null"), ["gid"])
-    order = Window.orderBy(F.desc(F.rint(F.col("average") * 1e6)), "gid")
-    return rows.select("gid", F.row_number().over(order).alias("place")).orderBy("place").limit(10)
-
-
 @query("o2_all_genomes", "bits", "SELECT gid, CAST(row_number() OVER (ORDER BY a DESC, gid) AS INT) AS place FROM (SELECT gid, round_even(avg(bit_count(mask)) * 1e6, 0) AS a FROM bits GROUP BY gid) ORDER BY place")
 def _(ix):
     rows = summary.pan_average(summary.pan_totals(ix.bits).where("chr is null"), ["gid"])
@@ -753,7 +734,7 @@ def _(ix):
 
 @query("a29_dominant_genomes")
 def _(ix):
-    rows = summary.mask_counts(ix.at_step(20), "gid")
+    rows = summary.mask_counts(ix.bits, "gid")
     trees = cluster.tree(distance.column_distance(rows, ["gid"], GENOMES), ["gid"])
     return cluster.dominant(trees, summary.pair_totals(ix.bits, GENOMES).select("gid", "other", F.col("n").alias("value")), ["gid"])
 
@@ -986,7 +967,7 @@ def _(ix):
     return var.select("n", r6(total).alias("variance"), r6("mean").alias("mean"), r6("covariance").alias("covariance"), falling.alias("falling"))
 
 
-TREES = """, d AS (SELECT gid, a.other AS a, b.other AS b, sqrt(sum(c * xor((mask >> a.other) & 1, (mask >> b.other) & 1))) AS dist FROM (SELECT gid, mask, count(*) AS c FROM bits WHERE pos % 20 = 0 GROUP BY ALL), others a, others b WHERE a.other < b.other GROUP BY ALL)"""
+TREES = """, d AS (SELECT gid, a.other AS a, b.other AS b, sqrt(sum(c * xor((mask >> a.other) & 1, (mask >> b.other) & 1))) AS dist FROM (SELECT gid, mask, count(*) AS c FROM bits GROUP BY ALL), others a, others b WHERE a.other < b.other GROUP BY ALL)"""
 
 
 @query("t4_first_merges", "bits others", f"""{TREES} SELECT gid, {s6("min(dist)")} AS height, CAST(arg_min(a, (dist, a, b)) AS INT) AS "left", CAST(arg_min(b, (dist, a, b)) AS INT) AS "right", {GENOMES - 1} AS merges, {GENOMES} AS size FROM d GROUP BY gid""")
