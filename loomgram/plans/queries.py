@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgram.functions import columns
-from loomgram.operators import bitmap, cluster, distance, genes, introgress, intervals, kmers, scoring, similarity, summary
+from loomgram.operators import bitmap, buckets, cluster, distance, genes, introgress, intervals, kmers, scoring, similarity, summary
 from loomgram.plans.fixtures import BASES, BIN, FINE, GENOMES, HOUR, K, LETTERS, SPAN, Index, index
 from loomgram.sources import readers
 from loomgram.tables import scratch, table
@@ -120,7 +120,7 @@ def _(ix):
 
 @query("k6_anchor_bitmap", "bits", "SELECT gid, chr, pos, mask FROM bits")
 def _(ix):
-    return kmers.anchor(ix.pos, ix.sets)
+    return buckets.anchored(ix.runs, K)
 
 
 @query("k7_multi_word_masks", "pos", "SELECT word, count(*) AS kinds, CAST(sum(bit_count(mask)) AS BIGINT) AS bits, CAST(max(mask) AS BIGINT) AS top FROM (SELECT kmer, CAST(gid // 8 AS INT) AS word, bit_or(1::BIGINT << (gid % 8)) AS mask FROM pos WHERE kmer IS NOT NULL GROUP BY ALL) GROUP BY word")
