@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgram.functions.columns import bit, is_wide, mask_of, pan_count
+from loomgram.operators.smallest import smallest
 
 
 def query(bits: DataFrame, gid: int, chr_: object, start: int, end: int, step: int = 1, stored: dict[int, DataFrame] | None = None) -> DataFrame:
@@ -66,8 +67,9 @@ def neutralise_unique(bits: DataFrame, kept: Column) -> DataFrame:
 
 def sample(bits: DataFrame, most: int = 50_000) -> DataFrame:
     """At most `most` positions of each chromosome, the ones of smallest hash (MD5): the same ones on each run."""
-    order = Window.partitionBy("gid", "chr").orderBy(F.md5(F.concat_ws(":", "gid", "chr", "pos")), "pos")
-    return bits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+    h = F.md5(F.concat_ws(":", "gid", "chr", "pos"))
+    unit = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    return smallest(bits, ["gid", "chr"], [h, F.col("pos")], unit, most)
 
 
 def resolution(regions: DataFrame, step: int = 100, max_bins: int = 350) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgram.functions.columns import attribute, pan_count
+from loomgram.operators import runs
 from loomgram.sources.readers import write_genome_part
 from loomgram.tables import keep
 
@@ -88,17 +91,60 @@ def is_local(start: Column, end: Column, low: int, high: int) -> Column:
     return F.greatest(start, F.lit(low)) < F.least(end, F.lit(high))
 
 
-def pan_counts(bits: DataFrame, regions: DataFrame, cell: int = 1024) -> DataFrame:
+def _block_counts(runs: pa.Table, parts: pa.Table) -> pa.Table:
+    """region, pan_count, n (positions) of the parts of regions in a block, by running sums over its runs of each pan-count."""
+    out: list[tuple[np.ndarray, ...]] = []
+    if runs.num_rows and parts.num_rows:
+        start, length, pan = (runs.column(c).to_numpy() for c in ("start", "length", "pan_count"))
+        low, high, region = (parts.column(c).to_numpy() for c in ("low", "high", "region"))
+        order = np.lexsort((start, pan))
+        start, length, pan = start[order], length[order], pan[order]
+        edge = np.flatnonzero(np.r_[True, pan[1:] != pan[:-1], True])
+        for a, b in zip(edge[:-1], edge[1:]):
+            s, n = start[a:b], length[a:b]
+            total = np.r_[0, np.cumsum(n)]
+
+            def before(x: np.ndarray) -> np.ndarray:
+                at = np.maximum(np.searchsorted(s, x, "right") - 1, 0)
+                return total[at] + np.clip(x - s[at], 0, n[at])
+
+            here = before(high) - before(low)
+            hit = np.flatnonzero(here)
+            out.append((region[hit], np.full(len(hit), pan[a]), here[hit]))
+    cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.Table.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int64))], ["region", "pan_count", "n"])
+
+
+def pan_counts(bits: DataFrame, regions: DataFrame, cell: int = 1 << 20) -> DataFrame:
     """regions' key columns (gid, chr, start, end, name) by pan_count, n: positions in each region.
 
-    Regions are dealt to cells of `cell` positions, so that the join is on equal keys; positions are counted by cell and
-    pan-count only after the exact bounds. A region of many cells is many rows.
+    Positions become runs of one pan-count within cells of `cell` positions before they are shuffled, and a cell's running sums
+    are read at the ends of the regions in it. Of a region over several cells only the first and the last are looked into: the
+    cells between are the difference of two sums over whole cells. No position meets a region. A position is counted
+    once if the bitmap has it once; regions that are there more than once are counted as often.
     """
-    cells = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell))).alias("cell")
-    dealt = regions.where("end > start").select("gid", "chr", "start", "end", "name", cells)
-    rows = bits.select("gid", "chr", "pos", pan_count(bits).alias("pan_count"), F.floor(F.col("pos") / cell).alias("cell"))
-    met = rows.join(dealt, ["gid", "chr", "cell"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    return met.groupBy("gid", "chr", "start", "end", "name", "pan_count").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["gid", "chr", "start", "end", "name"]
+    of = regions.where("end > start").groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    of = keep(of.withColumn("region", F.monotonically_increasing_id()))
+    rows = keep(runs.encode(bits.select("gid", "chr", "pos", pan_count(bits).alias("pan_count")), "pan_count", cell).withColumn("cell", F.floor(F.col("start") / cell)))
+    first, last = F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)
+    ends = F.explode(F.array_distinct(F.array(first, last))).alias("cell")
+    parts = of.select("gid", "chr", ends, "region", "start", "end").select("gid", "chr", "cell", "region", F.greatest("start", F.col("cell") * cell).alias("low"), F.least("end", (F.col("cell") + 1) * cell).alias("high"))
+    near = rows.select("gid", "chr", "cell", "start", "length", "pan_count").groupBy("gid", "chr", "cell").cogroup(parts.groupBy("gid", "chr", "cell"))
+    found = near.applyInArrow(_block_counts, "region long, pan_count int, n long")
+    # whole cells between the ends: sums of all cells before a cell, for each pan-count that the chromosome has
+    cells = keep(rows.groupBy("gid", "chr", "cell", "pan_count").agg(F.sum("length").alias("n")))
+    wide = keep(of.where(last - first > 1).select("gid", "chr", "region", (first + 1).alias("from"), last.alias("to")))
+    if not wide.isEmpty():
+        asked = wide.select("gid", "chr", F.explode(F.array("from", "to")).alias("cell")).distinct()
+        kinds = cells.select("gid", "chr", "pan_count").distinct()
+        every = cells.withColumn("asked", F.lit(0)).unionByName(asked.join(kinds, ["gid", "chr"]).withColumn("n", F.lit(0).cast("long")).withColumn("asked", F.lit(1)))
+        sums = F.sum("n").over(Window.partitionBy("gid", "chr", "pan_count").orderBy("cell").rangeBetween(Window.unboundedPreceding, -1))
+        before = keep(every.withColumn("n", F.coalesce(sums, F.lit(0))).where("asked = 1").select("gid", "chr", "cell", "pan_count", "n"))
+        at = lambda c, sign: wide.withColumnRenamed(c, "cell").join(before, ["gid", "chr", "cell"]).select("region", "pan_count", (F.col("n") * sign).alias("n"))
+        found = found.union(at("to", 1)).union(at("from", -1))
+    counts = found.groupBy("region", "pan_count").agg(F.sum("n").alias("n")).where("n > 0")
+    return counts.join(of, "region").select(*keys, "pan_count", (F.col("n") * F.col("times")).alias("n"))
 
 
 def gene_conservation(counts: DataFrame, n: int) -> DataFrame:

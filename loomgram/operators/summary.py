@@ -56,6 +56,11 @@ def bin_similarity(bits: DataFrame, n: int, bin_size: int) -> DataFrame:
     """gid, chr, start, other, sim: a genome's positions in the bin by the most of any genome; null in an empty bin."""
     start = (F.floor(F.col("pos") / bin_size) * bin_size).alias("start")
     pairs = pair_counts(mask_counts(bits.select("gid", "chr", start, "mask"), "gid", "chr", "start"), ["gid", "chr", "start"], n)
+    return similarity(pairs)
+
+
+def similarity(pairs: DataFrame) -> DataFrame:
+    """pair_counts() by gid, chr and start plus sim: n by the most of any genome in the bin, null in an empty one."""
     most = F.max("n").over(Window.partitionBy("gid", "chr", "start"))
     return pairs.withColumn("sim", F.try_divide(F.col("n").cast("double"), most.cast("double")))
 

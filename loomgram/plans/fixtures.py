@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgram.operators import bitmap, buckets, genes, kmers, summary
+from loomgram.operators import bitmap, buckets, genes, kmers, runs, summary
 from loomgram.tables import keep, table
 
 #: k, genomes (sources), bin length and the length of a chromosome of intervals (30 days of seconds).
@@ -38,20 +38,25 @@ class Index:
         return keep(kmers.positions(self.seqs, K))
 
     @cached_property
-    def runs(self) -> DataFrame:
+    def kmer_runs(self) -> DataFrame:
         """Runs of k-mers by minimizer bucket: two bytes a base."""
         return keep(buckets.super_kmers(kmers.tiles(self.seqs, K - 1), K))
 
     @cached_property
     def sets(self) -> DataFrame:
-        return keep(buckets.sets(self.runs, K))
+        return keep(buckets.sets(self.kmer_runs, K))
 
     @cached_property
     def bits(self) -> DataFrame:
-        out = buckets.anchored(self.runs, K)
+        out = buckets.anchored(self.kmer_runs, K)
         # by hash, as a range would compute the join once more for its sample; row groups still follow genome and place
         return keep(out.repartition("gid", "chr", F.shiftright("pos", 20)).sortWithinPartitions("gid", "chr", "pos"))
 
+    @cached_property
+    def coded(self) -> DataFrame:
+        """The bitmap in runs of equal masks."""
+        return keep(runs.encode(self.bits))
+
     @cached_property
     def coarse(self) -> dict[int, DataFrame]:
         """The bitmap at the steps that are stored beside the full one."""

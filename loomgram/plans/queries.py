@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgram.functions import columns
-from loomgram.operators import bitmap, buckets, cluster, distance, genes, introgress, intervals, kmers, scoring, similarity, summary
+from loomgram.operators import bitmap, buckets, cluster, distance, genes, introgress, intervals, kmers, runs, scoring, similarity, summary
 from loomgram.plans.fixtures import BASES, BIN, FINE, GENOMES, HOUR, K, LETTERS, SPAN, Index, index
-from loomgram.sources import readers
+from loomgram.sources import readers, sequences
 from loomgram.tables import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,7 +120,7 @@ def _(ix):
 
 @query("k6_anchor_bitmap", "bits", "SELECT gid, chr, pos, mask FROM bits")
 def _(ix):
-    return buckets.anchored(ix.runs, K)
+    return buckets.anchored(ix.kmer_runs, K)
 
 
 @query("k7_multi_word_masks", "pos", "SELECT word, count(*) AS kinds, CAST(sum(bit_count(mask)) AS BIGINT) AS bits, CAST(max(mask) AS BIGINT) AS top FROM (SELECT kmer, CAST(gid // 8 AS INT) AS word, bit_or(1::BIGINT << (gid % 8)) AS mask FROM pos WHERE kmer IS NOT NULL GROUP BY ALL) GROUP BY word")
@@ -170,6 +170,45 @@ def _(ix):
     return bitmap.pattern(ix.bits, [1, 2], [3, 4]).groupBy("gid", "chr").agg(F.count(F.lit(1)).alias("n"))
 
 
+# the bitmap in runs
+
+
+@query("s10_run_encoded", "bits", "SELECT gid, chr, count(*) AS n, CAST(sum(bit_count(mask)) AS BIGINT) AS ones, min(pos) AS first, max(pos) AS last FROM bits GROUP BY ALL")
+def _(ix):
+    end = F.col("start") + F.col("length") - 1
+    return ix.coded.groupBy("gid", "chr").agg(F.sum("length").alias("n"), F.sum(F.col("length") * F.bit_count("mask")).alias("ones"), F.min("start").alias("first"), F.max(end).alias("last"))
+
+
+@query("f1_range_from_runs", "bits", "SELECT gid, chr, pos, mask FROM bits WHERE gid = 5 AND chr = (SELECT min(chr) FROM (SELECT gid, chr, length(seq) AS size FROM seqs) WHERE gid = 5 AND size = (SELECT max(length(seq)) FROM seqs WHERE gid = 5)) AND pos >= 37 AND pos < 2037 AND (pos - 37) % 10 = 0")
+def _(ix):
+    best = ix.chrs.where("gid = 5").agg(F.max_by("chr", F.struct("size", -F.col("chr"))).alias("chr")).first()
+    return runs.query(ix.coded, 5, best["chr"], 37, 2037, 10)
+
+
+@query("f2_pattern_from_runs", "bits", "SELECT gid, chr, count(*) AS n FROM bits WHERE mask & 6 = 6 AND mask & 24 = 0 GROUP BY ALL")
+def _(ix):
+    return bitmap.pattern(ix.coded, [1, 2], [3, 4]).groupBy("gid", "chr").agg(F.sum("length").alias("n"))
+
+
+@query("a2_bins_from_runs", "bits", f"SELECT gid, chr, (pos // {BIN}) * {BIN} AS start, CAST(bit_count(mask) AS INT) AS pan_count, count(*) AS n FROM bits GROUP BY ALL")
+def _(ix):
+    return runs.pan_totals(runs.by_bin(ix.coded, BIN), "gid", "chr", "bin").withColumnRenamed("bin", "start")
+
+
+@query("a3_similarity_from_runs", "sim", f"SELECT gid, chr, start, other, {s6('sim')} AS sim FROM sim")
+def _(ix):
+    counts = runs.mask_counts(runs.by_bin(ix.coded, BIN), "gid", "chr", "bin").withColumnRenamed("bin", "start")
+    return summary.similarity(summary.pair_counts(counts, ["gid", "chr", "start"], GENOMES)).select("gid", "chr", "start", "other", r6("sim").alias("sim"))
+
+
+@query("a9_totals_from_runs", "bits others", "SELECT gid, other, CAST(sum(c * ((mask >> other) & 1)) AS BIGINT) AS n FROM (SELECT gid, mask, count(*) AS c FROM bits GROUP BY ALL), others GROUP BY ALL")
+def _(ix):
+    return summary.pair_counts(runs.mask_counts(ix.coded, "gid"), ["gid"], GENOMES)
+
+
+# ranges of features and other filters
+
+
 @query("f3_gene_range", "genes", 'SELECT gid, chr, start, "end", name FROM genes WHERE start - 1 < 600 AND "end" > 220')
 def _(ix):
     return genes.overlapping(ix.genes, None, 220, 600).select("gid", "chr", "start", "end", "name")
@@ -342,7 +381,7 @@ def _(ix):
     j AS (SELECT a, b, count(*) FILTER (n = 2) / count(*)::DOUBLE AS j FROM u WHERE r <= 10000 GROUP BY ALL) SELECT a, b, {s6("j")} AS jaccard, {s6(f"CASE WHEN j = 0 THEN 1 ELSE -ln(2 * j / (1 + j)) / {K} END")} AS dist FROM j""")
 def _(ix):
     h = F.conv(F.substring(F.md5(F.col("kmer").cast("string")), 1, 15), 16, 10).cast("long")
-    return distance.sketch_distance(distance.sketch(ix.pos, h=h), K).withColumns({"jaccard": r6("jaccard"), "dist": r6("dist")})
+    return distance.sketch_distance(distance.sketch(ix.pos, h=h, span=(0.0, 2.0**60)), K).withColumns({"jaccard": r6("jaccard"), "dist": r6("dist")})
 
 
 @query("a16_all_columns", "bits others", f"SELECT gid, a.other AS a, b.other AS b, {s6('sqrt(sum(c * xor((mask >> a.other) & 1, (mask >> b.other) & 1)))')} AS dist FROM (SELECT gid, mask, count(*) AS c FROM bits GROUP BY ALL), others a, others b WHERE a.other < b.other GROUP BY ALL")
@@ -773,6 +812,14 @@ def _(ix):
     return readers.fasta(ix.spark, path).select("chr", F.length("seq").cast("long").alias("size"), F.md5("seq").alias("digest"))
 
 
+@query("s1_fasta_tiles", "pos", "SELECT CAST(chr AS VARCHAR) AS chr, count(*) AS windows, count(kmer) AS valid, max(pos) AS last FROM pos GROUP BY chr")
+def _(ix):
+    path = scratch(ix.spark)
+    ix.seqs.where("seq is not null").select(F.concat(F.lit(">"), "chr", F.lit(" of "), "gid", F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))).write.text(path)
+    cut = sequences.fasta_tiles(ix.spark, path, overlap=K - 1).withColumn("gid", F.lit(0))
+    return kmers.tile_positions(cut, K).groupBy("chr").agg(F.count(F.lit(1)).alias("windows"), F.count("kmer").alias("valid"), F.max("pos").alias("last"))
+
+
 @query("s3_gff_scan", "feats", 'SELECT CAST(chr AS VARCHAR) AS chr, start, "end", type, id FROM feats')
 def _(ix):
     path, dot = scratch(ix.spark), F.lit(".")
