@@ -758,8 +758,14 @@ def _(ix):
     return calls.groupBy("accession", "intro_type", "threshold").agg(F.sum("flag").alias("hits"))
 
 
-@query("i11_similarity_report", "fsim", f""", m AS (SELECT *, avg(sim) OVER w AS m, stddev_samp(sim) OVER w AS s FROM fsim WINDOW w AS (PARTITION BY gid, other)), t AS (SELECT gid, other, avg(sim) FILTER (sim >= m - 3 * s AND sim <= m + 3 * s) AS mean FROM m GROUP BY ALL),
-    g AS (SELECT gid, max(mean) AS goal FROM t WHERE mean <> 1 GROUP BY gid), x AS (SELECT *, round_even(sim * 100, 0) / 100 AS x FROM fsim), y AS (SELECT x.gid, chr, start, x.other, CASE WHEN x <= 0.98::DOUBLE THEN x + goal - mean ELSE x END AS y FROM x LEFT JOIN t ON t.gid = x.gid AND t.other = x.other LEFT JOIN g ON g.gid = x.gid)
+# by groups and joins on equal keys: with window functions over fsim the SQL was interrupted twice for its time
+@query("i11_similarity_report", "binned others", f""", b AS MATERIALIZED (SELECT DISTINCT gid, chr, start FROM binned), k AS MATERIALIZED (SELECT gid, chr, start, CASE WHEN mask & 31 = 0 THEN mask | 31 ELSE mask END AS mask, n FROM binned),
+    f AS MATERIALIZED (SELECT gid, chr, start, other, CAST(sum(n * ((mask >> other) & 1)) AS BIGINT) AS n FROM (SELECT gid, chr, start, mask, sum(n) AS n FROM k WHERE bit_count(mask) < {GENOMES} GROUP BY ALL), others GROUP BY ALL),
+    top AS MATERIALIZED (SELECT gid, chr, start, max(n) AS most FROM f GROUP BY ALL), part AS MATERIALIZED (SELECT f.gid, f.chr, f.start, other, n / nullif(most, 0)::DOUBLE AS sim FROM f JOIN top ON f.gid = top.gid AND f.chr = top.chr AND f.start = top.start),
+    fs AS MATERIALIZED (SELECT gid, chr, start, other, sim FROM part UNION ALL SELECT b.gid, b.chr, b.start, other, 1.0::DOUBLE FROM (SELECT * FROM b ANTI JOIN top USING (gid, chr, start)) b, others),
+    m AS MATERIALIZED (SELECT gid, other, avg(sim) AS m, stddev_samp(sim) AS s FROM fs GROUP BY ALL), t AS MATERIALIZED (SELECT fs.gid, fs.other, avg(sim) FILTER (sim >= m - 3 * s AND sim <= m + 3 * s) AS mean FROM fs JOIN m ON fs.gid = m.gid AND fs.other = m.other GROUP BY ALL),
+    g AS MATERIALIZED (SELECT gid, max(mean) AS goal FROM t WHERE mean <> 1 GROUP BY gid), far AS MATERIALIZED (SELECT t.gid, t.other, goal - mean AS shift FROM t LEFT JOIN g ON g.gid = t.gid),
+    y AS (SELECT fs.gid, chr, start, fs.other, CASE WHEN round_even(sim * 100, 0) / 100 <= 0.98::DOUBLE THEN round_even(sim * 100, 0) / 100 + shift ELSE round_even(sim * 100, 0) / 100 END AS y FROM fs JOIN far ON far.gid = fs.gid AND far.other = fs.other)
     SELECT gid, chr, start, other, {s6("CASE WHEN y IS NOT NULL THEN greatest(0, least(1, y)) END")} AS sim FROM y""")
 def _(ix):
     sim = similarity.filtered_similarity(ix.bits, GENOMES, BIN, F.lit(31).cast("long"))
