@@ -18,7 +18,7 @@ from loomgram.tables import keep
 #: Bytes of text whose words are numbered together.
 SLICE = 16 << 20
 #: Rounds in which the pieces' weights are estimated anew from the training words.
-ROUNDS = 2
+ROUNDS = 3
 #: Uses of pieces that the vocabulary's own scores count for, beside those in the training words.
 PRIOR = 10_000.0
 #: Rows of the byte matrix of words handled at a time.
