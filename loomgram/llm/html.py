@@ -25,28 +25,99 @@ MAX_TRAIN = 400
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no text, up to their end tag: the first ones to the end of the page if there is none.
+RAW, HIDDEN_PARTS = {"script", "style"}, {"noscript", "template", "svg", "iframe", "object", "title"}
+#: Elements that may stand in a head; any other one ends it.
+IN_HEAD = set("base basefont bgsound link meta title script style noscript template".split())
+#: Elements that are kept as open ones, at most: browsers have such a limit too. Text under deeper ones is kept.
+DEPTH = 512
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_EDGE = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
 Block = tuple[tuple[str, ...], str, float]
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of each tag, end tags with / before their name; comments and content that is no text
+    come as one, without a name. In linear time: what has been looked for in vain is not looked for again.
+
+    A quote opens a value only after =, and only if it is closed; without a > to end it, < is text.
+    """
+    gone: set[str] = set()
+
+    def find(what: str, at: int) -> int:
+        if what in gone:
+            return -1
+        spot = page.find(what, at)
+        if spot < 0:
+            gone.add(what)
+        return spot
+
+    def end_of_tag(at: int) -> int:
+        """Place after the tag's >, or -1."""
+        while m := _EDGE.search(page, at):
+            at = m.end()
+            if m[0] == ">":
+                return at
+            if page[max(0, at - 65) : at - 1].rstrip().endswith("=") and (close := find(m[0], at)) >= 0:
+                at = close + 1
+        gone.add(">")
+        return -1
+
+    def end_of_element(name: str, at: int) -> int:
+        """Place after the element's end tag, or -1."""
+        if "</" + name in gone:
+            return -1
+        m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+        if not m:
+            gone.add("</" + name)
+            return -1
+        close = find(">", m.end())
+        return close + 1 if close >= 0 else len(page)
+
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            close = find("-->", start + 4)
+            at = close + 3 if close >= 0 else len(page)
+            yield start, at, "", ""
+        elif page.startswith(("<!", "<?"), start):
+            close = find(">", start)
+            if close < 0:
+                at = start + 1
+                continue
+            at = close + 1
+            yield start, at, "", ""
+        elif ">" not in gone and (m := _NAME.match(page, start + 1)) and (end := end_of_tag(m.end())) >= 0:
+            name, at = m[0].lower(), end
+            if name in RAW:
+                close = end_of_element(name, end)
+                at = close if close >= 0 else len(page)
+                yield start, at, name + "/", ""
+            elif name in HIDDEN_PARTS and page[end - 2] != "/" and (close := end_of_element(name, end)) >= 0:
+                at = close
+                yield start, at, name + "/", ""
+            else:
+                yield start, at, name, page[m.end() : end - 1]
+        else:
+            at = start + 1
+
+
 def blocks(page: str) -> list[Block]:
     """(tag path, text, share of its characters in links) of each leaf block of a page, in order.
 
-    A path has an entry for each open element that isn't inline: its name and the words of its class, id and role.
-    Scripts, styles, comments and the head hold no blocks. White space in a block is one space; br is white space.
-    Unclosed elements end with what holds them, a paragraph also where another block begins.
+    A path has an entry for each open element that isn't inline, DEPTH at most: its name and the words of its class, id and role.
+    Scripts, styles, comments, titles and what noscript, template, svg, iframe and object elements hold are no text; one of the
+    latter five that is never closed hides nothing. A head ends with its end tag, or without one where something begins that can't
+    stand in it. White space in a block is one space; br is white space. Unclosed elements end with what holds them, a
+    paragraph also where another block begins.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
-    in_link, linked, at = 0, 0, 0
+    in_link, linked, at, in_head = 0, 0, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -57,24 +128,38 @@ def blocks(page: str) -> list[Block]:
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = html.unescape(page[at : m.start()])
-            text.append(piece)
-            if in_link:
-                linked += len(piece)
-        at = m.end()
-        name = m[3]
+    def add(piece: str) -> None:
+        nonlocal in_head, linked
+        if in_head and not piece.strip():
+            return
+        in_head = False
+        piece = html.unescape(piece)
+        text.append(piece)
+        if in_link:
+            linked += len(piece)
+
+    for start, end, name, attributes in tags(page):
+        if start > at:
+            add(page[at:start])
+        at = end
+        closing = name.startswith("/")
+        name = name.lstrip("/")
         if not name:
             continue
-        name = name.lower()
-        if name == "br":
+        if in_head and name.rstrip("/") in IN_HEAD:
+            continue
+        in_head = in_head and name == "head" and not closing
+        if name.endswith("/"):
+            continue
+        if name == "head":
+            in_head = not closing
+        elif name == "br":
             text.append(" ")
         elif name == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if closing else 1
         elif name in INLINE:
             continue
-        elif m[2]:
+        elif closing:
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -86,11 +171,11 @@ def blocks(page: str) -> list[Block]:
             in_link = 0
             if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 stack.pop()
-            if name not in VOID:
-                parts = [w for a in _ATTR.findall(m[4] or "") for w in _PART.findall("".join(a).lower())]
+            if name not in VOID and len(stack) < DEPTH:
+                parts = [w for a in _ATTR.findall(attributes) for w in _PART.findall("".join(a).lower())]
                 stack.append((name, " ".join([name, *parts])))
     if at < len(page):
-        text.append(html.unescape(page[at:]))
+        add(page[at:])
     flush()
     return out
 
