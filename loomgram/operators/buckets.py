@@ -202,8 +202,8 @@ def _gids(t: pa.Table, row: np.ndarray) -> np.ndarray:
     return t.column("gid").to_numpy().astype(np.int64)[row]
 
 
-def _hot_sets(salted: DataFrame, k: int, n: int, min_count: int) -> DataFrame:
-    """bucket, kmer, mask of hot buckets: each salt hands on its distinct (kmer, genome) with their counts, which then meet."""
+def _counted(rows: DataFrame, k: int, n: int, *keys: str) -> DataFrame:
+    """bucket, gid, kmer, n of rows of super_kmers(), counted within each group by keys."""
 
     def distinct(t: pa.Table) -> pa.Table:
         row, _, kmer = _windows(t, k)
@@ -211,7 +211,25 @@ def _hot_sets(salted: DataFrame, k: int, n: int, min_count: int) -> DataFrame:
         same = pa.array(np.full(len(kmer), t.column("bucket")[0].as_py(), np.int32))
         return pa.Table.from_arrays([same, pa.array(gid.astype(np.int32)), pa.array(kmer), pa.array(times)], ["bucket", "gid", "kmer", "n"])
 
-    rows = salted.groupBy("bucket", "salt").applyInArrow(distinct, "bucket int, gid int, kmer long, n long")
+    return rows.groupBy(*keys).applyInArrow(distinct, "bucket int, gid int, kmer long, n long")
+
+
+def counts(runs: DataFrame, k: int, min_count: int = 1, n: int = WORD) -> DataFrame:
+    """gid, kmer, n of the k-mers that a genome has min_count times at least, from super_kmers(). Equal to genome_sets(positions(..), min_count).
+
+    A bucket counts its k-mers where they arrive, so that the many that reads have only once, by their errors, cost two bytes a
+    base on the way and no row of a shuffle.
+    """
+    plain, salted, hot = _dealt(runs)
+    out = _counted(plain.where("bucket >= 0"), k, n, "bucket").select("gid", "kmer", "n")
+    if hot is not None:
+        out = out.union(_counted(salted, k, n, "bucket", "salt").groupBy("gid", "kmer").agg(F.sum("n").alias("n")))
+    return out.where(F.col("n") >= min_count)
+
+
+def _hot_sets(salted: DataFrame, k: int, n: int, min_count: int) -> DataFrame:
+    """bucket, kmer, mask of hot buckets: each salt hands on its distinct (kmer, genome) with their counts, which then meet."""
+    rows = _counted(salted, k, n, "bucket", "salt")
     known = rows.groupBy("gid", "kmer").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")).where(F.col("n") >= min_count)
     names = known.select("kmer", "bucket").distinct()
     return kmer_sets(known, 1, n).join(names, "kmer").select("bucket", "kmer", "mask")

@@ -132,6 +132,60 @@ def tree(distances: DataFrame, keys: list[str], method: str = "ward") -> DataFra
     return distances.groupBy(*keys).applyInArrow(grow, schema)
 
 
+def joined_tree(distances: DataFrame, keys: list[str], method: str = "ward") -> DataFrame:
+    """keys, step, left, right, height, size: the merges of tree(), for any number of leaves (a, b, dist of all pairs).
+
+    Each round merges all pairs of clusters that are each other's nearest at once, which for these linkages (ward, average,
+    complete) gives the tree that merging the nearest pair of all gives; distances to what was merged are sums or maxima of
+    those to its parts (Lance-Williams), taken in a join and two aggregations. No task holds a matrix. Leaves are 0..n-1 in
+    the order of their ids; merges are numbered by height. With equal distances the order among equals may differ from tree()'s.
+    """
+    ids = distances.select(*keys, "a").union(distances.select(*keys, F.col("b"))).distinct()
+    ids = keep(ids.withColumn("leaf", F.row_number().over(Window.partitionBy(*keys).orderBy("a")) - 1))
+    leaf = lambda c: ids.select(*keys, F.col("a").alias(c), F.col("leaf").alias(f"leaf_{c}"))
+    e = distances.join(leaf("a"), [*keys, "a"]).join(leaf("b"), [*keys, "b"]).select(*keys, F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b"), F.col("dist").alias("d"))
+    one = F.lit(1).cast("long")
+    e = keep(e.select(*keys, "a", "b", "d", one.alias("sa"), one.alias("sb")).union(e.select(*keys, "b", "a", "d", one, one)))
+
+    def halved(edges: DataFrame, pairs: DataFrame, side: str, other: str) -> DataFrame:
+        """Edges whose end on one side is part of a merged pair become one, of the pair's smaller name."""
+        into = pairs.select(*keys, F.col("part").alias(side), "name", "h")
+        d, own, far = F.col("d"), F.col(f"s{side}"), F.col(f"s{other}")
+        rows = edges.join(into, [*keys, side], "left").withColumn(side, F.coalesce("name", side))
+        size = F.sum(own)
+        if method == "ward":
+            square = (F.sum((own + far) * d * d) - F.first(far) * F.coalesce(F.first("h"), F.lit(0.0)) * F.coalesce(F.first("h"), F.lit(0.0))) / (size + F.first(far))
+            new = F.when(F.count(F.lit(1)) == 1, F.first(d)).otherwise(F.sqrt(F.greatest(F.lit(0.0), square)))
+        elif method == "average":
+            new = F.when(F.count(F.lit(1)) == 1, F.first(d)).otherwise(F.sum(own * d) / size)
+        else:
+            new = F.max(d)
+        out = rows.groupBy(*keys, side, other).agg(new.alias("d"), size.alias(f"s{side}"), F.first(far).alias(f"s{other}"))
+        return out.select(*keys, "a", "b", "d", "sa", "sb")
+
+    merges = None
+    while not e.isEmpty():
+        near = e.groupBy(*keys, "a").agg(F.min_by(F.struct("b", "d", "sa", "sb"), F.struct("d", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))).alias("n")).select(*keys, "a", "n.*")
+        near = keep(near)
+        back = near.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"))
+        pairs = keep(near.where("a < b").join(back, [*keys, "a", "b"]).select(*keys, "a", "b", F.col("d").alias("h"), (F.col("sa") + F.col("sb")).alias("size")))
+        merges = pairs if merges is None else merges.union(pairs)
+        parts = pairs.select(*keys, F.explode(F.array("a", "b")).alias("part"), F.col("a").alias("name"), "h")
+        inner = e.join(pairs.select(*keys, "a", "b"), [*keys, "a", "b"], "left_anti").join(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")), [*keys, "a", "b"], "left_anti")
+        e = keep(halved(halved(inner, parts, "a", "b"), parts, "b", "a"))
+    if merges is None:
+        merges = e.select(*keys, "a", "b", F.col("d").alias("h"), F.col("sa").alias("size"))
+    n = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("leaves"))
+    steps = keep(merges.withColumn("step", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "size", "a", "b")) - 1))
+    # a cluster has its smallest leaf's name: before a merge its left part is that name's merge before, its right part that of its own name
+    before = F.lag("step").over(Window.partitionBy(*keys, "a").orderBy("step"))
+    last = steps.groupBy(*keys, F.col("a").alias("b")).agg(F.max("step").alias("right_step"))
+    met = steps.withColumn("left_step", before).join(last, [*keys, "b"], "left").join(n, keys)
+    number = lambda step, leaf_: F.coalesce(F.col("leaves") + F.col(step), F.col(leaf_)).cast("int")
+    x, y = number("left_step", "a"), number("right_step", "b")
+    return met.select(*keys, F.col("step").cast("int").alias("step"), F.least(x, y).alias("left"), F.greatest(x, y).alias("right"), F.col("h").alias("height"), F.col("size").cast("int").alias("size"))
+
+
 def dominant(trees: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """keys, step, other, value: the leaf of largest value under each merge; values has keys, other, value. Ties go to
     the smaller leaf; a merge whose leaves have no value has nulls."""

@@ -5,6 +5,7 @@ A binned series is rows (*keys, bin, flag) with a row for each bin; intervals ar
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def merge_over_gaps(intervals: DataFrame, gaps: DataFrame, keys: list[str], bin_
 
 
 def alignment_blocks(paf: DataFrame) -> DataFrame:
-    """query, target, strand, q_start, q_end, t_start, t_end of the match runs (M, = and X) of each alignment's CIGAR.
+    """query, target, strand, qs, qe, ts, te of the match runs (M, = and X) of each alignment's CIGAR, and its number aln.
 
     Query places count along the query; on the minus strand they fall as target places rise. An alignment that is listed
     more than once counts once.
@@ -124,22 +125,90 @@ def alignment_blocks(paf: DataFrame) -> DataFrame:
     rows = rows.withColumn("dq", walk(["M", "=", "X", "I", "S"])).withColumn("dt", walk(["M", "=", "X", "D", "N"])).where(F.col("kind").isin("M", "=", "X"))
     plus = F.col("strand") == "+"
     q = F.when(plus, F.col("q_start") + F.col("dq")).otherwise(F.col("q_end") - F.col("dq") - F.col("n"))
-    return rows.select("query", "target", "strand", q.alias("qs"), (q + F.col("n")).alias("qe"), (F.col("t_start") + F.col("dt")).alias("ts"), (F.col("t_start") + F.col("dt") + F.col("n")).alias("te"))
+    return rows.select("aln", "query", "target", "strand", q.alias("qs"), (q + F.col("n")).alias("qe"), (F.col("t_start") + F.col("dt")).alias("ts"), (F.col("t_start") + F.col("dt") + F.col("n")).alias("te"))
 
 
-def liftover(intervals: DataFrame, blocks: DataFrame, cell: int = 1 << 16) -> DataFrame:
-    """intervals (query, start, end, ..) through alignment blocks: target, new_start, new_end, the hull of what is hit."""
+def _hits(intervals: DataFrame, blocks: DataFrame, cell: int) -> DataFrame:
+    """intervals by the blocks that they overlap, with low and high, the place of the overlap in the target.
+
+    Both are dealt to cells of the query, and meet once, in the first cell that they share.
+    """
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor((b - 1) / cell))).alias("cell")
     left = intervals.where("end > start").select("*", cells(F.col("start"), F.col("end")))
     right = blocks.select("*", cells(F.col("qs"), F.col("qe")))
     met = left.join(right, ["query", "cell"]).where((F.col("start") < F.col("qe")) & (F.col("end") > F.col("qs")))
     a, b = F.greatest("start", "qs"), F.least("end", "qe")
+    met = met.where(F.floor(a / cell) == F.col("cell"))
     plus = F.col("strand") == "+"
     low = F.when(plus, F.col("ts") + a - F.col("qs")).otherwise(F.col("te") - (b - F.col("qs")))
-    met = met.withColumn("low", low).withColumn("high", low + b - a)
+    return met.withColumn("low", low).withColumn("high", low + b - a)
+
+
+def liftover(intervals: DataFrame, blocks: DataFrame, cell: int = 1 << 16) -> DataFrame:
+    """intervals (query, start, end, ..) through alignment blocks: target, new_start, new_end, the hull of what is hit."""
+    met = _hits(intervals, blocks, cell)
     return met.groupBy(*intervals.columns, "target").agg(F.min("low").alias("new_start"), F.max("high").alias("new_end"))
 
 
+def _chained(t: pa.Table, max_gap: int) -> pa.Table:
+    """aln, chain, score of alignments of one query and target on one strand, by dynamic programming over their order in the query."""
+    rows = sorted(zip(*(t.column(c).to_pylist() for c in ("qs", "qe", "ts", "te", "n", "aln"))))
+    minus = t.column("strand")[0].as_py() == "-"
+    score, back, first = [], [], 0
+    for i, (qs, _, ts, te, n, _) in enumerate(rows):
+        best, at = 0, -1
+        while rows[first][0] < qs - t.column("span")[0].as_py():  # none from there on back ends within max_gap
+            first += 1
+        for j in range(first, i):
+            q_gap = qs - rows[j][1]
+            t_gap = rows[j][2] - te if minus else ts - rows[j][3]
+            if 0 <= q_gap <= max_gap and 0 <= t_gap <= max_gap and score[j] - abs(q_gap - t_gap) > best:
+                best, at = score[j] - abs(q_gap - t_gap), j
+        score.append(n + best)
+        back.append(at)
+    chain: dict[int, tuple[int, int]] = {}
+    for i in sorted(range(len(rows)), key=lambda i: (-score[i], i)):
+        path, at = [], i
+        while at >= 0 and at not in chain:
+            path.append(at)
+            at = back[at]
+        whole = score[i] - (score[at] if at >= 0 else 0)  # an alignment is in one chain; a path that meets a better one ends there
+        chain |= {k: (rows[path[-1]][5], whole) for k in path}
+    cols = [[r[5] for r in rows], [chain[i][0] for i in range(len(rows))], [chain[i][1] for i in range(len(rows))]]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], ["aln", "chain", "score"])
+
+
+def chains(blocks: DataFrame, max_gap: int = 10_000) -> DataFrame:
+    """aln, chain, score: alignments (see alignment_blocks()) in chains, each named by its first alignment.
+
+    Two alignments of a query and a target follow each other if they have one strand and one order in both, and at most max_gap
+    bases between them in each. A chain's score is its matching bases less the differences of its gaps; the best chain is
+    taken first, and each alignment is in one. Alignments are one row each here, and only those without a gap of max_gap in the
+    query between them meet in a task.
+    """
+    rows = blocks.groupBy("aln", "query", "target", "strand").agg(F.min("qs").alias("qs"), F.max("qe").alias("qe"), F.min("ts").alias("ts"), F.max("te").alias("te"), F.sum(F.col("qe") - F.col("qs")).alias("n"))
+    order = Window.partitionBy("query", "target", "strand").orderBy("qs", "aln")
+    so_far = F.max("qe").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(F.col("qs") - so_far <= max_gap, 0).otherwise(1)).withColumn("island", F.sum("new").over(order)).drop("new")
+    island = ["query", "target", "strand", "island"]
+    rows = rows.withColumn("span", F.max(F.col("qe") - F.col("qs")).over(Window.partitionBy(*island)) + max_gap)
+    return rows.groupBy(*island).applyInArrow(lambda t: _chained(t, max_gap), "aln long, chain long, score long")
+
+
+def chained_liftover(intervals: DataFrame, blocks: DataFrame, max_gap: int = 10_000, cell: int = 1 << 16) -> DataFrame:
+    """intervals (query, start, end, ..) through one chain of alignments each: target, chain, covered, new_start, new_end.
+
+    Of the chains that an interval hits the one that covers most of its bases is taken, of equal ones that of higher score, and
+    then the one that begins first in the target. So the result is one locus, where liftover() gives the hull of all that is hit.
+    """
+    named = chains(blocks, max_gap)
+    hit = _hits(intervals, blocks.join(named, "aln"), cell)
+    keys = [*intervals.columns, "target", "chain"]
+    found = hit.groupBy(*keys).agg(F.min("low").alias("new_start"), F.max("high").alias("new_end"), F.sum(F.col("high") - F.col("low")).alias("covered"), F.max("score").alias("score"))
+    best = F.min_by(F.struct("target", "chain", "covered", "new_start", "new_end"), F.struct((-F.col("covered")).alias("c"), (-F.col("score")).alias("s"), "target", "new_start", "chain"))
+    return found.groupBy(*intervals.columns).agg(best.alias("b")).select(*intervals.columns, "b.*")
+
+
 def ordered(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """intervals plus place: their order by start, then end, within the keys."""
     rest = [c for c in intervals.columns if c not in (*keys, start, end)]

@@ -110,7 +110,7 @@ def _(ix):
 
 @query("k4_min_count", "pos", "SELECT gid, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS n FROM (SELECT gid, kmer, count(*) AS n FROM pos WHERE kmer IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) GROUP BY gid")
 def _(ix):
-    return kmers.genome_sets(ix.pos, 2).groupBy("gid").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+    return buckets.counts(ix.kmer_runs, K, 2).groupBy("gid").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
 
 
 @query("k5_kmer_sets", "sets", "SELECT CAST(bit_count(mask) AS INT) AS pan_count, count(*) AS n FROM sets GROUP BY ALL")
@@ -662,7 +662,7 @@ def _(ix):
 @query("t5_distance_tree")
 def _(ix):
     matrix = distance.symmetric(distance.jaccard(ix.sets, GENOMES, K))
-    return cluster.tree(distance.row_distance(matrix).withColumn("anchor", F.lit("all")), ["anchor"], "average").drop("members")
+    return cluster.joined_tree(distance.row_distance(matrix).withColumn("anchor", F.lit("all")), ["anchor"], "average")
 
 
 @query("a25_cluster_bases", "", """WITH RECURSIVE p AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01::DOUBLE * 0.01::DOUBLE),
@@ -698,6 +698,16 @@ def _alignments(ix: Index) -> DataFrame:
     return rows.select("query", "target", "strand", F.lit(0).alias("q_start"), "q_end", F.lit(100).alias("t_start"), "cigar")
 
 
+def _rival_alignments(ix: Index) -> DataFrame:
+    """Two alignments a chromosome, ten bases apart in the target, and a rival of its first sixth far off in the same target; all of them twice."""
+    n, plus = F.length("seq"), F.col("chr") % 2 == 0
+    third = F.floor(n / 3).cast("int")
+    part = lambda a, b, t: F.struct(F.when(plus, a).otherwise(n - b).alias("q_start"), F.when(plus, b).otherwise(n - a).alias("q_end"), t.alias("t_start"), F.concat((b - a).cast("string"), F.lit("M")).alias("cigar"))
+    rows = F.array(part(F.lit(0), third, F.lit(100)), part(third, n, third + 110), part(F.lit(0), F.floor(n / 6).cast("int"), F.lit(10**6)))
+    out = ix.seqs.where(n >= 60).select(F.col("chr").alias("query"), (F.col("chr") + 1000).alias("target"), F.when(plus, "+").otherwise("-").alias("strand"), F.explode(F.concat(rows, rows)).alias("r"))
+    return out.select("query", "target", "strand", "r.q_start", "r.q_end", "r.t_start", "r.cigar")
+
+
 @query("j8_liftover", "genes", """, l AS (SELECT chr, length(seq) AS n, length(seq) // 3 AS t FROM seqs WHERE length(seq) >= 60), x AS (SELECT chr, n, t, unnest([{'a': 0, 'b': t, 's': 100}, {'a': t, 'b': 2 * t, 's': 110 + t}, {'a': 2 * t + 5, 'b': n, 's': 110 + 2 * t}]) AS k FROM l),
     b AS (SELECT chr, CASE WHEN chr % 2 = 0 THEN k.a ELSE n - k.b END AS qs, CASE WHEN chr % 2 = 0 THEN k.b ELSE n - k.a END AS qe, k.s AS ts, k.s + k.b - k.a AS te FROM x),
     m AS (SELECT g.chr AS query, g.start, g."end", name, greatest(start, qs) AS lo, least("end", qe) AS hi, b.* FROM genes g JOIN b ON g.chr = b.chr AND start < qe AND "end" > qs)
@@ -707,6 +717,15 @@ def _(ix):
     return intervals.liftover(rows, intervals.alignment_blocks(_alignments(ix))).select("query", "name", "start", "end", "target", long("new_start"), long("new_end"))
 
 
+@query("j8_chained_liftover", "genes", """, l AS (SELECT chr, length(seq) AS n, length(seq) // 3 AS t FROM seqs WHERE length(seq) >= 60), x AS (SELECT chr, n, unnest([{'a': 0, 'b': t, 's': 100}, {'a': t, 'b': n, 's': 110 + t}]) AS k FROM l),
+    b AS (SELECT chr, CASE WHEN chr % 2 = 0 THEN k.a ELSE n - k.b END AS qs, CASE WHEN chr % 2 = 0 THEN k.b ELSE n - k.a END AS qe, k.s AS ts, k.s + k.b - k.a AS te FROM x),
+    m AS (SELECT g.chr AS query, g.start, g."end", name, greatest(start, qs) AS lo, least("end", qe) AS hi, b.* FROM genes g JOIN b ON g.chr = b.chr AND start < qe AND "end" > qs)
+    SELECT query, name, start, "end", query + 1000 AS target, CAST(sum(hi - lo) AS BIGINT) AS covered, CAST(min(CASE WHEN query % 2 = 0 THEN ts + lo - qs ELSE te - (hi - qs) END) AS BIGINT) AS new_start, CAST(max(CASE WHEN query % 2 = 0 THEN ts + hi - qs ELSE te - (lo - qs) END) AS BIGINT) AS new_end FROM m GROUP BY ALL""")
+def _(ix):
+    rows = ix.genes.select(F.col("chr").alias("query"), "name", "start", "end")
+    return intervals.chained_liftover(rows, intervals.alignment_blocks(_rival_alignments(ix)), 1000).select("query", "name", "start", "end", "target", "covered", long("new_start"), long("new_end"))
+
+
 @query("u3_merged_calls", "fsim grps", f""", g AS (SELECT s.gid, chr, start, max(sim) FILTER (o.grp = 'WT') AS a, max(sim) FILTER (o.grp = 'WTB') AS b, avg(sim) FILTER (o.grp = 'REF') AS ref FROM fsim s JOIN grps o ON o.gid = other GROUP BY ALL)
     SELECT gid AS accession, chr, start, t / 100.0::DOUBLE AS threshold FROM g, unnest(range(0, 72, 4)) AS u(t) WHERE ref < 0.95 AND greatest(a, b) >= ref + t / 100.0::DOUBLE""")
 def _(ix):
