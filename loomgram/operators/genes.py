@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from loomgram.sources.readers import write_genome_part
 from loomgram.tables import keep
 
 
+#: Runs and regions of the cells that one task looks at together, about.
+GROUP_ROWS = 500_000
+
+
 def named(features: DataFrame, name: str = "Name") -> DataFrame:
     """features (.., attr) plus id, parent and name: the name attribute, else the ID."""
     own = features.withColumn("id", attribute(F.col("attr"), "ID")).withColumn("parent", attribute(F.col("attr"), "Parent"))
@@ -91,12 +96,19 @@ def is_local(start: Column, end: Column, low: int, high: int) -> Column:
     return F.greatest(start, F.lit(low)) < F.least(end, F.lit(high))
 
 
-def _block_counts(runs: pa.Table, parts: pa.Table) -> pa.Table:
-    """region, pan_count, n (positions) of the parts of regions in a block, by running sums over its runs of each pan-count."""
+def _block_counts(runs: pa.Table, parts: pa.Table, cell: int) -> pa.Table:
+    """region, pan_count, n (positions) of the parts of regions in some cells, by running sums over their runs of each pan-count.
+
+    Cells are laid side by side, twice their length apart, so that one pass serves all of them; the sums of earlier ones cancel.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     if runs.num_rows and parts.num_rows:
+        name = lambda t: pc.binary_join_element_wise(*(t.column(c).cast(pa.string()) for c in ("gid", "cell", "chr")), "|")
+        code = pa.concat_arrays([name(t).combine_chunks() for t in (runs, parts)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        away = [2 * cell * c - cell * t.column("cell").to_numpy() for c, t in zip(np.split(code, [runs.num_rows]), (runs, parts))]
         start, length, pan = (runs.column(c).to_numpy() for c in ("start", "length", "pan_count"))
         low, high, region = (parts.column(c).to_numpy() for c in ("low", "high", "region"))
+        start, low, high = start + away[0], low + away[1], high + away[1]
         order = np.lexsort((start, pan))
         start, length, pan = start[order], length[order], pan[order]
         edge = np.flatnonzero(np.r_[True, pan[1:] != pan[:-1], True])
@@ -124,14 +136,17 @@ def pan_counts(bits: DataFrame, regions: DataFrame, cell: int = 1 << 20) -> Data
     once if the bitmap has it once; regions that are there more than once are counted as often.
     """
     keys = ["gid", "chr", "start", "end", "name"]
-    of = regions.where("end > start").groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    of = regions.where("end > start and gid is not null and chr is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
     of = keep(of.withColumn("region", F.monotonically_increasing_id()))
-    rows = keep(runs.encode(bits.select("gid", "chr", "pos", pan_count(bits).alias("pan_count")), "pan_count", cell).withColumn("cell", F.floor(F.col("start") / cell)))
+    rows = keep(runs.encode(bits.where("gid is not null and chr is not null").select("gid", "chr", "pos", pan_count(bits).alias("pan_count")), "pan_count", cell).withColumn("cell", F.floor(F.col("start") / cell)))
     first, last = F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)
     ends = F.explode(F.array_distinct(F.array(first, last))).alias("cell")
     parts = of.select("gid", "chr", ends, "region", "start", "end").select("gid", "chr", "cell", "region", F.greatest("start", F.col("cell") * cell).alias("low"), F.least("end", (F.col("cell") + 1) * cell).alias("high"))
-    near = rows.select("gid", "chr", "cell", "start", "length", "pan_count").groupBy("gid", "chr", "cell").cogroup(parts.groupBy("gid", "chr", "cell"))
-    found = near.applyInArrow(_block_counts, "region long, pan_count int, n long")
+    parts = keep(parts)
+    groups = max(2 * bits.sparkSession.sparkContext.defaultParallelism, (rows.count() + parts.count()) // GROUP_ROWS)
+    group = F.pmod(F.xxhash64("gid", "chr", "cell"), F.lit(groups)).alias("group")
+    near = rows.select("gid", "chr", "cell", "start", "length", "pan_count", group).groupBy("group").cogroup(parts.select("*", group).groupBy("group"))
+    found = near.applyInArrow(lambda a, b: _block_counts(a, b, cell), "region long, pan_count int, n long")
     # whole cells between the ends: sums of all cells before a cell, for each pan-count that the chromosome has
     cells = keep(rows.groupBy("gid", "chr", "cell", "pan_count").agg(F.sum("length").alias("n")))
     wide = keep(of.where(last - first > 1).select("gid", "chr", "region", (first + 1).alias("from"), last.alias("to")))
