@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgram.llm.text import unused
@@ -19,7 +19,10 @@ BROADCAST_SHINGLES = 1_000_000
 BROADCAST_IDS = 1_000_000
 #: Hashes that a 16-bit lane can count.
 LANE_MAX = 32_767
+#: Windows that are rolled in a row, at least; a quarter of the item's words, if that is more.
+ROLLED = 64
 _LANE = 0x0001000100010001
+_HALVES = 0x0000000100000001
 
 
 def words(text: Column) -> Column:
@@ -72,11 +75,32 @@ def fingerprint(hashes: Column) -> Column:
     return let(hashes, lambda h: let(F.size(h), lambda n: F.when(n <= LANE_MAX, short(h, n)).otherwise(long_bits(h, n))))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two arrays of shingles, each weighing as often as it occurs: sum of minima by sum of maxima."""
-    times = lambda x, v: F.size(F.filter(x, lambda y: y == v))
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, v: s + F.least(times(a, v), times(b, v)))
-    return both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0))
+def rolled(hashes: Column, m: Column, starts: Column) -> Column:
+    """SimHashes of the windows of m hashes that begin at the first `starts` places of an array of 64-bit hashes.
+
+    The first window is summed, every other one is the one before without its first hash and with one more. 32 numbers
+    of two 32-bit lanes count all bits.
+    """
+    one = lambda h, k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_HALVES))
+    zero = F.array(*[F.lit(0).cast("long")] * 32)
+    first = F.aggregate(F.slice(hashes, 1, m), zero, lambda s, h: F.array(*(F.get(s, F.lit(k)) + one(h, k) for k in range(32))))
+
+    def bits(s: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(32):
+            both = (F.get(s, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)), k), (F.shiftrightunsigned(F.get(s, F.lit(k)), 32), k + 32)
+            for times, bit in both:
+                value = F.lit((1 << bit) - ((1 << 64) if bit == 63 else 0)).cast("long")
+                out = out.bitwiseOR(F.when(times * 2 > m, value).otherwise(F.lit(0).cast("long")))
+        return out
+
+    def step(state: Column, i: Column) -> Column:
+        moved = lambda old, new: F.array(*(F.get(state["s"], F.lit(k)) + one(new, k) - one(old, k) for k in range(32)))
+        sums = let(F.get(hashes, i - 1), lambda old: let(F.get(hashes, i + m - 1), lambda new: moved(old, new)))
+        return let(sums, lambda s: F.struct(s.alias("s"), F.concat(state["out"], F.array(bits(s))).alias("out")))
+
+    begin = let(first, lambda s: F.struct(s.alias("s"), F.array(bits(s)).alias("out")))
+    return F.aggregate(F.slice(F.sequence(F.lit(0), starts), 2, starts - 1), begin, step, lambda state: state["out"])
 
 
 def _blocks(fp: Column) -> Column:
@@ -118,7 +142,9 @@ def _own() -> Column:
 
 
 def _found(docs: DataFrame, bench: DataFrame, at_least: float) -> DataFrame:
-    docs = docs.select("doc_id", "text", _own().alias("own"), F.xxhash64("doc_id", _own()).alias("key"))
+    # 128 bits tell texts apart; rows that are there twice share a key, and are then one text
+    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit("key"), "doc_id").alias("b"))
+    docs = docs.select("doc_id", "text", _own().alias("own"), key.alias("key"))
     b = bench.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
     b = keep(b.withColumn("n", F.size("w")).withColumn("s", F.least(F.size("w"), F.lit(SHINGLE))))
     sizes = [r["s"] for r in b.select("s").distinct().orderBy("s").collect()]
@@ -130,24 +156,36 @@ def _found(docs: DataFrame, bench: DataFrame, at_least: float) -> DataFrame:
     known = keep(items.select("n", "s", F.explode("hashes").alias("h")).groupBy("s", "h").agg(F.collect_set("n").alias("ns")))
     few = known.count() <= BROADCAST_SHINGLES
 
-    # shared shingles, and the words at which windows of the item's size over them begin; past the end is cut later
-    # key is a hash: should two documents share one, each is only looked at in more places
+    # shared shingles
     found, texts = None, docs
     for s in sizes:
         at = texts.select("key", F.posexplode(shingles(words(F.col("text")), s)).alias("p", "h"))
         own = known.where(F.col("s") == s).select("h", "ns")
-        hit = at.join(F.broadcast(own) if few else own, "h").select("key", F.lit(s).alias("s"), "p", "ns")
+        hit = at.join(F.broadcast(own) if few else own, "h").select("key", F.lit(s).alias("s"), "p", "h", "ns")
         found = hit if found is None else found.union(hit)
-    spots = found.select("key", "s", "p", F.explode("ns").alias("n"))
-    first = F.greatest(F.lit(0), F.col("p") - F.col("n") + F.col("s"))
-    windows = spots.select("key", "s", "n", F.explode(F.sequence(first, F.col("p"))).alias("start"))
-    starts = keep(windows.groupBy("key", "s").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
+    found = keep(found)
 
-    def cut_windows(s: int) -> Column:
-        inside = lambda h, x: F.struct(x["n"].alias("n"), F.least(x["start"], F.greatest(F.lit(0), F.size(h) + (s - 1) - x["n"])).alias("start"))
-        cut = lambda h, x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice(h, x["start"] + 1, x["n"] - (s - 1)).alias("window_hashes"))
-        each = lambda h: F.transform(F.array_distinct(F.transform("windows", lambda x: inside(h, x))), lambda x: cut(h, x))
-        return let(shingles(words(F.col("text")), s), each)
+    # the words at which windows of the item's size over them begin, in ranges that don't overlap; past the end is cut later
+    spots = found.select("key", "s", "p", F.explode("ns").alias("n"))
+    spots = spots.withColumn("low", F.greatest(F.lit(0), F.col("p") - F.col("n") + F.col("s")))
+    by = Window.partitionBy("key", "s", "n").orderBy("p")
+    fresh = F.coalesce((F.col("low") > F.lag("p").over(by) + 1).cast("int"), F.lit(1))
+    ranges = spots.withColumn("fresh", fresh).withColumn("range", F.sum("fresh").over(by))
+    ranges = ranges.groupBy("key", "s", "n", "range").agg(F.min("low").alias("low"), F.max("p").alias("high"))
+    ranges = ranges.withColumn("step", F.greatest(F.lit(ROLLED), F.floor(F.col("n") / 4).cast("int")))
+    runs = ranges.select("key", "s", "n", "high", "step", F.explode(F.sequence("low", "high", "step")).alias("low"))
+    run = F.struct("n", "low", F.least(F.col("low") + F.col("step") - 1, "high").alias("high"))
+    starts = keep(runs.groupBy("key", "s").agg(F.collect_list(run).alias("runs")))
+
+    def cut_runs(s: int) -> Column:
+        """The hashes under each run of windows; m of them are a window."""
+
+        def cut(h: Column, x: Column) -> Column:
+            last, m = F.greatest(F.lit(0), F.size(h) + (s - 1) - x["n"]), F.least(x["n"] - (s - 1), F.size(h))
+            low, high = F.least(x["low"], last), F.least(x["high"], last)
+            return F.struct(x["n"].alias("n"), low.alias("low"), (high - low + 1).alias("starts"), m.alias("m"), F.slice(h, low + 1, high - low + m).alias("hashes"))
+
+        return let(shingles(words(F.col("text")), s), lambda h: F.transform("runs", lambda x: cut(h, x)))
 
     # the fingerprints of those windows, where the text is
     cut = None
@@ -155,10 +193,11 @@ def _found(docs: DataFrame, bench: DataFrame, at_least: float) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "key", "left_semi")
     for s in sizes:
-        own = texts.join(starts.where(F.col("s") == s).drop("s"), "key").select("doc_id", "own", F.explode(cut_windows(s)).alias("x"))
+        own = texts.join(starts.where(F.col("s") == s).drop("s"), "key").select("doc_id", "own", "key", F.lit(s).alias("s"), F.explode(cut_runs(s)).alias("x"))
         cut = own if cut is None else cut.union(own)
-    cut = cut.select("doc_id", "own", "x.*").where("size(window_hashes) > 0")
-    cut = keep(cut.withColumn("window_fp", fingerprint(F.col("window_hashes"))))
+    cut = cut.select("doc_id", "own", "key", "s", "x.*").where("m > 0")
+    cut = cut.select("doc_id", "own", "key", "s", "n", "m", "low", F.posexplode(rolled(F.col("hashes"), F.col("m"), F.col("starts"))).alias("k", "window_fp"))
+    cut = keep(cut.withColumn("start", F.col("low") + F.col("k")).drop("low", "k"))
 
     # distinct fingerprints, and blocks of their bits with up to RADIUS / 4 bits flipped
     ours, theirs = keep(items.select("n", "fp").distinct()), keep(cut.select("n", "window_fp").distinct())
@@ -170,12 +209,34 @@ def _found(docs: DataFrame, bench: DataFrame, at_least: float) -> DataFrame:
 
     near = blocks(theirs, "window_fp", there).join(blocks(ours, "fp", here).hint("shuffle_merge"), ["n", "k", "v"])
     near = keep(near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))) <= RADIUS).select("n", "window_fp", "fp").distinct())
-    both = cut.join(near, ["n", "window_fp"]).join(items.select("n", "fp", "item_id", "hashes"), ["n", "fp"])
-    both = both.withColumn("similarity", similarity(F.col("window_hashes"), F.col("hashes"))).where(F.col("similarity") >= at_least)
+    met = cut.join(near, ["n", "window_fp"]).join(items.select("n", "fp", "item_id", F.size("hashes").alias("size")), ["n", "fp"])
+    both = _similarities(keep(met.drop("window_fp", "fp")), items, found).where(F.col("similarity") >= at_least)
     best = both.groupBy("doc_id", "own", "item_id").agg(F.max_by(F.struct("similarity", "start", F.col("n").alias("n_words")), F.struct("similarity", -F.col("start"))).alias("x"))
     return best.select("own", "doc_id", "item_id", "x.*")
 
 
+def _similarities(windows: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
+    """windows (key, s, n, m, start, item_id, size) plus similarity: weighted Jaccard of the m shingles from start and the
+    item's size ones, each weighing as often as it occurs: sum of minima by sum of maxima.
+
+    Of a shingle that the item has c times, an occurrence counts in the windows that hold it, but not the one c before:
+    these are a range of starts, so that all windows of a text and an item are running sums over the ends of such ranges.
+    """
+    on = ["key", "s", "item_id"]
+    pairs = windows.select(*on, "m").distinct()
+    times = items.select("item_id", "s", F.explode("hashes").alias("h")).groupBy("item_id", "s", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    spots = pairs.join(times, ["item_id", "s"]).join(found.select("key", "s", "h", "p"), ["key", "s", "h"])
+    spots = spots.groupBy(*on, "m", "h", "c").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    ranges = F.transform("at", lambda p, j: F.struct(F.greatest(F.lit(0), p - F.col("m") + 1, F.coalesce(F.get("at", j - F.col("c")) + 1, F.lit(0))).alias("low"), (p + 1).alias("end")))
+    ranges = spots.select(*on, F.explode(ranges).alias("r"))
+    ends = ranges.select(*on, F.explode(F.array(F.struct(F.col("r.low").alias("start"), F.lit(1).alias("d")), F.struct(F.col("r.end").alias("start"), F.lit(-1).alias("d")))).alias("e"))
+    ends = ends.groupBy(*on, "e.start").agg(F.sum("e.d").alias("d"))
+    rows = windows.withColumn("d", F.lit(0).cast("long")).unionByName(ends, allowMissingColumns=True)
+    shared = F.sum("d").over(Window.partitionBy(*on).orderBy("start"))
+    rows = rows.withColumn("shared", shared).where("n is not null")
+    return rows.withColumn("similarity", F.col("shared") / (F.col("m") + F.col("size") - F.col("shared"))).drop("shared", "d")
+
+
 def remove_contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8) -> DataFrame:
     """docs without those that hold a benchmark item, all columns as they are; rows without doc_id go by their text."""
     id_, own = unused(docs, "found_id"), unused(docs, "found_own")
@@ -184,5 +245,6 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, at_least: float = 0.8
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """contaminated() of the tables documents and benchmark; null and empty texts hold no item."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
