@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ ROUNDS = 3
 PRIOR = 10_000.0
 #: Rows of the byte matrix of words handled at a time.
 _CHUNK = 4096
+#: Fewer words than this of one length are walked along their bytes one by one, and so many bytes at a time.
+FEW, ALONG = 16, 1 << 16
 
 
 class Pieces:
@@ -119,11 +122,62 @@ def _forward(pieces: Pieces, m: np.ndarray, spans: list) -> np.ndarray:
     return alpha
 
 
+def _spans_along(pieces: Pieces, sums: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, pieces) of the spans of one word that are a piece and end in low + 1 .. high, by their ends."""
+    found = []
+    for size in range(1, min(high, pieces.longest) + 1):
+        start = np.arange(max(0, low + 1 - size), high - size + 1)
+        at, got = pieces.find(raw_hash(sums, start, start + size))
+        found.append((start[at], start[at] + size, got))
+    start, end, piece = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(end, kind="stable")
+    return start[order], end[order], piece[order]
+
+
+def _parts(n: int) -> list[tuple[int, int]]:
+    return [(low, min(n, low + ALONG)) for low in range(0, n, ALONG)]
+
+
+def _forward_along(pieces: Pieces, sums: np.ndarray) -> list[float]:
+    """As _forward(), of one word of any length: its spans are found for ALONG ends at a time."""
+    alpha = [0.0]
+    for low, high in _parts(len(sums) - 1):
+        start, end, piece = _spans_along(pieces, sums, low, high)
+        edge = np.searchsorted(end, np.arange(low + 1, high + 2)).tolist()
+        s, w = start.tolist(), pieces.weight[piece].tolist()
+        for a, b in zip(edge[:-1], edge[1:]):
+            ways = [alpha[s[i]] + w[i] for i in range(a, b)]
+            top = max(ways)
+            alpha.append(top + math.log(sum([math.exp(x - top) for x in ways])) if b > a + 1 else top)
+    return alpha
+
+
+def _expected_along(pieces: Pieces, sums: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pieces, expected uses) of one word of any length, part by part from its end."""
+    alpha = np.array(_forward_along(pieces, sums))
+    beta = [-math.inf] * len(alpha)
+    beta[-1] = 0.0
+    for low, high in reversed(_parts(len(alpha) - 1)):
+        start, end, piece = _spans_along(pieces, sums, low, high)
+        w = pieces.weight[piece]
+        for s, e, x in zip(start[::-1].tolist(), end[::-1].tolist(), w[::-1].tolist()):
+            x += beta[e]
+            y = beta[s]
+            top, less = (x, y) if x > y else (y, x)
+            beta[s] = top + math.log1p(math.exp(less - top))
+        after = np.array(beta[low + 1 : high + 1])[end - low - 1]
+        yield piece, np.exp(alpha[start] + w + after - alpha[-1])
+
+
 def log_probability(pieces: Pieces, column: pa.Array) -> np.ndarray:
     """Natural logarithm of each word's marginal probability; a very long word is no exception."""
     out = np.zeros(len(column))
     for at, m in _matrix(column):
-        out[at] = _forward(pieces, m, _spans(pieces, m))[-1]
+        if len(at) < FEW:
+            for i, own in zip(at.tolist(), m):
+                out[i] = _forward_along(pieces, prefix_sums(own))[-1]
+        else:
+            out[at] = _forward(pieces, m, _spans(pieces, m))[-1]
     return out
 
 
@@ -131,6 +185,11 @@ def expected_counts(pieces: Pieces, column: pa.Array, times: np.ndarray) -> np.n
     """Expected uses of each piece over all segmentations of the words, weighted by times (forward-backward)."""
     out = np.zeros(len(pieces.weight))
     for rows, m in _matrix(column):
+        if len(rows) < FEW:
+            for i, own in zip(rows.tolist(), m):
+                for got, use in _expected_along(pieces, prefix_sums(own)):
+                    out += np.bincount(got, use * times[i], minlength=len(out))
+            continue
         spans = _spans(pieces, m)
         alpha = _forward(pieces, m, spans)
         beta = np.full_like(alpha, -np.inf)
@@ -285,5 +344,6 @@ def score(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFra
 
 
 def op6_lattice(spark, sf_dir: str) -> DataFrame:
+    """score() of the table documents; a remainder of 2 by 7 of crc32(doc_id) is held out, a null doc_id isn't."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)

@@ -4,10 +4,12 @@ import collections
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgram.llm import decontaminate
+from loomgram.llm import decontaminate, lattice
 
 R = random.Random(31)
 
@@ -76,3 +78,34 @@ def test_a_long_item_in_a_long_text(spark):
     got = decontaminate.contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.similarity, r.start, r.n_words) for r in got] == [(1, 7, 1.0, 9_000, 20_000)]
     print("seconds", time.time() - began)
+
+
+def toy_pieces():
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b" a", b"abc", b"ca", b"bca", b" abcab"]
+    return lattice.Pieces(pieces, np.log(np.r_[np.full(256, 0.001), 0.2, 0.1, 0.05, 0.1, 0.02, 0.01]))
+
+
+@pytest.mark.parametrize("along", [7, 64, 1 << 16])
+def test_words_along_their_bytes_as_in_the_matrix(monkeypatch, along):
+    """Of one length: few words are walked along their bytes, many are rows of a matrix; both give the same."""
+    pieces, words = toy_pieces(), pa.array(["".join(R.choice("abcd") for _ in range(90)) for _ in range(20)])
+    times = np.array([R.randrange(5) for _ in range(20)], float)
+    monkeypatch.setattr(lattice, "ALONG", along)
+    monkeypatch.setattr(lattice, "FEW", 0)
+    want = lattice.log_probability(pieces, words), lattice.expected_counts(pieces, words, times)
+    monkeypatch.setattr(lattice, "FEW", 21)
+    got = lattice.log_probability(pieces, words), lattice.expected_counts(pieces, words, times)
+    for a, b in zip(got, want):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+    assert pytest.approx(sum(times) * 91, rel=1e-9) == sum(len(p) * n for p, n in zip([b" "] * 256 + [b"ab", b" a", b"abc", b"ca", b"bca", b" abcab"], want[1]))
+
+
+def test_a_word_of_a_megabyte():
+    import public_tokenizers
+
+    vocab, weight = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    pieces, word = lattice.Pieces(vocab, weight), "".join(R.choice("abcdefghiklmnoprstuv") for _ in range(1 << 20))
+    began = time.time()
+    assert -2e7 < lattice.log_probability(pieces, pa.array([word]))[0] < -2e6
+    assert lattice.expected_counts(pieces, pa.array([word]), np.ones(1)).sum() > 1e5
+    assert time.time() - began < 60
