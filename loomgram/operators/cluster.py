@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgram.operators.distance import column_distance
 from loomgram.operators.graph import connected_components
+from loomgram.operators.summary import mask_counts
 from loomgram.tables import keep
 
 
@@ -132,6 +134,19 @@ def tree(distances: DataFrame, keys: list[str], method: str = "ward") -> DataFra
     return distances.groupBy(*keys).applyInArrow(grow, schema)
 
 
+def region_counts(bits: DataFrame, region: tuple[int, int], chr_: object = None) -> DataFrame:
+    """gid, mask, n: positions with each mask from region[0] up to region[1] of one chromosome (None: of each). The range
+    reaches the scan."""
+    near = bits.where((F.col("pos") >= region[0]) & (F.col("pos") < region[1]))
+    return mask_counts(near if chr_ is None else near.where(F.col("chr") == F.lit(chr_)), "gid")
+
+
+def region_trees(bits: DataFrame, region: tuple[int, int], n: int, chr_: object = None, method: str = "ward") -> DataFrame:
+    """gid, step, left, right, height, size: each genome's tree over region_counts(), as tree() grows it from the distances
+    of the bitmap's columns there. A genome without a position in the region has no tree."""
+    return tree(column_distance(region_counts(bits, region, chr_), ["gid"], n), ["gid"], method).drop("members")
+
+
 def joined_tree(distances: DataFrame, keys: list[str], method: str = "ward") -> DataFrame:
     """keys, step, left, right, height, size: the merges of tree(), for any number of leaves (a, b, dist of all pairs).
 

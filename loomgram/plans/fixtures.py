@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgram.operators import bitmap, buckets, genes, kmers, runs, summary
+from loomgram.operators import bitmap, buckets, genes, kmers, runs, summary, zones
 from loomgram.tables import keep, table
 
 #: k, genomes (sources), bin length and the length of a chromosome of intervals (30 days of seconds).
@@ -57,6 +57,15 @@ class Index:
         """The bitmap in runs of equal masks."""
         return keep(runs.encode(self.bits))
 
+    @cached_property
+    def zoned(self) -> DataFrame:
+        """The bitmap with the masks of its blocks of positions."""
+        return zones.store(zones.zoned(self.bits, GENOMES))
+
+    @cached_property
+    def zone_map(self) -> DataFrame:
+        return keep(zones.zone_map(self.bits, GENOMES))
+
     @cached_property
     def coarse(self) -> dict[int, DataFrame]:
         """The bitmap at the steps that are stored beside the full one."""

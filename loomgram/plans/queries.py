@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgram.functions import columns
-from loomgram.operators import bitmap, buckets, cluster, distance, genes, introgress, intervals, kmers, runs, scoring, similarity, summary
+from loomgram.operators import bitmap, buckets, cluster, distance, genes, introgress, intervals, kmers, runs, scoring, similarity, summary, zones
 from loomgram.plans.fixtures import BASES, BIN, FINE, GENOMES, HOUR, K, LETTERS, SPAN, Index, index
 from loomgram.sources import readers, sequences
 from loomgram.tables import scratch, table
 
+#: The positions of each chromosome over which trees of a region are grown: from the first up to the second.
+REGION = (100, 1100)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -170,6 +173,16 @@ def _(ix):
     return bitmap.pattern(ix.bits, [1, 2], [3, 4]).groupBy("gid", "chr").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("f2_zoned_pattern", "bits", "SELECT gid, chr, pos, mask FROM bits WHERE mask & 6 = 6 AND mask & 24 = 0")
+def _(ix):
+    return zones.pattern(ix.zoned, [1, 2], [3, 4])
+
+
+@query("f2_zoned_totals", "bits", "SELECT gid, count(*) AS n FROM bits WHERE mask & 96 = 96 AND mask & 1 = 0 GROUP BY ALL")
+def _(ix):
+    return zones.pattern_totals(ix.zoned, ix.zone_map, [5, 6], [0], "gid")
+
+
 # the bitmap in runs
 
 
@@ -659,6 +672,11 @@ def _(ix):
     return cluster.tree(distance.column_distance(rows, ["gid"], GENOMES), ["gid"]).drop("members")
 
 
+@query("t4_region_trees")
+def _(ix):
+    return cluster.region_trees(ix.bits, REGION, GENOMES)
+
+
 @query("t5_distance_tree")
 def _(ix):
     matrix = distance.symmetric(distance.jaccard(ix.sets, GENOMES, K))
@@ -1040,6 +1058,7 @@ def _(ix):
 
 
 TREES = """, d AS (SELECT gid, a.other AS a, b.other AS b, sqrt(sum(c * xor((mask >> a.other) & 1, (mask >> b.other) & 1))) AS dist FROM (SELECT gid, mask, count(*) AS c FROM bits GROUP BY ALL), others a, others b WHERE a.other < b.other GROUP BY ALL)"""
+REGION_TREES = TREES.replace("FROM bits GROUP", f"FROM bits WHERE pos >= {REGION[0]} AND pos < {REGION[1]} GROUP")
 
 
 @query("t4_first_merges", "bits others", f"""{TREES} SELECT gid, {s6("min(dist)")} AS height, CAST(arg_min(a, (dist, a, b)) AS INT) AS "left", CAST(arg_min(b, (dist, a, b)) AS INT) AS "right", {GENOMES - 1} AS merges, {GENOMES} AS size FROM d GROUP BY gid""")
@@ -1049,6 +1068,13 @@ def _(ix):
     return rows.groupBy("gid").agg(r6(first("height")).alias("height"), first("left").alias("left"), first("right").alias("right"), F.count(F.lit(1)).cast("int").alias("merges"), F.max("size").alias("size"))
 
 
+@query("t4_region_first_merges", "bits others", f"""{REGION_TREES} SELECT gid, {s6("min(dist)")} AS height, CAST(arg_min(a, (dist, a, b)) AS INT) AS "left", CAST(arg_min(b, (dist, a, b)) AS INT) AS "right", {GENOMES - 1} AS merges, {GENOMES} AS size FROM d GROUP BY gid""")
+def _(ix):
+    rows = QUERIES["t4_region_trees"](ix.spark, ix.sf_dir)
+    first = lambda c: F.max(F.when(F.col("step") == 0, F.col(c)))
+    return rows.groupBy("gid").agg(r6(first("height")).alias("height"), first("left").alias("left"), first("right").alias("right"), F.count(F.lit(1)).cast("int").alias("merges"), F.max("size").alias("size"))
+
+
 @query("t5_first_merge", "sets others", f""", m AS (SELECT mask, count(*) AS n FROM sets GROUP BY mask), p AS (SELECT a.other AS a, b.other AS b, sum(n * ((mask >> a.other) & (mask >> b.other) & 1)) AS x, sum(n * (((mask >> a.other) | (mask >> b.other)) & 1)) AS y FROM m, others a, others b WHERE a.other <> b.other GROUP BY ALL),
     e AS (SELECT a, b, CASE WHEN x = 0 THEN 1 ELSE -ln(2 * (x / y::DOUBLE) / (1 + x / y::DOUBLE)) / {K} END AS d FROM p UNION ALL SELECT other, other, 0 FROM others), r AS (SELECT i.a, j.a AS b, sqrt(sum((i.d - j.d) * (i.d - j.d))) AS dist FROM e i JOIN e j ON i.b = j.b AND i.a < j.a GROUP BY ALL)
     SELECT {s6("min(dist)")} AS height, CAST(arg_min(a, dist) AS INT) AS "left", CAST(arg_min(b, dist) AS INT) AS "right", {GENOMES - 1} AS merges FROM r""")

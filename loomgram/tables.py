@@ -32,12 +32,14 @@ def scratch(spark: SparkSession, kind: str = "files") -> str:
     return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, **options: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
 
+    options are further ones of the Parquet writer.
+
     Used in place of ``checkpoint()``, which computes its input twice.
     """
     spark = df.sparkSession
     path = scratch(spark, "kept")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
