@@ -73,6 +73,43 @@ def density_clusters(points: DataFrame, eps: float, x: str = "x", y: str = "y")
     return points.join(spots.select(x, y, "cluster"), [x, y])
 
 
+def core_clusters(points: DataFrame, eps: float, samples: int, x: str = "x", y: str = "y") -> DataFrame:
+    """points (id, x, y) plus cluster and core: density clusters whose cores have at least `samples` points, themselves included,
+    at most eps away.
+
+    Clusters are the density_clusters() of the core points, numbered by their smallest core's id. A point that is no core goes
+    to the first cluster with a core at most eps away; one without such a core, or without coordinates, is noise: -1.
+
+    A cell that holds `samples` points has only cores, as its diagonal stays under eps. So only the points of emptier cells are
+    counted and placed: under `samples` of them a cell, each met by the points of the 25 cells around it. The work on a point is
+    thus bounded, however dense the data.
+    """
+    side = eps / 2**0.5 * (1 - 1e-9)
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    spots = keep(placed.groupBy(x, y).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("cx", cell(x)).withColumn("cy", cell(y)))
+    full = spots.groupBy("cx", "cy").agg(F.sum("n").alias("total"))
+    spots = keep(spots.join(full, ["cx", "cy"]))
+    ways = F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in range(-2, 3) for b in range(-2, 3)))).alias("w")
+    thin = spots.where(F.col("total") < samples)
+
+    def around(few: DataFrame, others: DataFrame) -> DataFrame:
+        """Each of few (px, py) with those of others at most eps away."""
+        few = few.select(F.col(x).alias("px"), F.col(y).alias("py"), "cx", "cy", ways)
+        few = few.select("px", "py", (F.col("cx") + F.col("w.dx")).alias("cx"), (F.col("cy") + F.col("w.dy")).alias("cy"))
+        dx, dy = F.col("px") - F.col(x), F.col("py") - F.col(y)
+        return few.join(others, ["cx", "cy"]).where(dx * dx + dy * dy <= eps * eps)
+
+    met = around(thin, spots).groupBy("px", "py").agg((F.sum("n") >= samples).alias("core")).withColumnsRenamed({"px": x, "py": y})
+    thin = keep(thin.join(met, [x, y]))
+    cores = spots.where(F.col("total") >= samples).select("id", x, y).union(thin.where("core").select("id", x, y))
+    cores = keep(density_clusters(cores, eps, x, y).select(x, y, "cluster"))
+    edges = around(thin.where("not core"), cores.withColumn("cx", cell(x)).withColumn("cy", cell(y)))
+    edges = edges.groupBy("px", "py").agg(F.min("cluster").alias("cluster")).withColumnsRenamed({"px": x, "py": y})
+    found = cores.withColumn("core", F.lit(True)).unionByName(edges.withColumn("core", F.lit(False)))
+    return points.join(found, [x, y], "left").withColumns({"cluster": F.coalesce("cluster", F.lit(-1)), "core": F.coalesce("core", F.lit(False))})
+
+
 def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
     """rows plus name: their places 0, 1, .. in the order of by, which has no equal values.
 

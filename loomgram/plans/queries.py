@@ -666,6 +666,17 @@ def _(ix):
     return cluster.density_clusters(_points(ix), 0.01).select("id", long("cluster"))
 
 
+#: Points that make a core, and how near they are.
+SAMPLES, NEAR = 4, 0.02
+
+
+@query("t3_core_clusters", "", f"""WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {NEAR}::DOUBLE * {NEAR}::DOUBLE),
+    c AS MATERIALIZED (SELECT a FROM e GROUP BY a HAVING count(*) >= {SAMPLES}), l AS MATERIALIZED (SELECT a, b FROM e WHERE a IN (SELECT a FROM c) AND b IN (SELECT a FROM c)), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    k AS (SELECT a, dense_rank() OVER (ORDER BY m) - 1 AS cluster FROM (SELECT a, min(b) AS m FROM r GROUP BY a)) SELECT p.id, coalesce(min(k.cluster), -1) AS cluster, p.id IN (SELECT a FROM c) AS core FROM p LEFT JOIN e ON e.a = p.id LEFT JOIN k ON k.a = e.b GROUP BY p.id""")
+def _(ix):
+    return cluster.core_clusters(_points(ix), NEAR, SAMPLES).select("id", long("cluster"), "core")
+
+
 @query("t4_genome_trees")
 def _(ix):
     rows = summary.mask_counts(ix.bits, "gid")
