@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgram.functions import columns
-from loomgram.operators import bitmap, buckets, cluster, distance, genes, introgress, intervals, kmers, runs, scoring, similarity, summary, zones
+from loomgram.operators import bitmap, buckets, cluster, distance, genes, introgress, intervals, kmers, neighbours, runs, scoring, similarity, summary, zones
 from loomgram.plans.fixtures import BASES, BIN, FINE, GENOMES, HOUR, K, LETTERS, SPAN, Index, index
 from loomgram.sources import readers, sequences
-from loomgram.tables import scratch, table
+from loomgram.tables import keep, scratch, table
 
 #: The positions of each chromosome over which trees of a region are grown: from the first up to the second.
 REGION = (100, 1100)
@@ -655,6 +655,47 @@ def _(ix):
     return cluster.embed(cluster.features(summary.bin_similarity(ix.bits, GENOMES, BIN)), ["gid", "chr", "start"])[0]
 
 
+#: Neighbours of a bin.
+FEW = 4
+
+
+def _neighbours(ix: Index) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct feature vectors, the bins of each, and each vector's nearest others."""
+    nodes, own = neighbours.vectors(cluster.features(summary.bin_similarity(ix.bits, GENOMES, BIN)), ["gid", "chr", "start"])
+    return nodes, own, keep(neighbours.nearest(nodes, FEW))
+
+
+@query("t2_nearest", "sim", f""", f AS (SELECT gid, chr, start, list(coalesce(sim, 0)::DOUBLE ORDER BY other) AS v FROM sim GROUP BY ALL), d AS MATERIALIZED (SELECT v, row_number() OVER () AS i FROM (SELECT DISTINCT v FROM f)),
+    m AS MATERIALIZED (SELECT a.i, min(list_distance(a.v, b.v), {FEW}) AS l FROM d a JOIN d b ON a.i <> b.i GROUP BY a.i) SELECT gid, chr, start, unnest(range(1, len(l) + 1))::INT AS rank, {s6("unnest(l)")} AS dist FROM f JOIN d USING (v) JOIN m USING (i)""")
+def _(ix):
+    _, own, found = _neighbours(ix)
+    return own.join(found, "node").select("gid", "chr", "start", "rank", r6("dist").alias("dist"))
+
+
+@query("t2_neighbour_embedding")
+def _(ix):
+    nodes, own, found = _neighbours(ix)
+    return own.join(neighbours.neighbour_embedding(nodes, found), "node").select("gid", "chr", "start", F.col("c1").alias("x"), F.col("c2").alias("y"))
+
+
+@query("t2_neighbour_moments", "sim", """, f AS (SELECT gid, chr, start, list(coalesce(sim, 0)::DOUBLE ORDER BY other) AS v FROM sim GROUP BY ALL) SELECT count(DISTINCT v) AS n, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS x_x, 1.0::DOUBLE AS y_y, 0.0::DOUBLE AS x_y FROM f""")
+def _(ix):
+    nodes, _, found = _neighbours(ix)
+    rows, d = neighbours.neighbour_embedding(nodes, found), F.col("degree")
+    both = lambda a, b: r6(F.abs(F.sum(d * F.col(a) * F.col(b))))
+    mean = r6(F.greatest(F.abs(F.sum(d * F.col("c1"))), F.abs(F.sum(d * F.col("c2"))))).alias("mean")
+    return rows.agg(F.count(F.lit(1)).alias("n"), mean, both("c1", "c1").alias("x_x"), both("c2", "c2").alias("y_y"), both("c1", "c2").alias("x_y"))
+
+
+@query("t2_neighbours_kept")
+def _(ix):
+    nodes, _, found = _neighbours(ix)
+    pca = cluster.embed(nodes.withColumnRenamed("v", "features"), ["node"])[0].select("node", F.col("pc1").alias("c1"), F.col("pc2").alias("c2"))
+    ways = {"components": pca, "neighbours": neighbours.neighbour_embedding(nodes, found)}
+    rows = [neighbours.kept_neighbours(nodes, found, keep(p), ["c1", "c2"]).withColumn("way", F.lit(w)) for w, p in ways.items()]
+    return rows[0].union(rows[1])
+
+
 def _points(ix: Index) -> DataFrame:
     rows = table(ix.spark, ix.sf_dir, "embeddings")
     return rows.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
