@@ -151,3 +151,33 @@ def test_reannotation_replaces_one_genome(spark, tmp_path):
     assert sorted((r.gid, r.type) for r in others.collect()) == [(0, "exon"), (0, "mRNA"), (1, "exon")]
     again, others = genes.reannotate(new.where("type = 'exon'").withColumn("type", F.lit("CDS")), chrs, str(tmp_path), ["gene"], annotations_only=True)
     assert again.where("gid = 1").count() == 1 and [r.type for r in others.where("gid = 1").collect()] == ["CDS"]
+
+
+def _joins(df):
+    """The physical plan before it runs, without what AQE may still change."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_series_and_sweeps_send_no_bins_through_the_driver(spark, tmp_path):
+    from loomgram.plans import queries
+    from loomgram.plans.fixtures import HOUR
+
+    rows = [(u, e, 3600 * R.randrange(700), R.uniform(1, 400)) for u in range(12) for e in ("click", "view") for _ in range(20)]
+    events = spark.createDataFrame(rows, "user_id long, event_type string, s long, value double").selectExpr("user_id", "event_type", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) as ts", "value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("w1_merged_bins", "w2_interval_bins", "w6_merged_over_gaps", "w11_rescaled", "a21_threshold_curve", "a22_curve_area", "a23_accession_curve", "a24_chromosome_curve"):
+        assert "Broadcast" not in _joins(queries.QUERIES[name](spark, str(tmp_path))), name
+    marked = {(f"u{u}", e, b * HOUR) for u, e, s, v in rows if v >= 100 for b in range(round(s / HOUR), round((s + int(v * 60)) / HOUR) if round((s + int(v * 60)) / HOUR) > round(s / HOUR) else round(s / HOUR) + 1) if b < 720}
+    got = [(r.accession, r.chr, r.bin) for r in queries.QUERIES["w2_interval_bins"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(marked)
+
+
+def test_dense_and_flagged_over_odd_spans(spark):
+    marked = [("a", 0), ("a", 0), ("a", 20), ("a", 25), ("a", 30), ("a", -10), ("b", 0), ("d", 0), (None, 10)]
+    spans = [("a", 25), ("b", 0), ("c", 11), (None, 15)]
+    m, s = spark.createDataFrame(marked, "k string, bin long"), spark.createDataFrame(spans, "k string, size long")
+    want = [("a", 0, 1), ("a", 10, 0), ("a", 20, 1), ("c", 0, 0), ("c", 10, 0), (None, 0, 0), (None, 10, 0)]
+    order = lambda x: (str(x[0]), x[1])
+    assert sorted((tuple(r) for r in intervals.dense(m, s, ["k"], 10).collect()), key=order) == sorted(want, key=order)
+    assert sorted(tuple(r) for r in intervals.flagged(m, s, ["k"], 10).collect()) == [w for w in want if w[2]]
+    assert dict(intervals.dense(m, s, ["k"], 10).dtypes) == {"k": "string", "bin": "bigint", "flag": "int"}
